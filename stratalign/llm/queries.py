@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalign.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, url_filter
+from stratalign.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality, toxicity, url_filter
 from stratalign.llm._util import LOWER, UPPER
 
 #: The rules of the URL query.
@@ -23,6 +23,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _judged(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.score_quality(docs, _table(spark, sf_dir, "labels")), 0.3)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels")), 0.5)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, per_cent=80)
 
@@ -54,7 +71,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op7_quality": op7_quality,
         "op8_near_dedup": op8_near_dedup,
+        "op9_toxicity": op9_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op5_url_filter": op5_url_filter,
