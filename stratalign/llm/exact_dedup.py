@@ -43,25 +43,33 @@ class ExactDedupIndex:
         self.path = path or new_path(spark, "lsm")
         self.tiers: list[list[DataFrame]] = [[]]
         self._serial = 0
+        self.rows = 0  # inserted so far
 
     def _merge(self, entries: DataFrame, *by: str) -> DataFrame:
         pick = F.max if self.keep == "max" else F.min
         return entries.groupBy(*by, "digest").agg(pick("id").alias("id"), F.sum("n").alias("n"))
 
     def _write_run(self, run: DataFrame) -> DataFrame:
-        """A sorted run with a Bloom filter that scans probe before they open a row group."""
+        """A sorted run with a Bloom filter that scans probe before they open a row group.
+
+        The filter of a file is sized for its share of the rows; unsized ones take 1 MB each.
+        """
         self._serial += 1
+        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = max(64, 2 * self.rows // max(1, files))
         at = f"{self.path}/run-{self._serial:05d}"
         (
             run.select("digest", "id", "n").sortWithinPartitions("digest").write
-            .option("parquet.bloom.filter.enabled#digest", "true").mode("overwrite").parquet(at)
+            .option("parquet.bloom.filter.enabled#digest", "true")
+            .option("parquet.bloom.filter.expected.ndv#digest", str(keys)).mode("overwrite").parquet(at)
         )
         out = self.spark.read.schema("digest string, id long, n long").parquet(at)
         out._stored_at = at  # noqa: SLF001
         return out
 
-    def insert(self, entries: DataFrame) -> None:
+    def insert(self, entries: DataFrame, rows: int | None = None) -> None:
         """Flush one memtable of (digest, id) as a run; compact full tiers."""
+        self.rows += entries.count() if rows is None else rows
         memtable = entries.select("digest", "id", F.lit(1).cast("long").alias("n"))
         self.tiers[0].append(self._write_run(self._merge(memtable)))
         for level in range(len(self.tiers)):
@@ -122,9 +130,10 @@ def exact_dedup(
         "dedup-entries",
     )
     index = ExactDedupIndex(spark, keep=keep, fanout=max(2, memtables))
+    share = entries.count() // memtables + 1
     part = F.pmod(F.xxhash64("id"), F.lit(memtables))
     for k in range(memtables):
-        index.insert(entries.filter(part == k))
+        index.insert(entries.filter(part == k), share)
     merged = index.major_compact()
 
     hits = merged.filter("n > 1").select("digest")
