@@ -53,8 +53,9 @@ def noise_weight(text: Column) -> Column:
 def source_targets(sized: DataFrame, cycle: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """(source, source_size, target) by water filling, from (source, size) rows.
 
-    Sources ordered by cap/weight are capped in that order: a source is below its cap exactly
-    if the level found with all earlier ones capped is. Weights repeat in code point order.
+    Sources are capped in the order of cap/weight until, with all earlier ones capped, the
+    level of the rest is within the next one's cap. Capping more would only lower the level, so
+    the level wanted is the greatest that is within its cap. Weights repeat in code point order.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -70,7 +71,7 @@ def source_targets(sized: DataFrame, cycle: Sequence[int] = (5, 2, 1), max_epoch
         (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left"),
         F.sum("weight").over(rest).alias("rest_weight"),
     ).withColumn("level", F.col("left") / F.col("rest_weight"))
-    top = levels.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+    top = levels.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     target = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level") * F.col("weight")).otherwise(F.col("cap").cast("double"))
     return top.select("source", "source_size", target.cast("double").alias("target"))
 
@@ -142,7 +143,11 @@ def mix_sources(
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: rows of ``docs`` repeated as often as they are taken, all columns kept."""
-    copies = mix_sources(docs, id_col=id_col, **how).groupBy(F.col(id_col).alias("mix_id")).agg(F.max("copies").alias("mix_copies")).filter("mix_copies > 0")
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("mix_id")))
-    return out.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: rows of ``docs`` repeated as often as they are taken, all columns kept.
+
+    Rows that share an id are taken equally often, as often as the first of them.
+    """
+    copies = mix_sources(docs, id_col=id_col, **how).groupBy(F.col(id_col).alias("__mix_id")).agg(F.max("copies").alias("__mix_copies"))
+    out = docs.join(copies.filter("__mix_copies > 0"), docs[id_col].eqNullSafe(F.col("__mix_id")))
+    times = out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_turn"))
+    return times.select(*docs.columns)

@@ -219,3 +219,13 @@ def _classes(docs, id_col, text_col, width, per_cent, k, c, nodes, lists) -> Dat
             labels = renewed
     discard(sets)
     return labels
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` whose id represents its class, columns unchanged.
+
+    The ids that go are broadcast while they are few enough, and joined by key beyond that.
+    """
+    gone = materialize(near_duplicates(docs, id_col=id_col, **how).filter("NOT kept").select(F.col(id_col).alias("near_id")).distinct(), "near-gone")
+    away = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(away, docs[id_col] == F.col("near_id"), "left_anti")

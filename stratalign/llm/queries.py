@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalign.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality, toxicity, url_filter
+from stratalign.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, topk, toxicity, url_filter
 from stratalign.llm._util import LOWER, UPPER
 
 #: The rules of the URL query.
@@ -40,6 +41,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels")), 0.5)
 
 
+#: A SentencePiece model file on the driver.
+MODEL = os.environ.get("STRATALIGN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.count_ids(sentencepiece_codec.encode(docs, MODEL, check=True)).select("doc_id", "n_ids", "ids", "decoded_ok")
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=256)
+    queries = vectors.filter(F.col("id") % 50 == 0)
+    return topk.top_k(vectors, queries, k=5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, per_cent=80)
 
@@ -71,6 +87,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_top_k": op2_top_k,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_quality": op7_quality,
         "op8_near_dedup": op8_near_dedup,
         "op9_toxicity": op9_toxicity,
@@ -97,6 +115,16 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP3_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -115,7 +143,7 @@ levels AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
          / CAST(sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lv
   FROM capped WINDOW f AS (ORDER BY cap::DOUBLE / weight::DOUBLE, source ASC NULLS LAST)),
-level AS (SELECT min(lv) FILTER (lv * weight <= cap) AS lv FROM levels),
+level AS (SELECT max(lv) FILTER (lv * weight <= cap) AS lv FROM levels),
 targets AS (SELECT source, source_size, CASE WHEN level.lv * weight <= cap THEN level.lv * weight ELSE cap::DOUBLE END AS target FROM capped, level),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
 run AS (
@@ -187,4 +215,4 @@ FROM d LEFT JOIN whole USING (digest) LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_url_filter": op5_sql(), "op10_license_scan": op10_sql()}
+    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_url_filter": op5_sql(), "op10_license_scan": op10_sql()}
