@@ -10,8 +10,9 @@ vocabularies have no such sum; there a path may be extended by a piece exactly i
 last two pieces' characters alone gives back the two pieces. One path per node survives that
 test, and it is the encoding that merging the whole text would give.
 
-A blank can only begin a piece in usual vocabularies. All paths then meet before each blank,
-so the text is cut there and the ids of short stretches are remembered (``MEMO`` of them).
+A blank can only begin a piece in usual vocabularies, and no piece has, say, a letter and then
+a comma. All paths meet at such places, so the text is cut there and the ids of short stretches
+are remembered (``MEMO`` of them).
 
 The vocabulary is a model file's; it is read on the driver from a path that the caller gives
 and sent to the executors, a few hundred kilobytes for usual models (``VOCABULARY_LIMIT``).
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = "▁"
-MEMO = 400_000
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûü")
+MEMO = 600_000
 MEMO_LENGTH = 64
 #: Nodes of the lattice that are remembered by the text up to them, for stretches that begin alike.
-NODES = 800_000
+NODES = 1_000_000
 NODE_LENGTH = 32
 VOCABULARY_LIMIT = 2_000_000
 #: What an unknown character costs a unigram path below the worst piece.
@@ -101,6 +103,12 @@ class Vocabulary:
     def cuts_at_blanks(self) -> bool:
         return not any(BLANK in p.lstrip(BLANK) for p in self.pieces)
 
+    @cached_property
+    def cut_signs(self) -> str:
+        """ASCII signs that follow a Latin letter in no piece."""
+        after = {q for p in self.pieces for c, q in zip(p, p[1:]) if c in LETTERS}
+        return "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
+
     @cached_property
     def texts(self) -> list[bytes]:
         out = [b""] * self.size
@@ -237,7 +245,9 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.nodes: dict[str, str | None] = {}
-        self.stretches = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if vocabulary.cuts_at_blanks else re.compile("(?s).+")
+        signs, letters = re.escape(vocabulary.cut_signs), "".join(sorted(LETTERS))
+        word = f"{BLANK}*[{letters}]+(?=[{signs}{BLANK}])|" if signs else ""
+        self.stretches = re.compile(f"{word}{BLANK}*[^{BLANK}]+|{BLANK}+") if vocabulary.cuts_at_blanks else re.compile("(?s).+")
 
     def _ids(self, piece: str) -> list[int]:
         found = self.v.pieces.get(piece)
