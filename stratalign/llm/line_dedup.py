@@ -263,7 +263,7 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*out_cols, "n_lines", "n_dropped"])
 
         left = docs.select(*out_cols)
-        joined = left.join(hits, left[id_col].eqNullSafe(F.col("line_doc")), "left").select(*[left[c] for c in out_cols], "line_hits")
+        joined = left.join(hits, left[id_col].eqNullSafe(hits["line_doc"]), "left").select(*[left[c] for c in out_cols], hits["line_hits"])
         return joined.mapInArrow(rebuild, schema)
 
 
