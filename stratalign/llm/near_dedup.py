@@ -2,12 +2,14 @@
 
 A document's set holds the hashes of its distinct word shingles; its sketch is the k
 smallest of them. Documents with equal sets are one node from the start. Inverted lists of
-retained values nominate pairs of nodes: two sets of Jaccard similarity t or more share at
+retained values nominate nodes: two sets of Jaccard similarity t or more share at
 least c of their k retained values (for t = 0.8 and k = 64, c = 32 but for one pair in
 5e7; exactly where a set is no larger than its sketch), so if all values are put in one
 order, they share a value among the first k - c + 1 of each. Rare values come first in that
 order: a passage that thousands of documents hold stands at its end and makes no list
-unless it is most of the document.
+unless it is most of the document. Most documents are on no list; for those that are, lists
+of 1024 retained values are made in the same way, which are the whole sets of all but long
+texts, and a pair needs as many values in common as the two sizes demand.
 
 Within a list pairs are not all tried. Rounds take one pivot per list and try the other
 members against it; members that are linked join its class, and only members of different
@@ -42,8 +44,9 @@ from stratalign.llm.components import connected_components
 from stratalign.llm.line_dedup import text_bytes
 
 BROADCAST_IDS = 1_000_000
-PIVOT_ROUNDS = 4
-_MEMO = 400_000
+PIVOT_ROUNDS = 3
+_MEMO = 200_000
+_SLICE = 1_000  # rows handled at once, which bounds a Python worker's memory
 
 
 class _Hashes(dict):
@@ -84,10 +87,16 @@ def least_overlap(k: int, threshold: float, risk: float = 2e-8) -> int:
         c += 1
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(first, _SLICE)
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
-        for batch in batches:
+        for batch in _sliced(batches):
             sizes, digests, flat, ends = [], [], [], [0]
             for text in text_bytes(batch.column(1)):
                 s = shingle_set(text, width, memo)
@@ -109,7 +118,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = []
             for text in text_bytes(batch.column(1)):
                 sets.append(shingle_set(text, width, memo).tobytes())
@@ -149,75 +158,125 @@ def near_duplicates(
     width: int = 5,
     per_cent: int = 80,
     k: int = 64,
+    k_lists: int = 1024,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
-    c = least_overlap(k, per_cent / 100)
+    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+
+    ``k`` values of every document nominate nodes; of nominated nodes ``k_lists`` make the lists.
+    """
     sketches = materialize(_sketches(docs, id_col, text_col, width, k), "near-sketches")
     nodes = materialize(
         sketches.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "near-nodes",
     )
-    lists = materialize(_lists(nodes, k, c, per_cent), "near-lists")
-    classes = _classes(docs, id_col, text_col, width, per_cent, k, c, nodes, lists)
-    labelled = nodes.select("digest", "id").join(classes.select("id", "label"), "id", "left") if classes is not None else nodes.select("digest", "id", F.lit(None).cast("long").alias("label"))
-    keyed = labelled.select("digest", F.coalesce("label", "id").alias("component"))
+    classes = _classes(docs, id_col, text_col, width, per_cent, k, k_lists, nodes)
+    keyed = nodes.select("digest", "id")
+    keyed = keyed.withColumn("label", F.col("id")) if classes is None else keyed.join(classes.select("id", "label"), "id", "left")
+    keyed = keyed.select("digest", F.coalesce("label", "id").alias("component"))
     out = sketches.select("id", "n", "digest").join(keyed, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _lists(nodes: DataFrame, k: int, c: int, per_cent: int) -> DataFrame:
-    """(value, id, n): each node under the first values of its sketch, rare ones first, that another node holds too."""
-    values = nodes.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+def _ranked(values: DataFrame, per_cent: int, c: int) -> DataFrame:
+    """(value, id, n, m, rank, lone): the values (id, n, m, value) that another node holds too and
+    that stand early enough in their node's order, rare ones first, to prove a similar partner.
+
+    ``rank`` counts the node's values that it holds alone (``lone`` of them) first: they are the rarest.
+    """
     often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = values.join(often, "value")
     mine = W.partitionBy("id")
     need = F.least(F.ceil(F.col("n") * per_cent / 100.0), F.lit(c))
-    ranked = shared.withColumns({"rank": F.row_number().over(mine.orderBy("df", "value")), "held": F.count(F.lit(1)).over(mine)})
-    # values that no other node holds are the rarest and come before all others
-    return ranked.filter(F.col("rank") <= F.col("m") - need + 1 - (F.col("m") - F.col("held"))).select("value", "id", "n")
+    ranked = shared.withColumns({"row": F.row_number().over(mine.orderBy("df", "value")), "lone": F.col("m") - F.count(F.lit(1)).over(mine)})
+    return ranked.withColumn("rank", F.col("row") + F.col("lone")).filter(F.col("rank") <= F.col("m") - need + 1).select("value", "id", "n", "m", "rank", "lone")
+
+
+def _involved(nodes: DataFrame, per_cent: int, c: int) -> DataFrame:
+    """(id): nodes that are on a list with another one."""
+    values = nodes.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    lists = _ranked(values, per_cent, c)
+    twice = lists.groupBy("value").agg(F.min("id").alias("i1"), F.max("id").alias("i2")).filter("i1 <> i2").select("value")
+    return lists.join(twice, "value").select("id").distinct()
+
+
+def _may_meet(x: str, y: str, per_cent: int, k: int, c: int) -> Column:
+    """Rows x and y of one list prove that their nodes can reach the threshold, sizes considered.
+
+    Where both sets are whole, they need per_cent / (100 + per_cent) of their sizes' sum in common.
+    """
+    f = lambda p, name: F.col(f"{p}{name}")
+    whole = (f(x, "n") <= k) & (f(y, "n") <= k)
+    need = F.when(whole, F.ceil((f(x, "n") + f(y, "n")) * per_cent / (100.0 + per_cent))).otherwise(c)
+    sizes = F.least(f(x, "n"), f(y, "n")) * 100 >= F.greatest(f(x, "n"), f(y, "n")) * per_cent
+    return sizes & (f(x, "rank") <= f(x, "m") - need + 1) & (f(y, "rank") <= f(y, "m") - need + 1)
+
+
+def _retained(sets: DataFrame, k: int) -> DataFrame:
+    """(id, n, m, value) of the k smallest members of every full set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            members = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in members], np.int64)
+            held = np.minimum(sizes, k)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), held)
+            values = np.concatenate([x[:k] for x in members]) if members else np.empty(0, np.int64)
+            columns = [ids, np.repeat(sizes, held), np.repeat(held, held), values]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "m", "value"])
+
+    return sets.select("id", "members").mapInArrow(run, "id long, n long, m long, value long")
+
+
+def _side(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("value", *[F.col(c).alias(f"{prefix}{c}") for c in ("id", "n", "m", "rank", "label")])
 
 
-def _classes(docs, id_col, text_col, width, per_cent, k, c, nodes, lists) -> DataFrame | None:
-    involved = materialize(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "value").select("id").distinct(), "near-involved")
+def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, nodes) -> DataFrame | None:
+    c, c_lists = least_overlap(k, per_cent / 100), least_overlap(k_lists, per_cent / 100)
+    involved = materialize(_involved(nodes, per_cent, c), "near-involved")
     n_involved = involved.count()
     if not n_involved:
         return None
+    few = max(1, n_involved // 50_000)  # partitions for tables of about a row per nominated node
     wanted = F.broadcast(involved) if n_involved <= BROADCAST_IDS else involved
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
     sets = materialize(_full_sets(chosen, width).dropDuplicates(["id"]), "near-sets")
+    lists = materialize(_ranked(_retained(sets, k_lists), per_cent, c_lists), "near-lists")
     short = nodes.select("id", "sketch")
-    labels = materialize(involved.select("id", F.col("id").alias("label")), "near-labels")
-    links = tried = None
+    labels = materialize(involved.coalesce(few).select("id", F.col("id").alias("label")), "near-labels")
+    tried = None
     for turn in range(PIVOT_ROUNDS + 1):
         placed = lists.join(labels, "id")
+        mixed = placed.groupBy("value").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("value")
+        placed = placed.join(mixed, "value")
         if turn < PIVOT_ROUNDS:
-            pick = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            pivot = placed.groupBy("value").agg(F.min(F.struct(pick.alias("order"), "id", "n", "label")).alias("p")).select("value", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
-            met = placed.join(pivot, "value").filter("label <> plabel").select("id", "n", F.col("pid").alias("oid"), F.col("pn").alias("on"))
+            # the node with the fewest values of its own is the likeliest centre of its list; later rounds draw by lot
+            order = F.struct("lone", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+            best = placed.groupBy("value").agg(F.min(F.struct(order.alias("by"), "id", "n", "m", "rank", "label")).alias("p"))
+            other = best.select("value", *[F.col(f"p.{x}").alias(f"o{x}") for x in ("id", "n", "m", "rank", "label")])
+            met = _side(placed, "i").join(other, "value").filter("ilabel <> olabel")
         else:
-            mixed = placed.groupBy("value").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("value")
-            still = placed.join(mixed, "value")
-            other = still.select("value", F.col("id").alias("oid"), F.col("n").alias("on"), F.col("label").alias("olabel"))
-            met = still.join(other, "value").filter("id < oid AND label <> olabel").select("id", "n", "oid", "on")
-        pairs = met.filter((F.least("n", "on") * 100 >= F.greatest("n", "on") * per_cent)).select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
+            met = _side(placed, "i").join(_side(placed, "o"), "value").filter("iid < oid AND ilabel <> olabel")
+        met = met.filter(_may_meet("i", "o", per_cent, k_lists, c_lists))
+        pairs = met.select(F.least("iid", "oid").alias("a"), F.greatest("iid", "oid").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, f"near-pairs{turn}")
+        pairs = materialize(pairs.coalesce(max(few, 8)), f"near-pairs{turn}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         likely = pairs.join(short.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(short.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
         likely = likely.filter(_plausible(F.col("x"), F.col("y"), k, c, per_cent)).select("a", "b")
         loaded = likely.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-        found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent), f"near-links{turn}")
-        n_found = found.count()
-        if n_found:
+        found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent).coalesce(max(few, 8)), f"near-links{turn}")
+        if found.limit(1).count():
             ends = lambda df, x: df.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")), x)
             between = ends(ends(found, "a"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-            merged = connected_components(between).select(F.col("id").alias("label"), F.col("label").alias("to"))
-            renewed = materialize(labels.join(merged, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "near-labels")
+            merged = connected_components(between, few).select(F.col("id").alias("label"), F.col("label").alias("to"))
+            renewed = materialize(labels.join(merged, "label", "left").select("id", F.coalesce("to", "label").alias("label")).coalesce(few), "near-labels")
             discard(labels)
             labels = renewed
-    discard(sets)
+        discard(found)
+    discard(sets, lists, involved)
     return labels
 
 
