@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     root = str(tmp_path_factory.mktemp("shared"))
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", root).config("spark.sql.warehouse.dir", root + "/warehouse").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "3g").getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
