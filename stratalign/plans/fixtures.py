@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from stratalign.functions import text as X
 from stratalign.operators import attribution as AT
 from stratalign.operators import audits as AU
+from stratalign.operators import identity as ID
 from stratalign.operators import occurrences as OC
 from stratalign.operators import policy as PO
 from stratalign.operators import quality as Q
+from stratalign.operators import structure as ST
 from stratalign.sources import releases as RE
+from stratalign.sources import snapshots as SN
 
 
 def normalised_ids(spark: SparkSession, _: str) -> DataFrame:
@@ -165,6 +168,67 @@ def year_resolution(spark: SparkSession, _: str) -> DataFrame:
 YEARS_SQL = """SELECT CAST(i AS INTEGER) AS i, CAST(y AS INTEGER) AS document_year, r AS document_year_raw, s AS document_year_status FROM (VALUES (1, 2001, '2001', 'AS_RECORDED'), (2, 2001, '20011', 'RESOLVED_FROM_DOCUMENT'), (3, 1999, '1999', 'AS_RECORDED'), (4, NULL, NULL, 'MISSING'),
 (5, NULL, '3000', 'UNRESOLVED'), (6, 2004, '2004', 'AS_RECORDED'), (7, 2005, '2005', 'AS_RECORDED')) t(i, y, r, s)"""
 
+def _snapshot(spark: SparkSession, generation: str) -> dict[str, DataFrame]:
+    """One activity of one assay in a generation's own tables."""
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "docs": t([(20, 2000, "title", "10.1/A")], "doc_id int, year int, title string, doi string"),
+        "activities": t([(1, 1, "IC50", "=", 1000.0, "nM"), (1, 1, "EC50", "=", 1.0, "nM")], f"assay_id int, molregno int, standard_type string, {'standard_relation' if generation == 'post15' else 'relation'} string, standard_value double, standard_units string").withColumns(
+            {"data_validity_comment": F.lit(None).cast("string"), "potential_duplicate": F.lit(None).cast("string")}
+        ),
+    }
+    if generation == "post15":
+        tables["assays"] = t([(1, 10, 20, 9, "B", "A1")], "assay_id int, tid int, doc_id int, confidence_score int, assay_type string, chembl_id string")
+        tables["target_dictionary"] = t([(10, "SINGLE PROTEIN", "Homo sapiens")], "tid int, target_type string, organism string")
+        tables["target_components"] = t([(10, 30)], "tid int, component_id int")
+        tables["component_sequences"] = t([(30, "P1")], "component_id int, accession string")
+    else:
+        tables["assays"] = t([(1, 20, "B", "descr")], "assay_id int, doc_id int, assay_type string, description string")
+        score = "confidence_score" if generation == "pre15_legacy" else "confidence"
+        tables["assay2target"] = t([(1, 10, "H", 8) if generation == "pre15_legacy" else (1, 10, "D", 7)], f"assay_id int, tid int, relationship_type string, {score} int")
+        target = t([(10, "PROTEIN", "MK", "Homo sapiens", "P1")], "tid int, target_type string, protein_sequence string, organism string, protein_accession string")
+        tables["target_dictionary"] = target if generation == "pre15_legacy" else target.drop("protein_accession", "target_type")
+    if generation == "pre9_early":
+        tables["compounds"] = t([(1, "block", "name")], "molregno int, molfile string, pref_name string")
+    else:
+        tables["compound_structures"] = t([(1, "CCO")], "molregno int, canonical_smiles string")
+        tables["molecule_dictionary"] = t([(1, "M1", "name")], "molregno int, chembl_id string, pref_name string")
+    return tables
+
+
+def extract_generations(spark: SparkSession, _: str) -> DataFrame:
+    """The three extraction plans, structures, units, keys and tracks over one activity each."""
+    bridge = AU.build_bridge(spark.createDataFrame([("M K", "Homo sapiens", "P1")], "sequence string, organism string, accession string"))
+    out = None
+    for i, generation in enumerate(Q.GENERATIONS):
+        rows = SN.extract(_snapshot(spark, generation), f"R{i + 1}", bridge=bridge)
+        rows = Q.eligibility_tracks(Q.measured(ST.standardize(rows, backend=ST.identity_backend)))
+        rows = rows.withColumn("document_identity_key", OC.extraction_document_key(rows))
+        part = rows.select("release_label", "schema_generation", "standard_type", "standard_value_molar", "target_accession", "target_identity_source", "std_input_format", "document_identity_key", "primary_record_eligible", "relaxed_confidence_B_record_eligible")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+EXTRACT_SQL = """SELECT r AS release_label, g AS schema_generation, 'IC50' AS standard_type, 1000e0 * 1e-9 AS standard_value_molar, 'P1' AS target_accession, s AS target_identity_source, f AS std_input_format, 'DOI:10.1/A' AS document_identity_key, p AS primary_record_eligible, true AS "relaxed_confidence_B_record_eligible"
+FROM (VALUES ('R1', 'pre9_early', 'exact_sequence_bridge', 'molblock', true), ('R2', 'pre15_legacy', 'native_accession', 'smiles', false), ('R3', 'post15', 'native_accession', 'smiles', true)) t(r, g, s, f, p)"""
+
+
+def identity_resolution(spark: SparkSession, _: str) -> DataFrame:
+    """Two documents and a renamed source assay over four releases, resolved to identities."""
+    rows = []
+    for order, (doi, own) in enumerate([("10.1/A", "T"), ("https://doi.org/10.1/a", "T"), ("10.1/A", "T_POL_1"), ("10.1/A", "T_POL_1")]):
+        rows.append((order, f"R{order + 1}", len(rows), "post15", doi, "D1", "37", own, "A1"))
+        rows.append((order, f"R{order + 1}", len(rows), "post15", "10.1/B", "D2", "37", "Z", "A2"))
+    df = spark.createDataFrame(rows, "release_order int, release_label string, row_ordinal long, schema_generation string, document_doi string, document_chembl_id string, assay_source_id string, assay_source_assay_id string, assay_chembl_id string")
+    df = df.withColumns({"assay_identity_key": F.lit(None).cast("string")})
+    done = ID.resolve_identities(df)
+    return done.observations.select("release_label", "row_ordinal", "document_identity_key", "assay_identity_key")
+
+
+IDENTITY_SQL = """WITH k AS (SELECT i, 'DOC_CANON:' || sha256('CHEMBL_DOC:D1' || chr(31) || 'DOI:10.1/A') AS d1, 'DOC_CANON:' || sha256('CHEMBL_DOC:D2' || chr(31) || 'DOI:10.1/B') AS d2,
+'ASSAY_CANON:' || sha256('CHEMBL_ASSAY:A1' || chr(31) || 'SRCASSAY:' || sha256('TEMPORAL_RENAME' || chr(31) || '37' || chr(31) || 'T')) AS a1, 'ASSAY_CANON:' || sha256('CHEMBL_ASSAY:A2' || chr(31) || 'SRCASSAY:37:Z') AS a2 FROM (SELECT unnest([0, 1, 2, 3]) AS i))
+SELECT 'R' || (i + 1) AS release_label, CAST(2 * i AS BIGINT) AS row_ordinal, d1 AS document_identity_key, a1 AS assay_identity_key FROM k UNION ALL SELECT 'R' || (i + 1), CAST(2 * i + 1 AS BIGINT), d2, a2 FROM k"""
+
 CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "normalised_ids": (normalised_ids, NORMALISED_SQL),
     "eligibility_tracks": (eligibility_tracks, ELIGIBILITY_SQL),
@@ -177,6 +241,8 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "policy_tables": (policy_tables, POLICY_SQL),
     "release_dates": (release_dates, DATES_SQL),
     "year_resolution": (year_resolution, YEARS_SQL),
+    "extract_generations": (extract_generations, EXTRACT_SQL),
+    "identity_resolution": (identity_resolution, IDENTITY_SQL),
 }
 
 
