@@ -45,7 +45,7 @@ from stratalign.llm.line_dedup import text_bytes
 
 BROADCAST_IDS = 1_000_000
 PIVOT_ROUNDS = 3
-_MEMO = 200_000
+_MEMO = 100_000
 _SLICE = 1_000  # rows handled at once, which bounds a Python worker's memory
 
 
@@ -239,6 +239,7 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, nodes) -> Data
     if not n_involved:
         return None
     few = max(1, n_involved // 50_000)  # partitions for tables of about a row per nominated node
+    many = max(8, n_involved // 5_000)  # and for tasks that compare whole sets
     wanted = F.broadcast(involved) if n_involved <= BROADCAST_IDS else involved
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
     sets = materialize(_full_sets(chosen, width).dropDuplicates(["id"]), "near-sets")
@@ -262,12 +263,12 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, nodes) -> Data
         pairs = met.select(F.least("iid", "oid").alias("a"), F.greatest("iid", "oid").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.coalesce(max(few, 8)), f"near-pairs{turn}")
+        pairs = materialize(pairs.coalesce(many), f"near-pairs{turn}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         likely = pairs.join(short.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(short.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
         likely = likely.filter(_plausible(F.col("x"), F.col("y"), k, c, per_cent)).select("a", "b")
         loaded = likely.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-        found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent).coalesce(max(few, 8)), f"near-links{turn}")
+        found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent).coalesce(many), f"near-links{turn}")
         if found.limit(1).count():
             ends = lambda df, x: df.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")), x)
             between = ends(ends(found, "a"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()

@@ -37,10 +37,12 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûü")
-MEMO = 600_000
+MEMO = 250_000
 MEMO_LENGTH = 64
 #: Nodes of the lattice that are remembered by the text up to them, for stretches that begin alike.
-NODES = 1_000_000
+NODES = 300_000
+#: Pairs of pieces whose merging is known; they outlive a task, stretches and nodes don't.
+PAIRS = 200_000
 NODE_LENGTH = 32
 VOCABULARY_LIMIT = 2_000_000
 #: What an unknown character costs a unigram path below the worst piece.
@@ -158,7 +160,7 @@ class StreamingViterbi:
         out = left + right not in pieces and merged(left + right, pieces) == ([left, right] if left else [right])
         if not left:
             out = len(right) == 1 or merged(right, pieces) == [right]
-        if len(self.compatible) > 4 * MEMO:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         self.compatible[left, right] = out
         return out
@@ -277,6 +279,11 @@ class Codec:
                 self.memo[stretch] = known
         return known
 
+    def forget(self) -> None:
+        """Free what grows with the texts; a worker's memory is needed by other stages."""
+        self.memo.clear()
+        self.nodes.clear()
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
@@ -295,7 +302,7 @@ class Codec:
 
 
 def worker_codec(plain: tuple) -> Codec:
-    """The codec of this Python worker, which lives on from task to task with its memo."""
+    """The codec of this Python worker, which lives on from task to task with its pairs."""
     import sys
 
     key = (plain[2], hash(frozenset(list(plain[0].items())[:: max(1, len(plain[0]) // 64)])))
@@ -330,6 +337,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids"
                     made.append(pa.array([codec.decode(b) == (t or "").replace(BLANK, " ") for b, t in zip(blobs, texts, strict=True)], pa.bool_()))
                     names.append("decoded_ok")
                 yield pa.RecordBatch.from_arrays(made, names)
+        codec.forget()
 
     fields = [*[docs.schema[c] for c in columns], T.StructField(out, T.ArrayType(T.IntegerType(), False))]
     if check:

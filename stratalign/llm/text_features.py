@@ -16,7 +16,7 @@ import xxhash
 
 from stratalign.llm.fm import BUCKETS
 
-MEMO = 300_000
+MEMO = 150_000
 MARKS = ".,;:!?*%&$#|\"'()[]{}<>-_=+~^/\\@"
 
 
