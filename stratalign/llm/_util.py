@@ -50,6 +50,13 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def sliced(batches, rows: int = 1_000):
+    """Arrow batches cut to ``rows`` rows: what a Python worker holds beside a batch stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; pure ASCII strings take the fast built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalign.llm._util import sliced
+
 BUCKETS = 1 << 20
 
 
@@ -135,7 +137,7 @@ def train(rows: DataFrame, extractor: Extractor, cfg: FMConfig, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = extractor()
-        for batch in batches:
+        for batch in sliced(batches):
             packed = [np.array(sorted(features(t or "")), np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["id", "label", "features"])
 
@@ -153,7 +155,7 @@ def score(docs: DataFrame, model: FMModel, extractor: Extractor, text_col: str,
         held = FMModel(*shared.value)
         features = extractor(set(held.index))
         at = columns.index(text_col)
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [held.score([held.index[i] for i in features(t or "")]) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, out])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalign.llm._util import SPACE, discard, materialize
+from stratalign.llm._util import SPACE, discard, materialize, sliced
 
 FILTER_BYTES = 64 << 20
 STRIP = SPACE.encode()
@@ -149,7 +149,7 @@ class LineIndex:
 
     def _update(self, docs: DataFrame, text_col: str, sign: int) -> None:
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 found = [d for text in text_bytes(batch.column(0)) for d in _distinct_digests(text)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["key"])
 
@@ -216,7 +216,7 @@ class LineIndex:
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = {s: CuckooFilter.load(b) for s, b in loaded.value.items()} if loaded is not None else None
-            for batch in batches:
+            for batch in sliced(batches):
                 owners, found = [], []
                 for row, text in enumerate(text_bytes(batch.column(1))):
                     mine = _distinct_digests(text)
@@ -245,7 +245,7 @@ class LineIndex:
         schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
         def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 at = batch.schema.get_field_index(text_col)
                 texts, total, dropped = [], [], []
                 for text, marks in zip(text_bytes(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):

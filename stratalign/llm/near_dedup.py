@@ -39,14 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratalign.llm._util import discard, materialize
+from stratalign.llm._util import discard, materialize, sliced
 from stratalign.llm.components import connected_components
 from stratalign.llm.line_dedup import text_bytes
 
 BROADCAST_IDS = 1_000_000
 PIVOT_ROUNDS = 3
 _MEMO = 100_000
-_SLICE = 1_000  # rows handled at once, which bounds a Python worker's memory
 
 
 class _Hashes(dict):
@@ -87,16 +86,10 @@ def least_overlap(k: int, threshold: float, risk: float = 2e-8) -> int:
         c += 1
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, _SLICE):
-            yield batch.slice(first, _SLICE)
-
-
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             sizes, digests, flat, ends = [], [], [], [0]
             for text in text_bytes(batch.column(1)):
                 s = shingle_set(text, width, memo)
@@ -118,7 +111,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             sets = []
             for text in text_bytes(batch.column(1)):
                 sets.append(shingle_set(text, width, memo).tobytes())
@@ -216,7 +209,7 @@ def _retained(sets: DataFrame, k: int) -> DataFrame:
     """(id, n, m, value) of the k smallest members of every full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             members = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             sizes = np.array([len(x) for x in members], np.int64)
             held = np.minimum(sizes, k)

@@ -37,12 +37,12 @@ from pyspark.sql import types as T
 
 BLANK = "▁"
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûü")
-MEMO = 250_000
+MEMO = 600_000
 MEMO_LENGTH = 64
 #: Nodes of the lattice that are remembered by the text up to them, for stretches that begin alike.
-NODES = 300_000
+NODES = 1_000_000
 #: Pairs of pieces whose merging is known; they outlive a task, stretches and nodes don't.
-PAIRS = 200_000
+PAIRS = 400_000
 NODE_LENGTH = 32
 VOCABULARY_LIMIT = 2_000_000
 #: What an unknown character costs a unigram path below the worst piece.
