@@ -173,6 +173,19 @@ def multi_target_exclusion(spark, d):
     return Q.exclude_multi_target(l, "l_partkey", "l_suppkey")[0].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH g AS (SELECT l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '|' ORDER BY CAST(l_suppkey AS VARCHAR)) AS targets, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
+SELECT l_partkey, n AS n_targets, targets FROM g WHERE n > 1""")
+def multi_target_audit_all_lines(spark, d):
+    """As multi_target_audit, whose SQL holds it to two lines of an order, over every line."""
+    return Q.multi_target_audit(table(spark, d, "lineitem"), "l_partkey", "l_suppkey").select("l_partkey", "n_targets", "targets")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1) GROUP BY 1")
+def multi_target_exclusion_all_lines(spark, d):
+    """Over every line each part has several suppliers; orders have one or several, so both outcomes occur."""
+    return Q.exclude_multi_target(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")[0].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS sequence, upper(p_brand) AS organism, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS accessions, count(DISTINCT p_type) AS n_accessions,
 CASE WHEN count(DISTINCT p_type) = 1 THEN 'unique' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS accession FROM part GROUP BY ALL""")
 def bridge_build(spark, d):
