@@ -324,6 +324,33 @@ def quarantine_weak_bridges(spark, d):
     return CC.protected_components(occ, "document")[2]
 
 
+def _whole_graph(spark, d):
+    """Documents as occurrences: the text's hash is a strong alias, the hash of its whole normalised form a weak one. A null text has only its document's local alias."""
+    local = F.concat(F.lit("LOCAL_DOC_NULL:"), F.col("doc_id").cast("string"))
+    aliases = F.array(F.concat(F.lit("DOI:"), F.sha2("text", 256)), X.sha_key("DOC_TITLE:", X.norm_text(F.col("text"))))
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("occurrence_id"), F.when(F.col("text").isNull(), F.array(local)).otherwise(aliases).alias("aliases"))
+
+
+_WHOLE_SQL = r"""v AS (SELECT doc_id, 'DOI:' || sha256(text) AS s, 'DOC_TITLE:' || sha256(upper(replace(regexp_replace(trim(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), 'ß', 'SS'))) AS w FROM documents WHERE text IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_WHOLE_SQL},
+e AS (SELECT DISTINCT s AS x, w AS y FROM v UNION SELECT DISTINCT w, s FROM v),
+reach(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+lab AS (SELECT x, min(y) AS label FROM reach GROUP BY 1 UNION ALL SELECT DISTINCT 'LOCAL_DOC_NULL:' || doc_id, 'LOCAL_DOC_NULL:' || doc_id FROM documents WHERE text IS NULL),
+comp AS (SELECT label, count(*) AS n_aliases, CAST(sum((x LIKE 'DOI:%')::INT) AS INTEGER) AS n_doi, CAST(sum((x LIKE 'DOC_TITLE:%')::INT) AS INTEGER) AS n_weak, string_agg(x, chr(31) ORDER BY x) AS j FROM lab GROUP BY 1)
+SELECT 'DOC_CANON:' || sha256(j) AS canonical_key, CAST(n_aliases AS INTEGER) AS n_aliases, n_doi AS n_doi_aliases, n_weak AS n_weak_aliases FROM comp""")
+def alias_components_whole_text(spark, d):
+    """As alias_components, whose SQL cuts the weak alias to forty characters, with nothing cut and null texts kept."""
+    return CC.components(_whole_graph(spark, d), "document")[1].select("canonical_key", "n_aliases", "n_doi_aliases", "n_weak_aliases")
+
+
+@query(f"WITH {_WHOLE_SQL} SELECT w AS alias, 1 AS iteration FROM v GROUP BY 1 HAVING count(DISTINCT s) > 1")
+def quarantine_weak_bridges_whole_text(spark, d):
+    occ = _whole_graph(spark, d).withColumn("fallback_alias", F.concat(F.lit("LOCAL_DOC_QUAR:"), F.col("occurrence_id")))
+    return CC.protected_components(occ, "document")[2]
+
+
 @query("SELECT source, length(text) AS n FROM documents WHERE false UNION ALL SELECT coalesce(a.k, b.k), CASE WHEN a.k IS NULL THEN 1 ELSE 0 END FROM (SELECT DISTINCT source AS k FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT source AS k FROM documents WHERE lang = 'de') b USING (k) WHERE a.k IS NULL OR b.k IS NULL")
 def differing_keys(spark, d):
     t = table(spark, d, "documents")

@@ -1,5 +1,7 @@
 """Registered queries that must see whole tables and whole values, on small fixtures."""
 
+import hashlib
+
 import pytest
 
 from stratalign.plans import catalogue
@@ -21,3 +23,14 @@ def test_multi_target_reads_every_line(spark, stored):
     assert [tuple(r) for r in audit] == [(7, 3, "1|2|3")]
     kept = catalogue.queries()["multi_target_exclusion_all_lines"](spark, d).collect()
     assert sorted(tuple(r) for r in kept) == [(2, 2), (3, 1)]
+
+
+def test_weak_aliases_are_whole_texts(spark, stored):
+    opening = "the same opening of more than forty characters, "
+    texts = [(1, opening + "then one end"), (2, opening + "then another"), (3, "A  title "), (4, "a Title"), (5, None), (6, None), (7, "A  title ")]
+    d = stored("documents", texts, "doc_id long, text string")
+    parts = catalogue.queries()["alias_components_whole_text"](spark, d).collect()
+    # two texts of their own, one bridged pair, and each null text by itself
+    assert sorted((r["n_aliases"], r["n_doi_aliases"], r["n_weak_aliases"]) for r in parts) == [(1, 0, 0), (1, 0, 0), (2, 1, 1), (2, 1, 1), (3, 2, 1)]
+    lost = catalogue.queries()["quarantine_weak_bridges_whole_text"](spark, d).collect()
+    assert [(r["alias"], r["iteration"]) for r in lost] == [("DOC_TITLE:" + hashlib.sha256(b"A TITLE").hexdigest(), 1)]
