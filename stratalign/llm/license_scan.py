@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +63,25 @@ NOTICES = {
     "CC0-1.0": ("Released under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"),
 }
 
-# Whole texts of short licences.
+_REDISTRIBUTION = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_NO_ENDORSEMENT = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _long(name: str) -> str:
+    """The published text of a long licence; only the driver reads it."""
+    return (Path(__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+# Whole texts of licences.
 TEXTS = {
+    "BSD-2-Clause": "BSD 2-Clause License\n" + _REDISTRIBUTION + _DISCLAIMER,
+    "BSD-3-Clause": "BSD 3-Clause License\n" + _REDISTRIBUTION + _NO_ENDORSEMENT + _DISCLAIMER,
+    **{name: _long(name) for name in ("Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")},
     "MIT": """MIT License
 Copyright (c) <year> <copyright holders>
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -80,6 +98,21 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def forms_of(name: str, text: str) -> Sequence[str]:
+    """A licence text as it is found: as given; BSD texts without title or numbers too, and terms without the appendix on their use."""
+    forms = [text]
+    if name.startswith("BSD-"):
+        forms += [text.partition("\n")[2]]
+        forms += [re.sub(r"(?m)^[0-9]\. ", "* ", x) for x in forms]
+    if _TERMS_END in text:
+        terms = text.partition(_TERMS_END)[0]
+        forms += [terms + _TERMS_END, terms]
+    return forms
+
+
 #: A line that claims copyright; such lines differ between copies of one licence.
 COPYRIGHT_LINE = r"(?s)^[^a-z0-9]*(portions )?(copyright|©|\(c\))( ?\(c\)| ?©|.*[0-9]{4}|.*<year>|.*\[yyyy\]).*$|^[^a-z0-9]*all rights reserved[^a-z0-9]*$"
 
@@ -135,7 +168,8 @@ def catalogue(texts: Mapping[str, str] = TEXTS, notices: Mapping[str, tuple] = N
             lines[canonical_text(form)] = name
             whole[digest_of(form)] = name
     for name, text in sorted(texts.items(), reverse=True):
-        whole[digest_of(text)] = name
+        for form in forms_of(name, text):
+            whole[digest_of(form)] = name
     if len(whole) > CATALOGUE_LIMIT:
         raise ValueError("the catalogue of licences is too large to broadcast")
     return whole, lines
