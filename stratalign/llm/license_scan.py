@@ -1,7 +1,7 @@
 """License scan by canonical digests, DataFrame operations only.
 
-A text is brought to a canonical form, line by line: lower case, copyright lines dropped,
-equivalent spellings made one, punctuation and white space made single blanks. The SHA-256
+A text is brought to a canonical form, line by line: lower case, copyright claims cut off
+(what follows the holder's sentence, or the start of a grant, stays), equivalent spellings made one, punctuation and white space made single blanks. The SHA-256
 of the canonical lines of a whole text is looked up, by a hash join, among the digests of
 known licence texts. The same lookup is made for single lines, so that a notice such as
 "Released under the MIT License." is found inside a longer document.
@@ -113,9 +113,21 @@ def forms_of(name: str, text: str) -> Sequence[str]:
     return forms
 
 
-#: A line that claims copyright; such lines differ between copies of one licence.
+#: A line that may claim copyright; claims differ between copies of one licence.
 COPYRIGHT_LINE = r"(?s)^[^a-z0-9]*(portions )?(copyright|©|\(c\))( ?\(c\)| ?©|.*[0-9]{4}|.*<year>|.*\[yyyy\]).*$|^[^a-z0-9]*all rights reserved[^a-z0-9]*$"
 
+_RESERVED = r"(?s)^[^a-z0-9]*all rights reserved[^a-z0-9]*(?!.)"
+_HEAD = r"[^a-z0-9]*(?:portions )?(?:copyright|©|\(c\))"
+_YEAR = r"(?:[0-9]{4}|<year>|\[yyyy\])"
+# A clause ends before a grant, after the holder's sentence (not after initials, or where the holders go on) or with the line.
+_GRANT = r"(?<![a-z0-9])(?=permission (?:is|to) |(?:this [a-z]+ is )?(?:licensed|released|distributed) under |redistribution and use |spdx-license-identifier)"
+_STOP = r"(?<![^a-z][a-z])(?<![^a-z](?:jr|dr|st|mr|ms))\.(?=[ \t])(?![ \t]*(?:and |or |&|<|\())"
+_END = rf"(?:{_GRANT}|{_STOP}|(?!.))"
+_HOLDER_FIRST = rf"(?:[^.]|\.(?![ \t])|(?<=inc|ltd|llc)\.|(?<=co)\.){{1,200}}?{_YEAR}[.,;: \t]*{_END}"
+
+#: The claim at the head of a copyright line: marked (c), or its year comes first, or last in the clause.
+COPYRIGHT_CLAUSE = rf"(?s)^{_HEAD}(?:(?: *\(c\)| *©|[^a-z0-9]*?{_YEAR}).*?{_END}|{_HOLDER_FIRST})(?:[ \t.,;:]*all rights reserved[ \t.,;:]*)?"
+
 
 def spelled(line: Column) -> Column:
     for word, instead in SPELLINGS:
@@ -132,15 +144,17 @@ def canonical_lines(text: Column) -> Column:
         return F.btrim(F.regexp_replace(words, " +", " "))
 
     lines = F.split(ascii_lower(or_empty(text)), "\n", -1)
-    kept = F.filter(lines, lambda x: ~x.rlike(COPYRIGHT_LINE))
-    return F.filter(F.transform(kept, lambda x: F.btrim(spelled(F.concat(F.lit(" "), one(x), F.lit(" "))))), lambda x: x != "")
+    kept = F.filter(lines, lambda x: ~x.rlike(_RESERVED))
+    cut = F.transform(kept, lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSE, "")).otherwise(x))
+    return F.filter(F.transform(cut, lambda x: F.btrim(spelled(F.concat(F.lit(" "), one(x), F.lit(" "))))), lambda x: x != "")
 
 
 def canonical_text(text: str) -> str:
     """The canonical form of a catalogue text, on the driver; equals ``canonical_lines`` joined by blanks."""
     out = []
     for line in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split("\n"):
-        if not re.search(COPYRIGHT_LINE, line):
+        if not re.search(_RESERVED, line):
+            line = re.sub(COPYRIGHT_CLAUSE, "", line) if re.search(COPYRIGHT_LINE, line) else line
             # letters and numbers as \p{L} and \p{N} define them
             words = " " + " ".join("".join(c if _is_word(c) else " " for c in line).split()) + " "
             for word, instead in SPELLINGS:

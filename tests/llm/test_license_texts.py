@@ -19,3 +19,31 @@ def test_licences_of_the_notices_are_known_by_whole_text(spark, docs_of):
     got = {r["doc_id"]: r["license"] for r in license_scan.scan_licenses(docs_of(rows)).collect()}
     assert [got[i] for i in range(len(named))] == named
     assert [got[i] for i in range(100, 104)] == ["BSD-3-Clause", "BSD-3-Clause", None, "Apache-2.0"]
+
+
+def test_only_the_claim_of_a_copyright_line_is_dropped(spark, docs_of):
+    apache, mit = "Licensed under the Apache License, Version 2.0.", license_scan.TEXTS["MIT"]
+    grant = mit.partition("holders>\n")[2]
+    cases = {
+        "Copyright 2021 Acme. " + apache: (1, "Apache-2.0"),
+        "Copyright 2021 Acme Inc. " + apache: (1, "Apache-2.0"),
+        "(c) 2020-2021 J. Doe, " + apache: (1, "Apache-2.0"),
+        "MIT License\nCopyright (c) 2020 X " + grant: (4, "MIT"),
+        "MIT License\nCopyright (c) 2020 X Ltd. All rights reserved. " + grant: (4, "MIT"),
+        "Copyright law of 1976 protects authors.": (1, None),
+        "Copyright 2019 Acme Inc. The prose goes on.": (1, None),
+        "Copyright (c) 2019 J. Doe <j@x.org>": (0, None),
+        "Copyright (C) 2007 Acme, Inc. <https://x.org/>": (0, None),
+        "Copyright 2019 Acme Inc. and contributors": (0, None),
+        "Copyright Acme Corp, 2019. All rights reserved.": (0, None),
+        "Copyright Acme Inc. 2019": (0, None),
+        "All rights reserved.": (0, None),
+        "(c) 2020 " + "word " * 20_000 + "1999": (0, None),
+        "Copyright " + "word " * 20_000 + "1999": (1, None),
+    }
+    rows = [(i, t, "s") for i, t in enumerate(cases)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs_of(rows)).collect()}
+    for i, t, _ in rows:
+        assert (got[i]["n_lines"], got[i]["license"]) == cases[t], t[:80]
+        assert got[i]["digest"] == license_scan.digest_of(t), t[:80]
+    assert got[0]["notices"] == ["Apache-2.0"]
