@@ -69,8 +69,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of pages: a page is bad if its label says junk or toxic. Labels name pages by the shared crawl id."""
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    """Outcomes of pages: a page is bad if its label says junk or toxic; without either label its outcome is null.
+
+    The tables have no labels of pages. Those of the document with a page's id are a stand-in, and no
+    evidence on hosts: at sf0.1 the language in the URL is that of the document in 1,112 of 2,500
+    rows, and hosts named casino or bets have 0.24 bad labels (of 21), the others 0.26 (of 950).
+    """
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     return _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
 
 
