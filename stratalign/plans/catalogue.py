@@ -356,3 +356,9 @@ def differing_keys(spark, d):
     t = table(spark, d, "documents")
     out = CO.differing_keys(t.filter("doc_id % 2 = 0"), t.filter("lang = 'de'"), ["source"])
     return out.select("source", F.when(F.col("side") == "right_only", 1).otherwise(0).cast("long").alias("n"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS doc_id, CASE WHEN a.k IS NULL THEN 'right_only' ELSE 'left_only' END AS side FROM (SELECT DISTINCT doc_id AS k FROM documents) a FULL JOIN (SELECT DISTINCT doc_id AS k FROM labels) b USING (k) WHERE a.k IS NULL OR b.k IS NULL")
+def differing_keys_all_ids(spark, d):
+    """As differing_keys, whose SQL takes even ids on one side and one language on the other, with two whole key sets."""
+    return CO.differing_keys(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])

@@ -34,3 +34,10 @@ def test_weak_aliases_are_whole_texts(spark, stored):
     assert sorted((r["n_aliases"], r["n_doi_aliases"], r["n_weak_aliases"]) for r in parts) == [(1, 0, 0), (1, 0, 0), (2, 1, 1), (2, 1, 1), (3, 2, 1)]
     lost = catalogue.queries()["quarantine_weak_bridges_whole_text"](spark, d).collect()
     assert [(r["alias"], r["iteration"]) for r in lost] == [("DOC_TITLE:" + hashlib.sha256(b"A TITLE").hexdigest(), 1)]
+
+
+def test_differing_keys_takes_every_id(spark, stored):
+    stored("documents", [(1, "en"), (2, "de"), (3, "fr"), (3, "fr")], "doc_id long, lang string")
+    d = stored("labels", [(2, 1), (5, 0)], "doc_id long, quality int")
+    got = catalogue.queries()["differing_keys_all_ids"](spark, d).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "left_only"), (3, "left_only"), (5, "right_only")]
