@@ -1,4 +1,8 @@
-"""Connected components by smallest label, for graphs of any size: no collect, no local state."""
+"""Connected components by smallest label, for graphs of any size: no collect, no local state.
+
+Defined cases: edges with a null end and loops are left out, repeated edges and both directions
+of an edge count once, a graph without edges gives an empty result.
+"""
 
 from __future__ import annotations
 

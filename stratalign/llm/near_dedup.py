@@ -11,26 +11,33 @@ unless it is most of the document. Most documents are on no list; for those that
 of 1024 retained values are made in the same way, which are the whole sets of all but long
 texts, and a pair needs as many values in common as the two sizes demand.
 
-Within a list pairs are not all tried. Rounds take one pivot per list and try the other
-members against it; members that are linked join its class, and only members of different
-classes stay. What is left after the pivot rounds is tried in full, classes against each
-other, so no link between two classes is missed. A tried pair passes the estimate of its
+Within a list pairs are not all tried. Rounds take a few pivots per list (one at first, up to
+twice as many in each later round) and try the other members against them. Members that are
+linked join a class; a pivot has met its whole list and leaves it. A list ends when its members
+are one class or its last pivots have met, so no link between two classes is missed, and a list
+of m members ends after about log2(m) rounds. A tried pair passes the estimate of its
 similarity from the union sketch first and is then confirmed on the full sets.
 
+With ``exact`` the whole sets are the sketches: nothing is estimated, and no risk is taken.
+
 Scale: the text is read twice, once for sketches (0.5 kB a document) and once for the full
-sets of nominated nodes. Nothing is collected; rounds leave written tables behind.
+sets of nominated nodes. Nothing is collected. Joins meet written tables, so that adaptive
+execution can split the rows of a value that very many nodes hold.
 
 Defined cases: A-Z is lower-cased and words are runs of anything but white space. With
 fewer words than a shingle has, the whole sequence is the one shingle; without words the
-set is empty and linked with nothing. Rows of one id are one document. Rows without an id
-are linked with nothing. Other columns are ignored.
+set is empty and linked with nothing. Rows of one id are one document, also if their texts
+differ: each row has the size of its own set, and what any of them is linked with is linked
+with all of them. Rows without an id are linked with nothing. Ids are integers; a text that
+is no integer raises. Repeated rows and very long texts are taken whole, other columns are
+ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, comb
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +46,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratalign.llm._util import discard, materialize, sliced
+from stratalign.llm._util import discard, materialize, sliced, thrifty
 from stratalign.llm.components import connected_components
 from stratalign.llm.line_dedup import text_bytes
 
 BROADCAST_IDS = 1_000_000
-PIVOT_ROUNDS = 3
+#: Rows of an Arrow batch that holds whole texts or whole sets.
+TEXT_ROWS, SET_ROWS = 1_000, 256
 _MEMO = 100_000
 
 
@@ -78,14 +86,20 @@ def shingle_set(text: bytes, width: int, memo: _Hashes) -> np.ndarray:
 
 def least_overlap(k: int, threshold: float, risk: float = 2e-8) -> int:
     """The most values that may be demanded of two sketches at the threshold, at this risk of missing a pair."""
+    if threshold >= 1:
+        return k
     below, c = 0.0, 0
     while True:
-        below += comb(k, c) * threshold**c * (1 - threshold) ** (k - c)
+        below += exp(lgamma(k + 1) - lgamma(c + 1) - lgamma(k - c + 1) + c * log(threshold) + (k - c) * log1p(-threshold))
         if below > risk:
             return c
         c += 1
 
 
+def _digest(members: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -94,7 +108,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
             for text in text_bytes(batch.column(1)):
                 s = shingle_set(text, width, memo)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(_digest(s))
                 flat.append(s[:k])
                 ends.append(ends[-1] + min(k, len(s)))
                 if len(memo) > _MEMO:
@@ -104,37 +118,45 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sketch], ["id", "n", "digest", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n long, digest binary, sketch array<long>"
+        thrifty(run), "id long, n long, digest binary, sketch array<long>"
     )
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(digest, members) of every (id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
         for batch in sliced(batches):
-            sets = []
+            sets, digests = [], []
             for text in text_bytes(batch.column(1)):
-                sets.append(shingle_set(text, width, memo).tobytes())
+                s = shingle_set(text, width, memo)
+                digests.append(_digest(s))
+                sets.append(s.tobytes())
                 if len(memo) > _MEMO:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "members"])
+
+    return docs.mapInArrow(thrifty(run), "digest binary, members binary")
 
-    return docs.mapInArrow(run, "id long, members binary")
+
+def _members(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a binary column, without copies."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
 def _confirmed(pairs: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b, sa, sb) whose full sets reach the threshold."""
+    """Pairs (a, b) of (a, b, sa, sb) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SET_ROWS):
             links = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for p, q in zip(_members(batch.column(2)), _members(batch.column(3)), strict=True):
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 links.append(100 * common >= per_cent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(thrifty(run), "a long, b long")
 
 
 def _plausible(x: Column, y: Column, k: int, c: int, per_cent: int) -> Column:
@@ -152,45 +174,82 @@ def near_duplicates(
     per_cent: int = 80,
     k: int = 64,
     k_lists: int = 1024,
+    exact: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     ``k`` values of every document nominate nodes; of nominated nodes ``k_lists`` make the lists.
     """
-    sketches = materialize(_sketches(docs, id_col, text_col, width, k), "near-sketches")
-    nodes = materialize(
-        sketches.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
-        "near-nodes",
-    )
-    classes = _classes(docs, id_col, text_col, width, per_cent, k, k_lists, nodes)
-    keyed = nodes.select("digest", "id")
-    keyed = keyed.withColumn("label", F.col("id")) if classes is None else keyed.join(classes.select("id", "label"), "id", "left")
-    keyed = keyed.select("digest", F.coalesce("label", "id").alias("component"))
-    out = sketches.select("id", "n", "digest").join(keyed, "digest", "left")
+    if exact:
+        k = k_lists = 1 << 30
+    sketches = materialize(_sketches(docs, id_col, text_col, width, k), "near-sketches", arrow_rows=TEXT_ROWS)
+    # a node is a set, whatever the ids that hold it; its number is fixed by being written
+    grouped = sketches.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    # ids that several different texts share
+    held = sketches.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("digest").alias("full"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
+    twins = materialize(held.filter("d1 <> d2 OR (full > 0 AND full < rows)").select("id"), "near-twins")
+    some_twins = twins.limit(1).count() > 0
+    classes, tables = _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes)
+    if some_twins:  # one id's texts are one document
+        own = sketches.filter("digest IS NOT NULL").join(twins, "id").select("id", "digest").distinct().join(nodes.select("digest", "node"), "digest")
+        at = own.select("id", "node") if classes is None else own.join(classes, "node", "left").select("id", F.coalesce("label", "node").alias("node"))
+        at = materialize(at.distinct(), "near-own")
+        hub = at.groupBy("id").agg(F.min("node").alias("hub"))
+        edges = at.join(hub, "id").select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+        joined = connected_components(edges).select(F.col("id").alias("from"), F.col("label").alias("to"))
+        if classes is None:
+            classes = joined.select(F.col("from").alias("node"), F.col("to").alias("label"))
+        else:
+            lone = joined.join(classes.select(F.col("node").alias("from")), "from", "left_anti").select(F.col("from").alias("node"), F.col("to").alias("label"))
+            classes = classes.join(joined, classes["label"] == joined["from"], "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(lone)
+    keyed = nodes.select("digest", "least", "node")
+    if classes is None:
+        keyed = keyed.select("digest", F.col("least").alias("component"))
+    else:
+        known = materialize(keyed.join(classes, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label")), "near-known")
+        lowest = known.groupBy("label").agg(F.min("least").alias("component"))
+        keyed = materialize(known.join(lowest, "label").select("digest", "component"), "near-components")
+        discard(known)
+    rows = sketches.select("id", "n", "digest").join(keyed, "digest", "left")
+    if some_twins:  # a row without words goes with the other rows of its id
+        mine = at.join(nodes.select("node", "digest"), "node").join(keyed, "digest").groupBy("id").agg(F.min("component").alias("same"))
+        rows = rows.join(F.broadcast(mine) if mine.count() <= BROADCAST_IDS else mine, "id", "left").withColumn("component", F.coalesce("component", "same"))
+    discard(*tables)
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def _ranked(values: DataFrame, per_cent: int, c: int) -> DataFrame:
-    """(value, id, n, m, rank, lone): the values (id, n, m, value) that another node holds too and
+    """(value, node, n, m, rank, lone): the values (node, n, m, value) that another node holds too and
     that stand early enough in their node's order, rare ones first, to prove a similar partner.
 
     ``rank`` counts the node's values that it holds alone (``lone`` of them) first: they are the rarest.
     """
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = materialize(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-often")
     shared = values.join(often, "value")
-    mine = W.partitionBy("id")
+    mine = W.partitionBy("node")
     need = F.least(F.ceil(F.col("n") * per_cent / 100.0), F.lit(c))
     ranked = shared.withColumns({"row": F.row_number().over(mine.orderBy("df", "value")), "lone": F.col("m") - F.count(F.lit(1)).over(mine)})
-    return ranked.withColumn("rank", F.col("row") + F.col("lone")).filter(F.col("rank") <= F.col("m") - need + 1).select("value", "id", "n", "m", "rank", "lone")
+    out = materialize(ranked.withColumn("rank", F.col("row") + F.col("lone")).filter(F.col("rank") <= F.col("m") - need + 1).select("value", "node", "n", "m", "rank", "lone"), "near-ranked")
+    discard(often)
+    return out
+
+
+def _mixed_lists(placed: DataFrame, by: str) -> DataFrame:
+    """(value): lists with members of different ``by``."""
+    ends = placed.groupBy("value").agg(F.min(by).alias("l1"), F.max(by).alias("l2"))
+    return materialize(ends.filter("l1 <> l2").select("value"), "near-mixed")
 
 
 def _involved(nodes: DataFrame, per_cent: int, c: int) -> DataFrame:
-    """(id): nodes that are on a list with another one."""
-    values = nodes.select("id", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    """(node): nodes that are on a list with another one."""
+    values = nodes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     lists = _ranked(values, per_cent, c)
-    twice = lists.groupBy("value").agg(F.min("id").alias("i1"), F.max("id").alias("i2")).filter("i1 <> i2").select("value")
-    return lists.join(twice, "value").select("id").distinct()
+    twice = _mixed_lists(lists, "node")
+    out = materialize(lists.select("value", "node").join(twice, "value").select("node").distinct(), "near-involved")
+    discard(lists, twice)
+    return out
 
 
 def _may_meet(x: str, y: str, per_cent: int, k: int, c: int) -> Column:
@@ -206,72 +265,87 @@ def _may_meet(x: str, y: str, per_cent: int, k: int, c: int) -> Column:
 
 
 def _retained(sets: DataFrame, k: int) -> DataFrame:
-    """(id, n, m, value) of the k smallest members of every full set."""
+    """(node, n, m, value) of the k smallest members of every full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            members = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        for batch in sliced(batches, SET_ROWS):
+            members = [x.view(np.int64) for x in _members(batch.column(1))]
             sizes = np.array([len(x) for x in members], np.int64)
             held = np.minimum(sizes, k)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), held)
+            nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), held)
             values = np.concatenate([x[:k] for x in members]) if members else np.empty(0, np.int64)
-            columns = [ids, np.repeat(sizes, held), np.repeat(held, held), values]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "m", "value"])
+            columns = [nodes, np.repeat(sizes, held), np.repeat(held, held), values]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "n", "m", "value"])
 
-    return sets.select("id", "members").mapInArrow(run, "id long, n long, m long, value long")
+    return sets.select("node", "members").mapInArrow(thrifty(run), "node long, n long, m long, value long")
+
+
+FIELDS = ("node", "n", "m", "rank", "label")
 
 
 def _side(rows: DataFrame, prefix: str) -> DataFrame:
-    return rows.select("value", *[F.col(c).alias(f"{prefix}{c}") for c in ("id", "n", "m", "rank", "label")])
+    return rows.select("value", *[F.col(c).alias(f"{prefix}{c}") for c in FIELDS])
 
 
-def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, nodes) -> DataFrame | None:
-    c, c_lists = least_overlap(k, per_cent / 100), least_overlap(k_lists, per_cent / 100)
-    involved = materialize(_involved(nodes, per_cent, c), "near-involved")
+def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(node, label) of the nodes that may be linked, or None; and the tables that may go once that is read."""
+    c, c_lists = (k, k) if exact else (least_overlap(k, per_cent / 100), least_overlap(k_lists, per_cent / 100))
+    involved = _involved(nodes, per_cent, c)
     n_involved = involved.count()
     if not n_involved:
-        return None
+        discard(involved)
+        return None, []
     few = max(1, n_involved // 50_000)  # partitions for tables of about a row per nominated node
     many = max(8, n_involved // 5_000)  # and for tasks that compare whole sets
-    wanted = F.broadcast(involved) if n_involved <= BROADCAST_IDS else involved
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
-    sets = materialize(_full_sets(chosen, width).dropDuplicates(["id"]), "near-sets")
-    lists = materialize(_ranked(_retained(sets, k_lists), per_cent, c_lists), "near-lists")
-    short = nodes.select("id", "sketch")
-    labels = materialize(involved.coalesce(few).select("id", F.col("id").alias("label")), "near-labels")
-    tried = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = lists.join(labels, "id")
-        mixed = placed.groupBy("value").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("value")
-        placed = placed.join(mixed, "value")
-        if turn < PIVOT_ROUNDS:
-            # the node with the fewest values of its own is the likeliest centre of its list; later rounds draw by lot
-            order = F.struct("lone", "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
-            best = placed.groupBy("value").agg(F.min(F.struct(order.alias("by"), "id", "n", "m", "rank", "label")).alias("p"))
-            other = best.select("value", *[F.col(f"p.{x}").alias(f"o{x}") for x in ("id", "n", "m", "rank", "label")])
-            met = _side(placed, "i").join(other, "value").filter("ilabel <> olabel")
-        else:
-            met = _side(placed, "i").join(_side(placed, "o"), "value").filter("iid < oid AND ilabel <> olabel")
-        met = met.filter(_may_meet("i", "o", per_cent, k_lists, c_lists))
-        pairs = met.select(F.least("iid", "oid").alias("a"), F.greatest("iid", "oid").alias("b")).distinct()
+    chosen = nodes.join(F.broadcast(involved) if n_involved <= BROADCAST_IDS else involved, "node", "left_semi")
+    short = materialize(chosen.select("node", "digest", "least", "sketch"), "near-short")
+    wanted = short.select(F.col("least").alias("id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(wanted) if n_involved <= BROADCAST_IDS else wanted, "id", "left_semi")
+    whole = _full_sets(texts, width).join(short.select("digest", "node"), "digest").select("node", "members").dropDuplicates(["node"])
+    sets = materialize(whole, "near-sets", arrow_rows=TEXT_ROWS)
+    retained = materialize(_retained(sets, k_lists), "near-retained", arrow_rows=SET_ROWS)
+    lists = _ranked(retained, per_cent, c_lists)
+    discard(retained)
+    labels = materialize(involved.coalesce(few).select("node", F.col("node").alias("label")), "near-labels")
+    tried, pivots = None, 1
+    while True:
+        placed = lists.join(labels, "node")
+        mixed = _mixed_lists(placed, "label")
+        placed = materialize(placed.join(mixed, "value"), "near-placed")
+        discard(mixed)
+        if not placed.limit(1).count():
+            discard(placed)
+            break
+        # the node with the fewest values of its own is the likeliest centre of its list; later ones are drawn, one from each of as many parts
+        order = F.struct("lone", "node") if pivots == 1 else F.struct(F.xxhash64("node", F.lit(1)), "node")
+        part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
+        best = placed.groupBy("value", part.alias("part")).agg(F.min(F.struct(order.alias("by"), *FIELDS)).alias("p"))
+        chosen = materialize(best.select("value", *[F.col(f"p.{x}").alias(x) for x in FIELDS]), "near-pivots")
+        met = _side(placed, "i").join(_side(chosen, "o"), "value").filter("inode <> onode AND ilabel <> olabel").filter(_may_meet("i", "o", per_cent, k_lists, c_lists))
+        pairs = met.select(F.least("inode", "onode").alias("a"), F.greatest("inode", "onode").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.coalesce(many), f"near-pairs{turn}")
+        pairs = materialize(pairs.coalesce(many), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        likely = pairs.join(short.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(short.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        likely = likely.filter(_plausible(F.col("x"), F.col("y"), k, c, per_cent)).select("a", "b")
-        loaded = likely.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
-        found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent).coalesce(many), f"near-links{turn}")
+        sketch = lambda x, y: short.select(F.col("node").alias(x), F.col("sketch").alias(y))
+        likely = pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(_plausible(F.col("x"), F.col("y"), k, c, per_cent)).select("a", "b")
+        member = lambda x, y: sets.select(F.col("node").alias(x), F.col("members").alias(y))
+        loaded = likely.join(member("a", "sa"), "a").join(member("b", "sb"), "b")
+        found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent).coalesce(many), "near-links", arrow_rows=SET_ROWS)
+        # what has been a pivot has met all of its list
+        rest = materialize(placed.drop("label").join(chosen.select("value", "node"), ["value", "node"], "left_anti"), "near-lists")
         if found.limit(1).count():
-            ends = lambda df, x: df.join(labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")), x)
+            ends = lambda df, x: df.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x)
             between = ends(ends(found, "a"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
             merged = connected_components(between, few).select(F.col("id").alias("label"), F.col("label").alias("to"))
-            renewed = materialize(labels.join(merged, "label", "left").select("id", F.coalesce("to", "label").alias("label")).coalesce(few), "near-labels")
+            renewed = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")).coalesce(few), "near-labels")
             discard(labels)
             labels = renewed
-        discard(found)
-    discard(sets, lists, involved)
-    return labels
+        discard(found, placed, chosen, lists)
+        lists, pivots = rest, 2 * pivots
+    discard(sets, lists, involved, short)
+    return labels, [labels]
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
