@@ -10,11 +10,15 @@ the boundary is taken if that brings the sum nearer to the target. Documents are
 
 Scale: prefix sums are two-level. Keys fall into about sqrt(rows) buckets of equal key
 ranges; bucket sums are aggregated on the map side and accumulated per source, and only the
-one bucket per source that the boundary falls into is sorted. No task sees a whole source.
+one bucket per source that the boundary falls into is sorted. No task sees a whole source, and
+documents are mixed where they are read: no text outside those buckets is shuffled.
 
 Defined cases: null or empty texts have size 0 and are taken 0 times. A null source is a
-source of its own, last in order. Equal keys are ordered by identifier. A source without
-words has target 0. An empty table gives an empty result. Reruns agree: keys are hashes.
+source of its own, last in order. Rows are judged one by one, also if they share an identifier:
+equal keys are ordered by identifier, size and a digest of the text; rows that are equal in all
+of these are interchangeable. A source without words has target 0. An empty table gives an
+empty result. Very long texts are counted whole, other columns pass through, whatever their
+names. Reruns agree: keys are hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalign.llm._util import SPACE, materialize, or_empty, unit_interval
+from stratalign.llm._util import SPACE, discard, materialize, or_empty, unit_interval
 
 BROADCAST_SOURCES = 20_000
 #: Signs of markup debris; each per cent of them in a text lowers its weight.
@@ -35,11 +39,18 @@ NOISE = "*%$#&|!"
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than white space.
 
-    White space becomes one kind of blank, so that words are the blanks that a
-    non-blank follows, plus the first; no array of words is built.
+    Byte searches only: white space becomes one kind of blank, every blank a pair of marks, and
+    marks that meet cancel out, which leaves one pair for every run of blanks between words.
     """
-    flat = F.translate(or_empty(text), SPACE, " " * len(SPACE))
-    return F.regexp_count(flat, F.lit("[^ ]+")).cast("long")
+    flat = or_empty(text)
+    for c in SPACE[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    for mark in "\x01\x02":
+        flat = F.replace(flat, F.lit(mark), F.lit("x"))
+    flat = F.btrim(flat)
+    runs = F.replace(F.replace(flat, F.lit(" "), F.lit("\x01\x02")), F.lit("\x02\x01"), F.lit(""))
+    between = F.octet_length(runs) - F.octet_length(F.replace(runs, F.lit("\x01"), F.lit("")))
+    return F.when(flat == "", 0).otherwise(between + 1).cast("long")
 
 
 def noise_weight(text: Column) -> Column:
@@ -76,56 +87,51 @@ def source_targets(sized: DataFrame, cycle: Sequence[int] = (5, 2, 1), max_epoch
     return top.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    cycle: Sequence[int] = (5, 2, 1),
-    max_epochs: int = 3,
-    seed: str = "mix-1",
-    weight: Column | None = None,
+def _taken(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, cycle: Sequence[int], max_epochs: int, seed: str, weight: Column | None, carry: Sequence[str]
 ) -> DataFrame:
-    """One row per row of ``docs``: id, size, source, source_size, target, copies, taken (= copies * size)."""
+    """(id, source, size, source_size, target, copies, and carry: a struct of those columns), one row per row of ``docs``."""
     weight = noise_weight(F.col(text_col)) if weight is None else weight
-    sized = materialize(
-        docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            (-F.ln(unit_interval(F.lit(seed), F.col(id_col).cast("string"))) / weight).alias("key"),
-        ),
-        "mix-sized",
+    size = word_count(F.col(text_col))
+    base = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+        (-F.ln(unit_interval(F.lit(seed), F.col(id_col).cast("string"))) / weight).alias("key"),
+        F.xxhash64(F.col(text_col)).alias("mark"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
     )
-    targets = materialize(source_targets(sized, cycle, max_epochs), "mix-targets")
-    n_sources, n = targets.count(), sized.count()
-    small = (lambda df: F.broadcast(df)) if n_sources <= BROADCAST_SOURCES else (lambda df: df)
-    buckets = 1 << max(4, (max(n, 1).bit_length() + 1) // 2)
+    # without columns to carry the narrow rows are written once; else the texts are read twice and written never
+    sized = base if carry else materialize(base, "mix-sized")
+    rows = (docs if carry else sized).count()
+    buckets = 1 << max(4, (max(rows, 1).bit_length() + 1) // 2)
     # 1 - exp(-key) grows with the key and is spread over (0, 1)
     slot = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
     placed = sized.withColumn("slot", slot)
-
+    sums = materialize(placed.groupBy("source", "slot").agg(F.sum("size").alias("size")), "mix-sums")
+    targets = source_targets(sums, cycle, max_epochs)
     plan = targets.select(
         F.col("source").alias("s"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
     ).withColumn("need", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
-
-    sums = placed.groupBy("source", "slot").agg(F.sum("size").alias("words"))
     run = W.partitionBy("source").orderBy("slot")
-    sums = sums.withColumn("upto", F.sum("words").over(run))
+    upto = sums.select("source", "slot", F.col("size").alias("words"), F.sum("size").over(run).alias("upto"))
+    plan = materialize(plan, "mix-plan")
+    n_sources = plan.count()
+    small = (lambda df: F.broadcast(df)) if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     edge = (
-        sums.join(small(plan), F.col("source").eqNullSafe(F.col("s")))
+        upto.join(small(plan), F.col("source").eqNullSafe(F.col("s")))
         .filter(F.col("upto") >= F.col("need"))
         .groupBy("s").agg(F.min(F.struct("slot", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
         .select("s", "edge.slot", "edge.before")
     )
-    plan = materialize(
+    edged = materialize(
         plan.alias("p").join(edge.alias("g"), F.col("p.s").eqNullSafe(F.col("g.s")), "left")
         .select("p.*", F.col("g.slot").alias("edge_slot"), F.col("g.before").alias("edge_before")),
-        "mix-plan",
+        "mix-edges",
     )
+    discard(plan, sums)
 
-    joined = placed.join(small(plan), F.col("source").eqNullSafe(F.col("s")))
+    joined = placed.join(small(edged), F.col("source").eqNullSafe(F.col("s")))
     at_edge = F.coalesce(F.col("slot") == F.col("edge_slot"), F.lit(False)) & (F.col("size") > 0)
-    fine = W.partitionBy("source").orderBy("key", "id").rowsBetween(W.unboundedPreceding, -1)
+    fine = W.partitionBy("source").orderBy("key", "id", "size", "mark").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("edge_before") + F.coalesce(F.sum("size").over(fine), F.lit(0))
     boundary = joined.filter(at_edge).withColumn("before", before)
     near = (F.col("before") + F.col("size")).cast("double") - F.col("need") <= F.col("need") - F.col("before").cast("double")
@@ -136,18 +142,38 @@ def mix_sources(
     )
     both = away.unionByName(chosen_edge.drop("before"))
     copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0)
-    return both.select(
+    return both.withColumn("copies", copies.cast("int"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    cycle: Sequence[int] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: str = "mix-1",
+    weight: Column | None = None,
+) -> DataFrame:
+    """One row per row of ``docs``: id, size, source, source_size, target, copies, taken (= copies * size)."""
+    out = _taken(docs, id_col, text_col, source_col, cycle, max_epochs, seed, weight, ())
+    return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+        "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
     )
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: rows of ``docs`` repeated as often as they are taken, all columns kept.
-
-    Rows that share an id are taken equally often, as often as the first of them.
-    """
-    copies = mix_sources(docs, id_col=id_col, **how).groupBy(F.col(id_col).alias("__mix_id")).agg(F.max("copies").alias("__mix_copies"))
-    out = docs.join(copies.filter("__mix_copies > 0"), docs[id_col].eqNullSafe(F.col("__mix_id")))
-    times = out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_turn"))
-    return times.select(*docs.columns)
+def mix_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    cycle: Sequence[int] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: str = "mix-1",
+    weight: Column | None = None,
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` repeated as often as that row is taken, all columns kept."""
+    out = _taken(docs, id_col, text_col, source_col, cycle, max_epochs, seed, weight, docs.columns)
+    times = out.filter("copies > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn"))
+    return times.select(*[F.col("carry").getField(c).alias(c) for c in docs.columns])
