@@ -8,6 +8,10 @@ so that reruns agree). Their features are computed on the executors and reduced
 hash ids; the driver keeps the features whose share among label 1 differs from that among
 label 0 by more than chance, and fits by AdaGrad. The fitted model is a few thousand rows.
 Scoring covers every row and whole text, in one pass without a shuffle.
+
+Defined cases: null texts count as empty; labels other than 0 and 1 are no labels; with no
+usable label the model is its bias, 0.5; ties between features go to the smaller hash id; the
+order of the rows and their partitions have no influence.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalign.llm._util import sliced
+from stratalign.llm._util import sliced, thrifty
 
 BUCKETS = 1 << 20
 
@@ -84,6 +88,14 @@ def select_features(lists: list[np.ndarray], y: np.ndarray, cfg: FMConfig) -> li
     return kept[np.argsort(-z[kept], kind="stable")][: cfg.max_features].tolist()
 
 
+def _sums(group: np.ndarray, values: np.ndarray, groups: int) -> np.ndarray:
+    """Column sums of ``values`` by group."""
+    out = np.empty((groups, values.shape[1]))
+    for f in range(values.shape[1]):
+        out[:, f] = np.bincount(group, values[:, f], groups)
+    return out
+
+
 def fit(lists: list[np.ndarray], labels: np.ndarray, cfg: FMConfig) -> FMModel:
     """Logistic loss, AdaGrad. Without rows, or with one label only, the model is its bias."""
     y = np.asarray(labels, np.float64)
@@ -105,7 +117,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, cfg: FMConfig) -> FMModel:
             offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             ids = flat[np.repeat(starts[mine], sizes) + offset]
             vx = v[ids]
-            total = np.stack([np.bincount(owner, vx[:, f], len(mine)) for f in range(k)], 1)
+            total = _sums(owner, vx, len(mine))
             squares = np.bincount(owner, (vx * vx).sum(1), len(mine))
             z = bias + np.bincount(owner, w[ids], len(mine)) + 0.5 * ((total * total).sum(1) - squares)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[mine]) / len(mine)
@@ -118,7 +130,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, cfg: FMConfig) -> FMModel:
             gw[touched] += grad_w**2
             w[touched] -= cfg.rate * grad_w / np.sqrt(gw[touched])
             inner = (total[owner] - vx) * e[:, None]
-            grad_v = np.stack([np.bincount(back, inner[:, f], len(touched)) for f in range(k)], 1) + cfg.l2 * v[touched]
+            grad_v = _sums(back, inner, len(touched)) + cfg.l2 * v[touched]
             gv[touched] += grad_v**2
             v[touched] -= cfg.rate * grad_v / np.sqrt(gv[touched])
     return FMModel(float(bias), index, w, v)
@@ -142,7 +154,7 @@ def train(rows: DataFrame, extractor: Extractor, cfg: FMConfig, id_col: str, tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["id", "label", "features"])
 
     schema = T.StructType([T.StructField("id", rows.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("features", T.BinaryType())])
-    sample = sorted(((str(r["id"]), r["label"], bytes(r["features"])) for r in chosen.mapInArrow(run, schema).toLocalIterator()))
+    sample = sorted(((str(r["id"]), r["label"], bytes(r["features"])) for r in chosen.mapInArrow(thrifty(run), schema).toLocalIterator()))
     return fit([np.frombuffer(f, np.int32) for _, _, f in sample], np.array([x for _, x, _ in sample]), cfg)
 
 
@@ -160,4 +172,4 @@ def score(docs: DataFrame, model: FMModel, extractor: Extractor, text_col: str,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, out])
 
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField(out, T.DoubleType())])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(thrifty(run), schema)

@@ -4,9 +4,13 @@ Structure statistics are binned shares (markup signs, bars, capitals, digits, di
 words, stutter and so on); with the bins as binary features the pairwise terms can tell, say,
 long lines with few distinct words from short ones. Label 1 marks good documents.
 
-Defined cases: a null text is scored as the empty one. Labels other than 0 and 1, labels
-without a document and documents without a label are left out of training. Without usable
-labels every score is 0.5. Repeated rows are scored alike; other columns pass through.
+Defined cases: a null text is scored as the empty one, very long texts are scored whole.
+Labels other than 0 and 1, labels without a document and documents without a label are left
+out of training; of labels that share an id the largest counts. Without usable labels every
+score is 0.5. Repeated rows are scored alike; other columns pass through; an empty table gives
+an empty result. Training takes at most about ``max_rows`` labelled rows, and the model holds
+at most ``max_features`` hash ids, those whose rates differ most between the labels; every row
+is scored whole with what the model holds.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalign.llm import fm, text_features
+from stratalign.llm._util import unused_name
 
 #: Documents that score at least this much are kept.
 KEEP = 0.3
@@ -47,12 +52,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label: str, extractor, cf
     return fm.train(train_labels(docs, chosen, label, id_col, text_col), extractor, cfg, "id", "text", "label")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: fm.FMConfig = CONFIG) -> DataFrame:
-    """``docs`` with score, the probability of label 1."""
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: fm.FMConfig = CONFIG, out: str = "score") -> DataFrame:
+    """``docs`` with ``out``, the probability of label 1, in place of a column of that name."""
     model = fit_classifier(docs, labels, "quality", EXTRACTOR, cfg, id_col, text_col)
-    return fm.score(docs, model, EXTRACTOR, text_col)
+    return fm.score(docs, model, EXTRACTOR, text_col, out)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP, **how) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, columns unchanged."""
-    return score_quality(docs, labels, **how).filter(F.col("score") >= least).select(*docs.columns)
+    """The rows of ``docs`` that score at least ``least``, columns unchanged, whatever their names."""
+    name = unused_name(docs.columns, "score")
+    return score_quality(docs, labels, out=name, **how).filter(F.col(f"`{name}`") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,6 +3,9 @@
 An extractor is called once per task and returns a function from a text to the set of its
 hash ids. Given the ids that a model keeps, it drops all others while a word is looked up,
 so most words cost one dictionary access.
+
+Defined cases: an empty text has its structure ids (if they are asked for) and no others; a
+text is taken whole, and a word counts once however often it occurs.
 """
 
 from __future__ import annotations

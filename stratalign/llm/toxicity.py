@@ -4,7 +4,8 @@ Terms are words and word stems of a few lengths, so that compounds and inflected
 term count as well. Pairwise weights let a term matter only beside another, as an insult
 does beside a mention of a group, which one additive weight per term can't express.
 
-Defined cases: as for the quality classifier. Label 1 marks toxic documents.
+Defined cases: as for the quality classifier, its bounds on training rows and model included.
+Label 1 marks toxic documents.
 """
 
 from __future__ import annotations
