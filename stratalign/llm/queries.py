@@ -47,7 +47,7 @@ MODEL = os.environ.get("STRATALIGN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_codec.count_ids(sentencepiece_codec.encode(docs, MODEL, check=True)).select("doc_id", "n_ids", "ids", "decoded_ok")
+    return sentencepiece_codec.count_ids(sentencepiece_codec.encode(docs, MODEL, check=True)).select("doc_id", "n_ids", "ids", "decoded_ok", "n_commits")
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

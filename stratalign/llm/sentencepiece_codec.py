@@ -1,30 +1,36 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The lattice has a node for every position of the normalised text and an edge for every piece
-that ends there, or for the single character. Only the last ``max_piece_length`` nodes can be
-extended, so only they are held. Whenever the backpointer paths of all of them meet in one
-boundary, the pieces before it are final: their ids are emitted and forgotten.
+that ends there (an Aho-Corasick automaton lists them), or for the single character. Only the
+last ``max_piece_length`` nodes can be extended, so only they are held. Whenever the backpointer
+paths of all of them meet in one boundary, the pieces before it are final: their ids are
+committed and forgotten.
 
 Unigram vocabularies keep, per node, the path of the greatest sum of scores. Byte-pair
 vocabularies have no such sum; there a path may be extended by a piece exactly if merging the
 last two pieces' characters alone gives back the two pieces. One path per node survives that
 test, and it is the encoding that merging the whole text would give.
 
-A blank can only begin a piece in usual vocabularies, and no piece has, say, a letter and then
-a comma. All paths meet at such places, so the text is cut there and the ids of short stretches
-are remembered (``MEMO`` of them).
+Boundaries are found in two ways. A blank can only begin a piece in usual vocabularies, and no
+piece has, say, a letter and then a comma: no piece spans such a place, so all paths meet there,
+and the ids before it are committed as soon as the text reaches it. Where there is no such
+place for four windows, the paths of the nodes in the window are traced back until they meet.
+What lies between two boundaries is searched once and remembered while it is in use (``MEMO``).
 
 The vocabulary is a model file's; it is read on the driver from a path that the caller gives
 and sent to the executors, a few hundred kilobytes for usual models (``VOCABULARY_LIMIT``).
 
 Defined cases: null and empty texts have no ids. A character outside the vocabulary becomes
 its bytes if the model has byte pieces, the unknown id otherwise. The mark U+2581 in a text is
-a blank. Very long texts are processed whole. Repeated rows are encoded alike.
+a blank. Very long texts are processed whole. Repeated rows are encoded alike. Columns named as
+those that are added are replaced, others pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -35,15 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalign.llm._util import sliced, thrifty
+
 BLANK = "▁"
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûü")
-MEMO = 600_000
+#: Stretches between boundaries that are remembered, twice over: those used lately, and those before them.
+MEMO = 75_000
 MEMO_LENGTH = 64
-#: Nodes of the lattice that are remembered by the text up to them, for stretches that begin alike.
-NODES = 1_000_000
-#: Pairs of pieces whose merging is known; they outlive a task, stretches and nodes don't.
-PAIRS = 400_000
-NODE_LENGTH = 32
+#: Pairs of pieces whose merging is known.
+PAIRS = 300_000
 VOCABULARY_LIMIT = 2_000_000
 #: What an unknown character costs a unigram path below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -60,6 +66,7 @@ class Vocabulary:
     byte_ids: tuple[int, ...] = ()
     dummy_prefix: bool = True
     silent: frozenset[int] = field(default_factory=frozenset)  # control ids: decoded to nothing
+    digest: str = ""  # of the model file
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -67,7 +74,8 @@ class Vocabulary:
 
         model = pb.ModelProto()
         with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+            raw_file = f.read()
+        model.ParseFromString(raw_file)
         kind, norm = model.trainer_spec.model_type, model.normalizer_spec
         if kind not in (1, 2):
             raise ValueError("only unigram and byte-pair models are supported")
@@ -88,10 +96,16 @@ class Vocabulary:
             else:
                 raise ValueError("user-defined and unused pieces are not supported")
         byte_ids = tuple(raw[b] for b in range(256)) if len(raw) == 256 and model.trainer_spec.byte_fallback else ()
-        return cls(pieces, kind == 2, len(model.pieces), unknown, byte_ids, norm.add_dummy_prefix, frozenset(silent))
+        return cls(pieces, kind == 2, len(model.pieces), unknown, byte_ids, norm.add_dummy_prefix, frozenset(silent), hashlib.sha256(raw_file).hexdigest())
 
     def plain(self) -> tuple:
-        return (self.pieces, self.merges, self.size, self.unknown, self.byte_ids, self.dummy_prefix, self.silent)
+        return (self.pieces, self.merges, self.size, self.unknown, self.byte_ids, self.dummy_prefix, self.silent, self.key)
+
+    @cached_property
+    def key(self) -> str:
+        """The digest of the model file; of all that the vocabulary holds if it comes from none."""
+        whole = (sorted(self.pieces.items()), self.merges, self.size, self.unknown, self.byte_ids, self.dummy_prefix, sorted(self.silent))
+        return self.digest or hashlib.sha256(repr(whole).encode()).hexdigest()
 
     @cached_property
     def longest(self) -> int:
@@ -137,152 +151,215 @@ def merged(text: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
+START = (1 << 21) - 1
+
+
+class Lattice:
+    """What searches of one vocabulary share: pieces by number, the automaton and the known pairs."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        import ahocorasick
+
+        self.v = vocabulary
+        self.names = list(vocabulary.pieces)
+        self.number = {p: i for i, p in enumerate(self.names)}
+        self.sizes = [len(p) for p in self.names]
+        self.scores = [vocabulary.pieces[p][1] for p in self.names]
+        self.ids = [[vocabulary.pieces[p][0]] for p in self.names]
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.number.items():
+            self.automaton.add_word(p, (i, len(p)))
+        self.automaton.make_automaton()
+        self.pairs: dict[int, bool] = {}
+
+    def single(self, char: str) -> int:
+        """The number of a single character, in the vocabulary or not."""
+        found = self.number.get(char)
+        if found is None:
+            found = self.number[char] = len(self.names)
+            self.names.append(char)
+            self.sizes.append(1)
+            self.scores.append(self.v.worst)
+            self.ids.append([self.v.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.v.byte_ids else [self.v.unknown])
+        return found
+
+    def fits(self, left: int, right: int) -> bool:
+        """Merging the text of both pieces alone ends in these two pieces."""
+        pieces, b = self.v.pieces, self.names[right]
+        if left == START:
+            out = len(b) == 1 or merged(b, pieces) == [b]
+        else:
+            a = self.names[left]
+            out = a + b not in pieces and merged(a + b, pieces) == [a, b]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 21 | right] = out
+        return out
+
+
 class StreamingViterbi:
-    """Feed normalised text in portions of any size; pieces come out as soon as they are final.
+    """Push normalised text in portions of any size; pieces come out as soon as they are final.
 
     ``text`` and the lists hold what lies behind ``base``, the last boundary that was final.
-    Entry i of ``last`` is the piece on whose end node i stands (None: no path reaches it);
-    its length is the backpointer.
+    Entry i of ``last`` is the number of the piece on whose end node i stands (-1: no path
+    reaches it); its length is the backpointer.
     """
 
-    def __init__(self, vocabulary: Vocabulary, compatible: dict[tuple[str, str], bool] | None = None, nodes: dict[str, str | None] | None = None):
-        self.v, self.window = vocabulary, max(1, vocabulary.longest)
-        self.compatible = {} if compatible is None else compatible
-        self.nodes = {} if nodes is None else nodes
+    def __init__(self, lattice: Lattice | Vocabulary):
+        self.at = lattice if isinstance(lattice, Lattice) else Lattice(lattice)
+        self.merges, self.window = self.at.v.merges, max(1, self.at.v.longest)
         self.text, self.base = "", 0
-        self.last: list[str | None] = [""]
+        self.last: list[int] = [START]
         self.sums = [0.0]
-        self.most_held = 0
-
-    def _fits(self, left: str, right: str) -> bool:
-        """Merging ``left + right`` alone ends in these two pieces."""
-        pieces = self.v.pieces
-        out = left + right not in pieces and merged(left + right, pieces) == ([left, right] if left else [right])
-        if not left:
-            out = len(right) == 1 or merged(right, pieces) == [right]
-        if len(self.compatible) > PAIRS:
-            self.compatible.clear()
-        self.compatible[left, right] = out
-        return out
+        self.most_held = self.commits = 0
 
     def feed(self, portion: str) -> Iterator[str]:
-        step = 4 * self.window
+        """The pieces that became final."""
+        return map(self.at.names.__getitem__, self.push(portion))
+
+    def push(self, portion: str) -> list[int]:
+        """The numbers of the pieces that became final."""
+        step, out = 4 * self.window, []
         for at in range(0, len(portion), step):
             self.text += portion[at : at + step]
-            self._extend_merges() if self.v.merges else self._extend_sums()
-            self.most_held = max(self.most_held, len(self.last))
-            if len(self.last) > step:
-                yield from self._settle()
+            self._extend_merges() if self.merges else self._extend_sums()
+            if len(self.last) > self.most_held:
+                self.most_held = len(self.last)
+            if len(self.last) > step + 1:
+                out += self._settle()
+        return out
 
     def _extend_merges(self) -> None:
-        text, last, window, pieces, known = self.text, self.last, self.window, self.v.pieces, self.compatible
-        first = len(last)
-        nodes, met = self.nodes, 0 if self.base else min(len(text), NODE_LENGTH)
-        while first <= met and (piece := nodes.get(text[:first], "")) != "":
-            last.append(piece)
-            first += 1
-        for end in range(first, len(text) + 1):
-            for begin in range(end - window if end > window else 0, end):
-                piece = text[begin:end]
-                if piece in pieces or begin == end - 1:
-                    left = last[begin]
-                    if left is not None:
-                        fits = known.get((left, piece))
-                        if self._fits(left, piece) if fits is None else fits:
-                            last.append(piece)
-                            break
-            else:
-                last.append(None)
-            if end <= met:
-                nodes[text[:end]] = last[end]
-        if len(nodes) > NODES:
-            nodes.clear()
+        text, last, known, fits = self.text, self.last, self.at.pairs, self.at.fits
+        need = len(last)  # the node to be reached next
+
+        def alone() -> int:  # by a character that is no piece
+            piece, left = self.at.single(text[need - 1]), last[-1]
+            if left < 0 or text[need - 1] in self.at.v.pieces:
+                return -1
+            found = known.get(left << 21 | piece)
+            return piece if (fits(left, piece) if found is None else found) else -1
+
+        for end, (piece, size) in self.at.automaton.iter(text, max(0, need - self.window)):
+            end += 1
+            if end < need:
+                continue
+            while need < end:
+                last.append(alone())
+                need += 1
+            left = last[end - size]
+            if left >= 0:
+                found = known.get(left << 21 | piece)
+                if fits(left, piece) if found is None else found:
+                    last.append(piece)
+                    need += 1
+        while need <= len(text):
+            last.append(alone())
+            need += 1
 
     def _extend_sums(self) -> None:
-        text, last, sums, window, pieces, worst = self.text, self.last, self.sums, self.window, self.v.pieces, self.v.worst
-        for end in range(len(last), len(text) + 1):
-            best, chosen = None, None
-            for begin in range(end - window if end > window else 0, end):
-                piece = text[begin:end]
-                found = pieces.get(piece)
-                if found is not None or begin == end - 1:
-                    total = sums[begin] + (worst if found is None else found[1])
-                    if best is None or total > best:
-                        best, chosen = total, piece
+        text, last, sums, scores = self.text, self.last, self.sums, self.at.scores
+        need, best, chosen = len(last), None, -1
+
+        def reach() -> None:  # node ``need``, by the best piece or the character alone
+            nonlocal need, best, chosen
+            if text[need - 1] not in self.at.v.pieces:
+                piece = self.at.single(text[need - 1])
+                if best is None or sums[need - 1] + scores[piece] > best:
+                    best, chosen = sums[need - 1] + scores[piece], piece
             last.append(chosen)
             sums.append(best)
-
-    def _settle(self) -> list[str]:
+            need, best, chosen = need + 1, None, -1
+
+        for end, (piece, size) in self.at.automaton.iter(text, max(0, need - self.window)):
+            end += 1
+            if end < need:
+                continue
+            while need < end:
+                reach()
+            total = sums[end - size] + scores[piece]
+            if best is None or total > best:
+                best, chosen = total, piece
+        while need <= len(text):
+            reach()
+
+    def _settle(self) -> list[int]:
         """Take out what the paths of all nodes that can still be extended have in common."""
-        last, end = self.last, len(self.last) - 1
-        meet = {p for p in range(end - self.window + 1, end + 1) if last[p] is not None}
+        last, sizes, end = self.last, self.at.sizes, len(self.last) - 1
+        meet = {p for p in range(end - self.window + 1, end + 1) if last[p] >= 0}
         while len(meet) > 1:  # the latest node steps back until all are one
             node = max(meet)
             meet.discard(node)
-            meet.add(node - len(last[node]))
+            meet.add(node - sizes[last[node]])
         boundary = meet.pop()
+        if not boundary:
+            return []
         final = self._path(boundary)
+        self.commits += 1
         self.text, self.last, self.base = self.text[boundary:], last[boundary:], self.base + boundary
-        if not self.v.merges:
+        if not self.merges:
             ground = self.sums[boundary]
             self.sums = [x - ground for x in self.sums[boundary:]]
         return final
 
-    def _path(self, node: int) -> list[str]:
-        out = []
+    def _path(self, node: int) -> list[int]:
+        out, last, sizes = [], self.last, self.at.sizes
         while node > 0:
-            out.append(self.last[node])
-            node -= len(self.last[node])
+            out.append(last[node])
+            node -= sizes[last[node]]
         return out[::-1]
 
-    def finish(self) -> list[str]:
+    def close(self) -> list[int]:
         return self._path(len(self.last) - 1)
 
+    def finish(self) -> list[str]:
+        return [self.at.names[i] for i in self.close()]
+
 
 class Codec:
-    """Encoder and decoder of one vocabulary, with the memo of short stretches."""
+    """Encoder and decoder of one vocabulary, with the memo of short stretches.
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.memo: dict[str, bytes] = {}
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.nodes: dict[str, str | None] = {}
+    ``commits`` counts the boundaries at which ids were committed before their text ended, and
+    ``most_held`` is the most nodes that any search held. Without ``cuts`` only tracing back
+    finds boundaries.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, cuts: bool = True):
+        self.v, self.lattice = vocabulary, Lattice(vocabulary)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.commits = self.most_held = 0
         signs, letters = re.escape(vocabulary.cut_signs), "".join(sorted(LETTERS))
         word = f"{BLANK}*[{letters}]+(?=[{signs}{BLANK}])|" if signs else ""
-        self.stretches = re.compile(f"{word}{BLANK}*[^{BLANK}]+|{BLANK}+") if vocabulary.cuts_at_blanks else re.compile("(?s).+")
-
-    def _ids(self, piece: str) -> list[int]:
-        found = self.v.pieces.get(piece)
-        if found is not None:
-            return [found[0]]
-        if self.v.byte_ids:
-            return [self.v.byte_ids[b] for b in piece.encode("utf-8", "replace")]
-        return [self.v.unknown]
+        self.stretches = re.compile(f"{word}{BLANK}*[^{BLANK}]+|{BLANK}+") if cuts and vocabulary.cuts_at_blanks else re.compile("(?s).+")
 
     def _search(self, stretch: str) -> bytes:
-        search, ids = StreamingViterbi(self.v, self.compatible, self.nodes), []
-        for piece in search.feed(stretch):
-            ids += self._ids(piece)
-        for piece in search.finish():
-            ids += self._ids(piece)
+        search, ids, of = StreamingViterbi(self.lattice), [], self.lattice.ids
+        for piece in search.push(stretch):
+            ids += of[piece]
+        for piece in search.close():
+            ids += of[piece]
+        self.commits += search.commits
+        self.most_held = max(self.most_held, search.most_held)
         if not self.v.byte_ids and len(ids) > 1:  # neighbouring unknowns are one
             ids = [x for k, x in enumerate(ids) if not k or x != self.v.unknown or ids[k - 1] != self.v.unknown]
-        return np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
 
     def __getitem__(self, stretch: str) -> bytes:
-        known = self.memo.get(stretch)
+        known = self.young.get(stretch)
         if known is None:
-            known = self._search(stretch)
+            known = self.old.get(stretch)
+            if known is None:
+                known = self._search(stretch)
             if len(stretch) <= MEMO_LENGTH:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[stretch] = known
+                if len(self.young) >= MEMO:
+                    self.young, self.old = {}, self.young
+                self.young[stretch] = known
         return known
 
     def forget(self) -> None:
         """Free what grows with the texts; a worker's memory is needed by other stages."""
-        self.memo.clear()
-        self.nodes.clear()
+        self.young, self.old = {}, {}
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
@@ -291,7 +368,9 @@ class Codec:
         flat = text.replace(" ", BLANK)
         if self.v.dummy_prefix:
             flat = BLANK + flat
-        return b"".join(map(self.__getitem__, self.stretches.findall(flat)))
+        stretches = self.stretches.findall(flat)
+        self.commits += len(stretches) - 1
+        return b"".join(map(self.__getitem__, stretches))
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<i4").tolist()
@@ -305,10 +384,9 @@ def worker_codec(plain: tuple) -> Codec:
     """The codec of this Python worker, which lives on from task to task with its pairs."""
     import sys
 
-    key = (plain[2], hash(frozenset(list(plain[0].items())[:: max(1, len(plain[0]) // 64)])))
     held = getattr(sys, "_stratalign_codecs", None)
-    if held is None or held[0] != key:
-        held = sys._stratalign_codecs = (key, Codec(Vocabulary(*plain)))  # noqa: SLF001
+    if held is None or held[0] != plain[-1]:
+        held = sys._stratalign_codecs = (plain[-1], Codec(Vocabulary(*plain)))  # noqa: SLF001
     return held[1]
 
 
@@ -320,29 +398,32 @@ def _int_lists(blobs: list[bytes]) -> pa.Array:
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids", check: bool = False) -> DataFrame:
-    """``docs`` with the ids of each whole text; with ``check`` also decoded_ok, whether decoding gives the text back."""
+    """``docs`` with the ids of each whole text; with ``check`` also decoded_ok, whether decoding gives the text
+    back, and n_commits, the boundaries at which its ids were committed before it ended."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model).plain())
-    columns = [c for c in docs.columns if c not in (out, "decoded_ok")]
+    columns = [c for c in docs.columns if c not in ((out, "decoded_ok", "n_commits") if check else (out,))]
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(shared.value)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                texts = batch.column(at).to_pylist()
-                blobs = [codec.encode(t) for t in texts]
-                made, names = [*batch.columns, _int_lists(blobs)], [*columns, out]
-                if check:
-                    made.append(pa.array([codec.decode(b) == (t or "").replace(BLANK, " ") for b, t in zip(blobs, texts, strict=True)], pa.bool_()))
-                    names.append("decoded_ok")
-                yield pa.RecordBatch.from_arrays(made, names)
+        for batch in sliced(batches, 250):
+            texts, blobs, commits = batch.column(at).to_pylist(), [], []
+            for t in texts:
+                before = codec.commits
+                blobs.append(codec.encode(t))
+                commits.append(codec.commits - before)
+            made, names = [*batch.columns, _int_lists(blobs)], [*columns, out]
+            if check:
+                right = [codec.decode(b) == (t or "").replace(BLANK, " ") for b, t in zip(blobs, texts, strict=True)]
+                made += [pa.array(right, pa.bool_()), pa.array(commits, pa.int64())]
+                names += ["decoded_ok", "n_commits"]
+            yield pa.RecordBatch.from_arrays(made, names)
         codec.forget()
 
     fields = [*[docs.schema[c] for c in columns], T.StructField(out, T.ArrayType(T.IntegerType(), False))]
     if check:
-        fields.append(T.StructField("decoded_ok", T.BooleanType()))
-    return docs.select(*columns).mapInArrow(run, T.StructType(fields))
+        fields += [T.StructField("decoded_ok", T.BooleanType()), T.StructField("n_commits", T.LongType())]
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(thrifty(run), T.StructType(fields))
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -353,11 +434,11 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if x is None else codec.decode(np.array(x, "<i4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, out])
 
-    return rows.select(*columns).mapInArrow(run, T.StructType([*[rows.schema[c] for c in columns], T.StructField(out, T.StringType())]))
+    return rows.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(thrifty(run), T.StructType([*[rows.schema[c] for c in columns], T.StructField(out, T.StringType())]))
 
 
 def count_ids(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
