@@ -16,35 +16,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratalign.llm import line_dedup, mixing, near_dedup, quality, sentencepiece_codec
-from stratalign.llm._util import materialize
+from stratalign.llm._util import discard, materialize
 from stratalign.llm.queries import MODEL
 
 #: Lines in this many documents or more are dropped.
 MIN_DOCS = 10
 
 
+#: Rows of an Arrow batch while a stage runs: what executors and Python workers hold beside their data stays small.
+ARROW_ROWS = 1_000
+
+
+def _lean(spark: SparkSession) -> None:
+    """The caller writes a stage's frame after the stage has returned, so the setting stays with the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.3 or more."""
+    """Documents that the quality classifier scores 0.3 or more, columns unchanged.
+
+    A null text is scored as the empty one; without usable labels every score is 0.5 and all stay.
+    Very long texts are scored whole, repeated rows alike; an empty table stays empty.
+    """
+    _lean(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without the lines that ``MIN_DOCS`` documents share."""
-    return line_dedup.dedup_lines(docs, min_docs=MIN_DOCS).select(*docs.columns)
+    """All documents, their texts without the lines that ``MIN_DOCS`` documents share; columns unchanged.
+
+    A null text becomes the empty one, a text of common lines only too. Repeated rows are documents
+    of their own and count as such; lines of white space never go; very long texts are taken whole.
+    """
+    _lean(spark)
+    return line_dedup.drop_common_lines(docs, MIN_DOCS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each class of near duplicates (five words, similarity 0.8)."""
+    """One document, that of the smallest id, of each class of near duplicates (five words, similarity 0.8).
+
+    Rows of one id are one document and stay or go together. Texts without words, and rows
+    without an id, are nobody's copies and stay. Columns unchanged; an empty table stays empty.
+    """
+    _lean(spark)
     return near_dedup.keep_representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as the mix takes them."""
+    """Rows repeated as often as the mix takes them, columns unchanged.
+
+    Texts without words have size 0 and are taken 0 times; a null source is a source; ties between
+    equal keys go to the smaller id, then size, then digest of the text.
+    """
+    _lean(spark)
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_ids and ids of every document of the mix."""
+    """doc_id, source, n_ids and ids of every row of the mix; a null or empty text has no ids."""
+    _lean(spark)
     return sentencepiece_codec.count_ids(sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), MODEL)).select("doc_id", "source", "n_ids", "ids")
 
 
@@ -62,6 +94,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
     return docs
