@@ -1,17 +1,20 @@
 """License scan by canonical digests, DataFrame operations only.
 
-A text is brought to a canonical form, line by line: lower case, copyright claims cut off
-(what follows the holder's sentence, or the start of a grant, stays), equivalent spellings made one, punctuation and white space made single blanks. The SHA-256
-of the canonical lines of a whole text is looked up, by a hash join, among the digests of
-known licence texts. The same lookup is made for single lines, so that a notice such as
-"Released under the MIT License." is found inside a longer document.
+A text is brought to a canonical form: lower case, copyright claims cut off (what follows the
+holder's sentence, or the start of a grant, stays), equivalent spellings made one, punctuation and
+white space made single blanks. The SHA-256 of the canonical lines of a whole text is looked up,
+by a hash join, among the digests of known licence texts. Inside a longer document the same
+lookup is made wherever the opening words of a known text stand, for as much of the document
+as that text is long, and for single lines, so that a notice such as "Released under the MIT
+License." is found too.
 
 Scale: one pass over the documents, no shuffle. The known digests are a fixed catalogue,
 broadcast after a check of its size.
 
 Defined cases: null and empty texts, and texts of nothing but copyright lines, have no
 licence. Repeated rows are judged alike. Two catalogue entries with one canonical form
-count as the smaller name. Very long texts are processed whole.
+count as the smaller name. Very long texts and lines are processed whole. Columns other than the
+identifier and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,16 +140,14 @@ def spelled(line: Column) -> Column:
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical lines of a text; empty ones are dropped."""
-
-    def one(line: Column) -> Column:
-        words = F.concat(F.lit(" "), F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-        return F.btrim(F.regexp_replace(words, " +", " "))
-
-    lines = F.split(ascii_lower(or_empty(text)), "\n", -1)
-    kept = F.filter(lines, lambda x: ~x.rlike(_RESERVED))
+    """Canonical lines of a text; empty ones are dropped. Only texts that may claim copyright are cut up for that."""
+    low = ascii_lower(or_empty(text))
+    claims = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("all rights reserved")
+    kept = F.filter(F.split(low, "\n", -1), lambda x: ~x.rlike(_RESERVED))
     cut = F.transform(kept, lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSE, "")).otherwise(x))
-    return F.filter(F.transform(cut, lambda x: F.btrim(spelled(F.concat(F.lit(" "), one(x), F.lit(" "))))), lambda x: x != "")
+    words = F.regexp_replace(F.when(claims, F.array_join(cut, "\n")).otherwise(low), r"[^\p{L}\p{N}\n]+", " ")
+    padded = F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    return F.filter(F.transform(F.split(spelled(padded), "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def canonical_text(text: str) -> str:
@@ -189,6 +190,45 @@ def catalogue(texts: Mapping[str, str] = TEXTS, notices: Mapping[str, tuple] = N
     return whole, lines
 
 
+ANCHOR_WORDS = 6
+
+
+def blocks(texts: Mapping[str, str] = TEXTS) -> dict[str, dict[int, dict[str, str]]]:
+    """Opening words of the catalogue's texts -> length of the canonical text -> digest -> licence."""
+    out: dict[str, dict[int, dict[str, str]]] = {}
+    for name, text in sorted(texts.items(), reverse=True):
+        for form in forms_of(name, text):
+            c = canonical_text(form)
+            anchor = " ".join(c.split(" ")[:ANCHOR_WORDS])
+            out.setdefault(anchor, {}).setdefault(len(c), {})[hashlib.sha256(c.encode()).hexdigest()] = name
+    return out
+
+
+def _from_openings(inside: Column, anchor: str) -> Column:
+    """What follows each place where the anchor stands, itself included, with the blank before it."""
+    parts = F.split(inside, "(?= " + re.escape(anchor) + " )", -1)
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
+    return F.filter(tails, lambda x: x.startswith(f" {anchor} "))
+
+
+def _digests_at(starts: Column, length: int) -> Column:
+    """Digests of the first ``length`` characters after the blank, where a blank ends them."""
+    whole = F.filter(starts, lambda x: F.substring(x, length + 2, 1) == " ")
+    return F.transform(whole, lambda x: F.sha2(F.substring(x, 2, length), 256))
+
+
+def embedded(canon: Column, known: Mapping[str, Mapping[int, Mapping[str, str]]]) -> Column:
+    """Sorted licences whose whole canonical text stands in a canonical text, by the digests of what follows each of their openings."""
+    names = F.create_map(*[F.lit(x) for by in known.values() for d in by.values() for kv in d.items() for x in kv])
+    inside = F.concat(F.lit(" "), canon, F.lit(" "))
+    none = F.expr("cast(array() as array<string>)")
+    found = []
+    for anchor, lengths in sorted(known.items()):
+        digests = F.flatten(F.array(*[_digests_at(_from_openings(inside, anchor), n) for n in sorted(lengths)]))
+        found.append(F.when(F.contains(inside, F.lit(f" {anchor} ")), digests).otherwise(none))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(*found), lambda x: names[x]), lambda x: x.isNotNull())))
+
+
 def scan_licenses(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -196,7 +236,8 @@ def scan_licenses(
     texts: Mapping[str, str] = TEXTS,
     notices: Mapping[str, tuple] = NOTICES,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, digest, n_lines (canonical), license (of the whole text, or null), notices (sorted licences of single lines)."""
+    """One row per row of ``docs``: id, digest, n_lines (canonical), license (of the whole text, or null), blocks (sorted
+    licences whose whole text stands somewhere in it) and notices (sorted licences of single lines)."""
     whole, lines = catalogue(texts, notices)
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(whole.items()) or [("-", "-")], "digest string, license string")
@@ -205,11 +246,14 @@ def scan_licenses(
     longest = max(map(len, lines), default=0)
     canon = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
     found = F.filter("lines", lambda x: (F.length(x) <= longest) & x.isin(*line_set)) if lines else F.expr("array()")
-    digested = canon.select(
-        "id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", " "), 256).alias("digest"),
+    inner = blocks(texts)
+    joined = canon.select("id", "lines", F.array_join("lines", " ").alias("canon"))
+    digested = joined.select(
+        "id", F.size("lines").alias("n_lines"), F.sha2("canon", 256).alias("digest"),
+        (embedded(F.col("canon"), inner) if inner else F.expr("cast(array() as array<string>)")).alias("blocks"),
         (F.array_sort(F.array_distinct(F.transform(found, lambda x: names[x]))) if lines else F.expr("cast(array() as array<string>)")).alias("notices"),
     )
     return digested.join(F.broadcast(known), "digest", "left").select(
         F.col("id").alias(id_col), "digest", F.col("n_lines").cast("long").alias("n_lines"),
-        F.when(F.col("n_lines") > 0, F.col("license")).alias("license"), "notices",
+        F.when(F.col("n_lines") > 0, F.col("license")).alias("license"), "blocks", "notices",
     )

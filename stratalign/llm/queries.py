@@ -86,7 +86,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
-    return out.withColumn("notices", F.array_join("notices", ","))
+    return out.withColumns({"notices": F.array_join("notices", ","), "blocks": F.array_join("blocks", ",")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -206,16 +206,19 @@ def op10_sql() -> str:
     for word, instead in license_scan.SPELLINGS:
         if word != instead:
             words = f"replace({words}, {_q(f' {word} ')}, {_q(f' {instead} ')})"
+    texts = sorted({(license_scan.canonical_text(f), name) for name, text in license_scan.TEXTS.items() for f in license_scan.forms_of(name, text)})
     values = lambda d: ", ".join(f"({_q(k)}, {_q(v)})" for k, v in sorted(d.items()))
     return rf"""
 WITH whole(digest, license) AS (VALUES {values(whole)}), notice(line, name) AS (VALUES {values(lines)}),
+known(canon, name) AS (VALUES {", ".join(f"({_q(c)}, {_q(n)})" for c, n in texts)}),
 c AS (SELECT doc_id, list_filter(list_transform(
         list_filter(string_split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), chr(10)), lambda x: NOT regexp_matches(x, {_q(license_scan.COPYRIGHT_LINE)})),
         lambda x: trim({words}, ' ')), lambda x: x <> '') AS ls FROM documents),
 d AS (SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, sha256(coalesce(array_to_string(ls, ' '), '')) AS digest, ls FROM c),
+b AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS blocks FROM d JOIN known ON contains(' ' || coalesce(array_to_string(ls, ' '), '') || ' ', ' ' || canon || ' ') GROUP BY doc_id),
 n AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM (SELECT doc_id, unnest(ls) AS line FROM d) JOIN notice USING (line) GROUP BY doc_id)
-SELECT d.doc_id, d.digest, n_lines, CASE WHEN n_lines > 0 THEN license END AS license, coalesce(notices, '') AS notices
-FROM d LEFT JOIN whole USING (digest) LEFT JOIN n USING (doc_id)
+SELECT d.doc_id, d.digest, n_lines, CASE WHEN n_lines > 0 THEN license END AS license, coalesce(blocks, '') AS blocks, coalesce(notices, '') AS notices
+FROM d LEFT JOIN whole USING (digest) LEFT JOIN n USING (doc_id) LEFT JOIN b USING (doc_id)
 """
 
 
