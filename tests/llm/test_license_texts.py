@@ -47,3 +47,18 @@ def test_only_the_claim_of_a_copyright_line_is_dropped(spark, docs_of):
         assert (got[i]["n_lines"], got[i]["license"]) == cases[t], t[:80]
         assert got[i]["digest"] == license_scan.digest_of(t), t[:80]
     assert got[0]["notices"] == ["Apache-2.0"]
+
+
+def test_whole_licences_inside_longer_documents(spark, docs_of):
+    mit, isc, bsd = license_scan.TEXTS["MIT"], license_scan.TEXTS["ISC"], license_scan.TEXTS["BSD-2-Clause"]
+    apache = license_scan.TEXTS["Apache-2.0"].replace("\n", "\n// ")
+    cases = {
+        "readme\n" + mit + "\nmore": "MIT", isc.upper() + "\n\n" + "MIT License " + mit: "ISC,MIT", mit[:-40]: "", "a\n" + apache + "\nb": "Apache-2.0",
+        ("MIT License permission is hereby granted free of charge to any person " * 300) + mit: "MIT", "prose": "", "": "",
+        "x" + bsd.partition("\n")[2]: "", "x " + bsd.partition("\n")[2]: "BSD-2-Clause", mit + "\n" + mit: "MIT", "word " * 30_000 + isc + " word" * 30_000: "ISC",
+    }
+    rows = [(i, t, "s") for i, t in enumerate(cases)]
+    got = {r["doc_id"]: r["blocks"] for r in license_scan.scan_licenses(docs_of(rows)).collect()}
+    for i, t, _ in rows:
+        want = [n for n in sorted(license_scan.TEXTS) if any(f" {license_scan.canonical_text(f)} " in f" {license_scan.canonical_text(t)} " for f in license_scan.forms_of(n, license_scan.TEXTS[n]))]
+        assert got[i] == want and ",".join(want) == cases[t], (t[:60], got[i], want)

@@ -87,6 +87,30 @@ def test_exact_dedup_splits_equal_digests(spark, docs_of):
     assert exact_dedup.exact_dedup(docs_of([])).count() == 0
 
 
+def test_filters_let_pass_what_is_there_and_little_else(spark, docs_of):
+    index = exact_dedup.ExactDedupIndex(spark, fanout=3)
+    digests = lambda a, b: spark.range(a, b).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), "id")
+    assert index.insert(digests(0, 30_000)).count() == 0
+    (run,) = index.runs
+    assert run.shards == 2 and run.passing(digests(0, 30_000)).count() == 30_000
+    assert run.passing(digests(100_000, 130_000)).count() < 1_500
+    # of a second memtable, the hits are the digests that the run holds, and its own repeated ones
+    again = digests(29_990, 30_010).unionByName(digests(30_005, 30_006))
+    assert index.insert(again).count() == 11
+    assert index.insert(digests(50_000, 50_010)).count() == 0  # the tier is full now
+    assert [len(t) for t in index.tiers] == [0, 1]
+    assert index.probe(digests(29_995, 30_000)).agg(F.sum("n")).first()[0] == 10
+
+
+@pytest.mark.parametrize("size", [1 << 30, 0])
+def test_exact_dedup_of_text_ids_with_and_without_broadcast(spark, docs_of, monkeypatch, size):
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", size)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", size)
+    rows = [(f"id{i:03d}", f"text {i % 7}") for i in range(40)] + [("x", None), ("y", "")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string").withColumn("n", F.lit(1)), keep="max")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_exact(rows, max)
+
+
 def test_index_across_batches(spark, docs_of):
     index = exact_dedup.ExactDedupIndex(spark, fanout=2)
     for batch in ([(5, "a"), (6, "b")], [(3, "a")], [(9, "c"), (1, "b")]):
@@ -334,11 +358,15 @@ def test_codec_on_frames(spark, docs_of):
 
 # ---- top-k
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("trees,block", [(20_000, 8_192), (3, 7)])
+def test_top_k_against_brute_force(spark, monkeypatch, trees, block):
+    monkeypatch.setattr(topk, "TREES", trees)  # root boxes in several lots
+    monkeypatch.setattr(topk, "BLOCK", block)  # queries in several blocks
+    monkeypatch.setattr(topk, "DEPTH", 1 if trees == 3 else 6)  # splits in several rounds
     rng = np.random.default_rng(8)
     base = rng.normal(size=(300, 6))
     base[50:90] = base[50]  # a common vector
-    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(base)] + [(400, None, 0), (401, [1.0, None] + [0.0] * 4, 0), (402, [float("nan")] * 6, 0), (403, [float("inf")] + [0.0] * 5, 0), (None, [0.0] * 6, 0), (404, [1.0, 2.0], 0), (7, [float(x) for x in base[7]], 0)]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(base)] + [(400, None, 0), (401, [1.0, None] + [0.0] * 4, 0), (402, [float("nan")] * 6, 0), (403, [float("inf")] + [0.0] * 5, 0), (None, [0.0] * 6, 0), (404, [1.0, 2.0], 0), (405, [], 0), (7, [float(x) for x in base[7]], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"v": F.lit(1), "id": F.lit(2), "score": F.lit(3)})
     vectors = topk.quantised(df, "vec_id", "embedding")
     x = np.floor(256 * base.astype(np.float32).astype(np.float64)).astype(np.int64)
