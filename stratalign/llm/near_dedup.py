@@ -12,10 +12,11 @@ of 1024 retained values are made in the same way, which are the whole sets of al
 texts, and a pair needs as many values in common as the two sizes demand.
 
 Within a list pairs are not all tried. Rounds take a few pivots per list (one at first, up to
-twice as many in each later round) and try the other members against them. Members that are
-linked join a class; a pivot has met its whole list and leaves it. A list ends when its members
-are one class or its last pivots have met, so no link between two classes is missed, and a list
-of m members ends after about log2(m) rounds. A tried pair passes the estimate of its
+four times as many in each later round) and try the other members against them. Members that are
+linked join a class; a pivot has met its whole list and leaves it. Pivots come from the classes
+that have the fewest members in the list. A list ends when its members are one class or its last
+pivots have met, so no link between two classes is missed, and a list with m members outside
+its largest class ends after about log4(m) rounds. A tried pair passes the estimate of its
 similarity from the union sketch first and is then confirmed on the full sets.
 
 With ``exact`` the whole sets are the sketches: nothing is estimated, and no risk is taken.
@@ -311,14 +312,17 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes)
     tried, pivots = None, 1
     while True:
         placed = lists.join(labels, "node")
-        mixed = _mixed_lists(placed, "label")
-        placed = materialize(placed.join(mixed, "value"), "near-placed")
+        held = placed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("held"))
+        mixed = held.join(held.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("value"), "value")
+        mixed = materialize(mixed, "near-mixed")
+        placed = materialize(placed.join(mixed, ["value", "label"]), "near-placed")
         discard(mixed)
         if not placed.limit(1).count():
             discard(placed)
             break
-        # the node with the fewest values of its own is the likeliest centre of its list; later ones are drawn, one from each of as many parts
-        order = F.struct("lone", "node") if pivots == 1 else F.struct(F.xxhash64("node", F.lit(1)), "node")
+        # the node with the fewest values of its own is the likeliest centre of its list; later on the classes with the
+        # fewest members in the list come first, as a list ends with the last class but one: one pivot from each of several parts
+        order = F.struct("lone", "node") if pivots == 1 else F.struct("held", F.xxhash64("node"), "node")
         part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
         best = placed.groupBy("value", part.alias("part")).agg(F.min(F.struct(order.alias("by"), *FIELDS)).alias("p"))
         chosen = materialize(best.select("value", *[F.col(f"p.{x}").alias(x) for x in FIELDS]), "near-pivots")
@@ -334,7 +338,7 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes)
         loaded = likely.join(member("a", "sa"), "a").join(member("b", "sb"), "b")
         found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent).coalesce(many), "near-links", arrow_rows=SET_ROWS)
         # what has been a pivot has met all of its list
-        rest = materialize(placed.drop("label").join(chosen.select("value", "node"), ["value", "node"], "left_anti"), "near-lists")
+        rest = materialize(placed.drop("label", "held").join(chosen.select("value", "node"), ["value", "node"], "left_anti"), "near-lists")
         if found.limit(1).count():
             ends = lambda df, x: df.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x)
             between = ends(ends(found, "a"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
@@ -343,7 +347,7 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes)
             discard(labels)
             labels = renewed
         discard(found, placed, chosen, lists)
-        lists, pivots = rest, 2 * pivots
+        lists, pivots = rest, 4 * pivots
     discard(sets, lists, involved, short)
     return labels, [labels]
 
