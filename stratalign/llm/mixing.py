@@ -34,30 +34,24 @@ from stratalign.llm._util import SPACE, discard, materialize, or_empty, unit_int
 BROADCAST_SOURCES = 20_000
 #: Signs of markup debris; each per cent of them in a text lowers its weight.
 NOISE = "*%$#&|!"
+_BLANK = r" \t\n\x0B\f\r"
 
 
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than white space.
 
-    Byte searches only: white space becomes one kind of blank, every blank a pair of marks, and
-    marks that meet cancel out, which leaves one pair for every run of blanks between words.
+    Each run and the white space around it become one sign; no array of words is built.
     """
-    flat = or_empty(text)
-    for c in SPACE[1:]:
-        flat = F.replace(flat, F.lit(c), F.lit(" "))
-    for mark in "\x01\x02":
-        flat = F.replace(flat, F.lit(mark), F.lit("x"))
-    flat = F.btrim(flat)
-    runs = F.replace(F.replace(flat, F.lit(" "), F.lit("\x01\x02")), F.lit("\x02\x01"), F.lit(""))
-    between = F.octet_length(runs) - F.octet_length(F.replace(runs, F.lit("\x01"), F.lit("")))
-    return F.when(flat == "", 0).otherwise(between + 1).cast("long")
+    t = or_empty(text)
+    signs = F.regexp_replace(t, f"[{_BLANK}]*+[^{_BLANK}]++[{_BLANK}]*+", "x")
+    return F.when(F.btrim(t, F.lit(SPACE)) == "", 0).otherwise(F.length(signs)).cast("long")
 
 
 def noise_weight(text: Column) -> Column:
     """Quality weight in (0, 1]: 1 for clean text, less with the share of noise signs."""
     t = or_empty(text)
     n = F.length(t)
-    noisy = n - F.length(F.translate(t, NOISE, ""))
+    noisy = n - F.length(F.regexp_replace(t, f"[{NOISE}]++", ""))
     return F.lit(1.0) / (F.lit(1.0) + F.lit(20.0) * noisy.cast("double") / F.greatest(n, F.lit(1)).cast("double"))
 
 
@@ -87,35 +81,36 @@ def source_targets(sized: DataFrame, cycle: Sequence[int] = (5, 2, 1), max_epoch
     return top.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _taken(
-    docs: DataFrame, id_col: str, text_col: str, source_col: str, cycle: Sequence[int], max_epochs: int, seed: str, weight: Column | None, carry: Sequence[str]
-) -> DataFrame:
-    """(id, source, size, source_size, target, copies, and carry: a struct of those columns), one row per row of ``docs``."""
+def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight: Column | None) -> list[Column]:
+    """id, source, size, key and mark (a digest of the text) of a row: what is decided about it depends on nothing else."""
     weight = noise_weight(F.col(text_col)) if weight is None else weight
-    size = word_count(F.col(text_col))
-    base = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
-        (-F.ln(unit_interval(F.lit(seed), F.col(id_col).cast("string"))) / weight).alias("key"),
-        F.xxhash64(F.col(text_col)).alias("mark"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []),
-    )
-    # without columns to carry the narrow rows are written once; else the texts are read twice and written never
-    sized = base if carry else materialize(base, "mix-sized")
-    rows = (docs if carry else sized).count()
-    buckets = 1 << max(4, (max(rows, 1).bit_length() + 1) // 2)
-    # 1 - exp(-key) grows with the key and is spread over (0, 1)
-    slot = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
-    placed = sized.withColumn("slot", slot)
+    return [
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        (-F.ln(unit_interval(F.lit(seed), F.col(id_col).cast("string"))) / weight).alias("key"), F.xxhash64(F.col(text_col)).alias("mark"),
+    ]
+
+
+ORDER = ("key", "id", "size", "mark")
+
+
+def _slot(buckets: int) -> Column:
+    """The bucket of a key; 1 - exp(-key) grows with the key and is spread over (0, 1)."""
+    return F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
+
+
+def _planned(sized: DataFrame, cycle: Sequence[int], max_epochs: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(plan per source, rows of ``sized`` outside the boundary buckets with copies, rows inside with copies, buckets)."""
+    buckets = 1 << max(4, (max(sized.count(), 1).bit_length() + 1) // 2)
+    placed = sized.withColumn("slot", _slot(buckets))
     sums = materialize(placed.groupBy("source", "slot").agg(F.sum("size").alias("size")), "mix-sums")
     targets = source_targets(sums, cycle, max_epochs)
-    plan = targets.select(
+    plan = materialize(targets.select(
         F.col("source").alias("s"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
-    ).withColumn("need", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
+    ).withColumn("need", F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double")), "mix-targets")
+    small = (lambda df: F.broadcast(df)) if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
     run = W.partitionBy("source").orderBy("slot")
     upto = sums.select("source", "slot", F.col("size").alias("words"), F.sum("size").over(run).alias("upto"))
-    plan = materialize(plan, "mix-plan")
-    n_sources = plan.count()
-    small = (lambda df: F.broadcast(df)) if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     edge = (
         upto.join(small(plan), F.col("source").eqNullSafe(F.col("s")))
         .filter(F.col("upto") >= F.col("need"))
@@ -125,24 +120,27 @@ def _taken(
     edged = materialize(
         plan.alias("p").join(edge.alias("g"), F.col("p.s").eqNullSafe(F.col("g.s")), "left")
         .select("p.*", F.col("g.slot").alias("edge_slot"), F.col("g.before").alias("edge_before")),
-        "mix-edges",
+        "mix-plan",
     )
     discard(plan, sums)
-
     joined = placed.join(small(edged), F.col("source").eqNullSafe(F.col("s")))
-    at_edge = F.coalesce(F.col("slot") == F.col("edge_slot"), F.lit(False)) & (F.col("size") > 0)
-    fine = W.partitionBy("source").orderBy("key", "id", "size", "mark").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("edge_before") + F.coalesce(F.sum("size").over(fine), F.lit(0))
-    boundary = joined.filter(at_edge).withColumn("before", before)
+    inside = F.coalesce(F.col("slot") == F.col("edge_slot"), F.lit(False)) & (F.col("size") > 0)
+    fine = W.partitionBy("source").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    boundary = joined.filter(inside).withColumn("before", F.col("edge_before") + F.coalesce(F.sum("size").over(fine), F.lit(0)))
     near = (F.col("before") + F.col("size")).cast("double") - F.col("need") <= F.col("need") - F.col("before").cast("double")
-    chosen_edge = boundary.withColumn("extra", F.when(near, 1).otherwise(0))
-    away = joined.filter(~at_edge).withColumn(
-        "extra", F.when(F.col("size") == 0, 0).when(F.col("edge_slot").isNull(), F.when(F.col("need") > 0, 1).otherwise(0))
-        .when(F.col("slot") < F.col("edge_slot"), 1).otherwise(0)
-    )
-    both = away.unionByName(chosen_edge.drop("before"))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0)
-    return both.withColumn("copies", copies.cast("int"))
+    boundary = boundary.withColumn("extra", F.when(near, 1).otherwise(0)).drop("before")
+    away = joined.filter(~inside).withColumn("extra", _extra_away())
+    return edged, away, boundary, buckets
+
+
+def _extra_away() -> Column:
+    """Whether a row outside its source's boundary bucket is in the part epoch."""
+    past = F.when(F.col("edge_slot").isNull(), F.when(F.col("need") > 0, 1).otherwise(0)).when(F.col("slot") < F.col("edge_slot"), 1).otherwise(0)
+    return F.when(F.col("size") == 0, 0).otherwise(past)
+
+
+def _copies() -> Column:
+    return F.when(F.col("size") > 0, F.col("epochs") + F.col("extra")).otherwise(0).cast("int")
 
 
 def mix_sources(
@@ -156,10 +154,11 @@ def mix_sources(
     weight: Column | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, size, source, source_size, target, copies, taken (= copies * size)."""
-    out = _taken(docs, id_col, text_col, source_col, cycle, max_epochs, seed, weight, ())
-    return out.select(
+    sized = materialize(docs.select(*_narrow(docs, id_col, text_col, source_col, seed, weight)), "mix-sized")
+    _, away, boundary, _ = _planned(sized, cycle, max_epochs)
+    return away.unionByName(boundary).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        _copies().alias("copies"), (_copies() * F.col("size")).cast("long").alias("taken"),
     )
 
 
@@ -173,7 +172,36 @@ def mix_documents(
     seed: str = "mix-1",
     weight: Column | None = None,
 ) -> DataFrame:
-    """The mix itself: every row of ``docs`` repeated as often as that row is taken, all columns kept."""
-    out = _taken(docs, id_col, text_col, source_col, cycle, max_epochs, seed, weight, docs.columns)
-    times = out.filter("copies > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn"))
+    """The mix itself: every row of ``docs`` repeated as often as that row is taken, all columns kept.
+
+    The mix is planned on narrow rows. Of each source's boundary bucket the last row taken is noted;
+    then every row is decided where it is read, by comparing it with that one. Only rows that are
+    equal to it, if it has equals, are shuffled, to take as many of them as the plan does.
+    """
+    narrow = _narrow(docs, id_col, text_col, source_col, seed, weight)
+    sized = materialize(docs.select(*narrow), "mix-sized")
+    edged, _, boundary, buckets = _planned(sized, cycle, max_epochs)
+    boundary = materialize(boundary.select("s", "extra", F.struct(*ORDER).alias("at")), "mix-boundary")
+    last = boundary.filter("extra = 1").groupBy("s").agg(F.max("at").alias("cut"))
+    equal = boundary.alias("b").join(last.alias("l"), F.col("b.s").eqNullSafe(F.col("l.s")) & (F.col("b.at") == F.col("l.cut")))
+    ties = equal.groupBy("l.s", "l.cut").agg(F.count(F.lit(1)).alias("equals"), F.sum("extra").alias("taken_equals"))
+    plan = materialize(
+        edged.alias("p").join(ties.alias("t"), F.col("p.s").eqNullSafe(F.col("t.s")), "left")
+        .select("p.*", "t.cut", F.coalesce("t.equals", F.lit(0)).alias("equals"), F.coalesce("t.taken_equals", F.lit(0)).alias("taken_equals")),
+        "mix-cuts",
+    )
+    small = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    rows = docs.select(*narrow, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carry")).withColumn("slot", _slot(buckets))
+    joined = rows.join(small, F.col("source").eqNullSafe(F.col("s")))
+    at = F.struct(*ORDER)
+    inside = F.coalesce(F.col("slot") == F.col("edge_slot"), F.lit(False)) & (F.col("size") > 0)
+    extra = F.when(inside, F.coalesce(at <= F.col("cut"), F.lit(False)).cast("int")).otherwise(_extra_away())
+    torn = inside & F.coalesce(at == F.col("cut"), F.lit(False)) & (F.col("taken_equals") < F.col("equals"))
+    decided = joined.withColumn("extra", extra)
+    if plan.filter("taken_equals < equals").limit(1).count():
+        turn = F.row_number().over(W.partitionBy("source").orderBy("mark"))
+        some = joined.filter(torn).withColumn("extra", (turn <= F.col("taken_equals")).cast("int"))
+        decided = decided.filter(~torn).unionByName(some)
+    discard(sized, edged, boundary)
+    times = decided.select("carry", _copies().alias("copies")).filter("copies > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn"))
     return times.select(*[F.col("carry").getField(c).alias(c) for c in docs.columns])
