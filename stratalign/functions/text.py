@@ -132,6 +132,19 @@ def release_token(c: Column) -> Column:
     return F.concat(F.when(F.length(major) < 2, F.lpad(major, 2, "0")).otherwise(major), minor)
 
 
+def archive_urls(release: Column, root: str) -> Column:
+    """The two places below ``root`` at which a release's archive may be, in the order to try them (IO2)."""
+    name = F.concat(F.lit("chembl_"), release_token(release))
+    file = F.concat(name, F.lit("_sqlite.tar.gz"))
+    return F.array(F.concat_ws("/", F.lit(root), name, file), F.concat_ws("/", F.lit(root), name, F.lit("archived"), file))
+
+
+def norm_url(c: Column) -> Column:
+    """A URL without scheme, www. or m., query, fragment and closing slashes, in lower case."""
+    s = F.regexp_replace(F.lower(c), r"^https?://(www\.|m\.)?", "")
+    return F.regexp_replace(F.regexp_replace(s, r"[?#].*$", ""), "/+$", "")
+
+
 def numeric_like(c: Column) -> Column:
     return F.trim(text(c)).rlike(r"^[+-]?\d+(\.0+)?$")
 

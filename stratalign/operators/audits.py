@@ -50,18 +50,33 @@ def mapping_audit(df: DataFrame) -> DataFrame:
 
 
 def build_bridge(targets: DataFrame) -> DataFrame:
-    """(sequence, organism) to accessions: the joined set, how many, and whether unique."""
-    rows = targets.select(X.norm_sequence(F.col("sequence")).alias("sequence"), X.norm_text(F.col("organism")).alias("organism"), "accession").filter("sequence <> '' AND accession IS NOT NULL")
-    per = rows.groupBy("sequence", "organism").agg(F.array_sort(F.collect_set("accession")).alias("a"))
-    return per.select("sequence", "organism", F.array_join("a", "|").alias("accessions"), F.size("a").cast("long").alias("n_accessions"), F.when(F.size("a") == 1, "unique").otherwise("ambiguous").alias("status"), F.when(F.size("a") == 1, F.element_at("a", 1)).alias("accession"))
+    """(sequence, organism) to accessions and target types: the joined sets, how many, and whether unique."""
+    kind = F.col("target_type").cast("string") if "target_type" in targets.columns else F.lit(None).cast("string")
+    rows = targets.select(X.norm_sequence(F.col("sequence")).alias("sequence"), X.norm_text(F.col("organism")).alias("organism"), "accession", kind.alias("kind")).filter("sequence <> '' AND accession IS NOT NULL")
+    per = rows.groupBy("sequence", "organism").agg(F.array_sort(F.collect_set("accession")).alias("a"), X.join_pipe(F.collect_set("kind")).alias("target_types"))
+    one = F.size("a") == 1
+    return per.select(
+        "sequence", "organism", F.array_join("a", "|").alias("accessions"), F.size("a").cast("long").alias("n_accessions"), "target_types",
+        F.when(one, "unique").otherwise("ambiguous").alias("status"), F.when(one, F.element_at("a", 1)).alias("accession"), F.when(one, F.col("target_types")).alias("target_type"),
+    )
+
 
+def apply_bridge(df: DataFrame, bridge: DataFrame, native_accession: bool, native_type: bool) -> DataFrame:
+    """Accession and type of early targets by a reference's exact sequences.
 
-def apply_bridge(df: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Fills target_accession from unique bridge rows, and says where it came from."""
-    b = bridge.filter("status = 'unique'").select(F.col("sequence").alias("_s"), F.col("organism").alias("_o"), F.col("accession").alias("_a"))
+    Only unique bridge rows certify anything. Where the release has accessions of its own, the
+    bridge must confirm them: others become null. Where it has types of its own, they stay.
+    """
+    b = bridge.filter("status = 'unique'").select(F.col("sequence").alias("_s"), F.col("organism").alias("_o"), F.col("accession").alias("_a"), F.col("target_type").alias("_t"))
     out = df.join(b, (X.norm_sequence(F.col("target_sequence")) == F.col("_s")) & (X.norm_text(F.col("organism")) == F.col("_o")), "left")
-    source = F.when(F.col("target_accession").isNotNull(), "native_accession").when(F.col("_a").isNotNull(), "exact_sequence_bridge").otherwise("unmapped")
-    return out.withColumns({"target_identity_source": source, "target_accession": F.coalesce("target_accession", "_a")}).drop("_s", "_o", "_a")
+    if native_accession:
+        sure = (X.text(F.col("target_accession")) != "") & F.coalesce(F.col("target_accession") == F.col("_a"), F.lit(False))
+        named = {"target_identity_source": F.when(sure, "native_accession_bridge_confirmed").otherwise("unmapped_or_inconsistent_bridge"), "target_accession": F.when(sure, F.col("target_accession"))}
+    else:
+        named = {"target_identity_source": F.when(F.col("_a").isNotNull(), "exact_sequence_bridge").otherwise("unmapped_sequence"), "target_accession": F.col("_a")}
+    if not native_type:
+        named["target_type"] = F.col("_t")
+    return out.withColumns(named).drop("_s", "_o", "_a", "_t")
 
 
 def bridge_sources(df: DataFrame) -> DataFrame:
@@ -71,9 +86,13 @@ def bridge_sources(df: DataFrame) -> DataFrame:
 
 def audit_bridge(targets: DataFrame, bridge: DataFrame) -> DataFrame:
     """Each historical target with its bridge status, 'unmapped' where there is none."""
-    b = bridge.select(F.col("sequence").alias("_s"), F.col("organism").alias("_o"), "status", "n_accessions", "accessions")
+    b = bridge.select(F.col("sequence").alias("_s"), F.col("organism").alias("_o"), "status", "n_accessions", "accessions", F.col("accession").alias("_a"))
     out = targets.join(b, (X.norm_sequence(F.col("sequence")) == F.col("_s")) & (X.norm_text(F.col("organism")) == F.col("_o")), "left").drop("_s", "_o")
-    return out.withColumns({"status": F.coalesce("status", F.lit("unmapped")), "n_accessions": F.coalesce("n_accessions", F.lit(0).cast("long"))})
+    native = X.text(F.col("accession").cast("string")) if "accession" in targets.columns else F.lit("")
+    return out.withColumns({
+        "status": F.coalesce("status", F.lit("unmapped")), "n_accessions": F.coalesce("n_accessions", F.lit(0).cast("long")),
+        "native_bridge_accession_consistent": (native == "") | F.col("_a").isNull() | (native == F.col("_a")),
+    }).drop("_a")
 
 
 def document_completeness(docs: DataFrame) -> DataFrame:

@@ -96,6 +96,14 @@ def overmerge(bridge: DataFrame) -> DataFrame:
     return grouped.filter(F.size("keys") > 1).select("release_local_activity_key", F.size("keys").cast("long").alias("n_safe_activity_keys"), F.array_join("keys", "|").alias("safe_activity_keys"))
 
 
+def bridge_degrees(bridge: DataFrame) -> DataFrame:
+    """Different (safe key, local key) with the degree of each end (B5): local keys of the safe one, safe keys of the local one."""
+    pairs = topology(bridge)
+    safe = pairs.groupBy("safe_activity_key").agg(F.count(F.lit(1)).alias("release_local_degree"))
+    local = pairs.groupBy("release_local_activity_key").agg(F.count(F.lit(1)).alias("identity_safe_degree"))
+    return pairs.join(safe, "safe_activity_key").join(local, "release_local_activity_key")
+
+
 def comparator_summary(bridge: DataFrame, moved: DataFrame) -> DataFrame:
     """One row of ten measures."""
     degrees = topology(bridge).groupBy("release_local_activity_key").agg(F.count(F.lit(1)).alias("d"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
-from stratalign.storage import materialize
+from stratalign.storage import SnapshotError, materialize
 
 
 def alias_labels(occurrences: DataFrame) -> DataFrame:
@@ -78,6 +78,8 @@ def protected_components(occurrences: DataFrame, kind: str, forced: DataFrame |
         lost = bad.select(F.explode(F.filter("aliases", lambda a: X.is_weak(a, kind))).alias("alias"), F.lit(turn).alias("iteration"))
         quarantined = materialize(lost if quarantined is None else quarantined.unionByName(lost), "quarantined")
         touched = mapping.join(bad.select("canonical_key"), "canonical_key", "left_semi").select("occurrence_id")
+        if turn == limit:
+            raise SnapshotError(f"{kind}: components still contradict themselves after {limit} turns", bad)
         work = materialize(_without(work.join(touched, "occurrence_id", "left_semi"), quarantined.filter(F.col("iteration") == turn)), "component-work")
     if quarantined is None:
         quarantined = occurrences.sparkSession.createDataFrame([], "alias string, iteration int")

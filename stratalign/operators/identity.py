@@ -22,6 +22,10 @@ class IdentityLimits:
     min_releases: int = 2
 
 
+#: What the assay audit says about source policies, joined texts.
+POLICY_COLUMNS = ("assay_source_policy_types", "assay_source_policy_families", "renamed_external_aliases", "quarantined_external_aliases")
+
+
 @dataclass(frozen=True)
 class Resolved:
     observations: DataFrame
@@ -66,7 +70,8 @@ def resolve_documents(observations: DataFrame, limits: IdentityLimits = Identity
     occ = materialize(occ, "document-occurrences")
     mapping, table, quarantined = C.protected_components(occ, "document")
     mapping = materialize(mapping, "document-map")
-    audit = materialize(P.augment_components(table, occ, mapping, "document"), "document-audit")
+    audit = P.with_lost_aliases(P.augment_components(table, occ, mapping, "document"), quarantined, occ, mapping)
+    audit = materialize(audit, "document-audit")
     recurations = P.temporal_recuration(audit.filter("external_identity_conflict").select("canonical_key", "aliases"), P.recuration_context(observations))
     recurations = materialize(recurations, "document-recurations")
     fail_external(audit, recurations.filter("is_recuration"), "document")
@@ -110,7 +115,13 @@ def resolve_assays(observations: DataFrame, limits: IdentityLimits = IdentityLim
         forced = weak if forced is None else materialize(forced.unionByName(weak), "assay-forced")
     fail_release_local(audit, "assay", limits)
     fail_multiplicity(audit, "assay", limits)
-    return _map_back(rows, "assay_occurrence", occ, mapping, "assay_identity_key"), audit, quarantined, policy
+    resolved = _map_back(rows, "assay_occurrence", occ, mapping, "assay_identity_key")
+    audit = P.with_lost_aliases(audit.drop("quarantined_external_aliases"), quarantined, occ, mapping)
+    if policy is None:
+        audit = audit.withColumns({c: F.lit("") for c in POLICY_COLUMNS})
+    else:
+        audit = audit.join(P.source_policy_audit(resolved, policy), "canonical_key", "left").fillna("", list(POLICY_COLUMNS))
+    return resolved, materialize(audit, "assay-audit"), quarantined, policy
 
 
 def resolve_identities(observations: DataFrame, limits: IdentityLimits = IdentityLimits()) -> Resolved:

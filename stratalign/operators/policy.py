@@ -80,6 +80,11 @@ def reconciliation_summary(audit: DataFrame, kind: str) -> DataFrame:
     return per.select(F.lit(kind).alias("kind"), "*")
 
 
+def release_local_rates(document_audit: DataFrame, assay_audit: DataFrame, limit: float = 0.01, min_releases: int = 2) -> DataFrame:
+    """The release-local tables of both kinds, one below the other."""
+    return release_local_table(document_audit, "document", limit, min_releases).unionByName(release_local_table(assay_audit, "assay", limit, min_releases))
+
+
 def component_sizes(audit: DataFrame) -> DataFrame:
     """(generation, n_occurrences) -> components."""
     return _by_generation(audit).groupBy("schema_generation", "n_occurrences").agg(F.count(F.lit(1)).alias("n_components"))
@@ -90,12 +95,21 @@ def weak_rate(audit: DataFrame) -> DataFrame:
     return _by_generation(audit).groupBy("schema_generation").agg(F.count(F.lit(1)).alias("n_components"), F.avg(X.truthy(F.col("weak_only_component")).cast("double")).alias("weak_only_rate"))
 
 
-def quarantine_summary(audit: DataFrame, quarantined: DataFrame, occurrences: DataFrame, mapping: DataFrame, kind: str) -> DataFrame:
-    """Components whose occurrences lost weak aliases: how many and which."""
+def with_lost_aliases(audit: DataFrame, quarantined: DataFrame, occurrences: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Adds n_quarantined_weak_aliases and quarantined_weak_aliases: what a component's occurrences lost."""
     flat = occurrences.select("occurrence_id", F.explode("aliases").alias("alias")).join(quarantined.select("alias"), "alias", "left_semi")
-    per = flat.join(mapping, "occurrence_id").groupBy("canonical_key").agg(F.array_sort(F.collect_set("alias")).alias("a"))
-    out = per.select(F.lit(kind).alias("kind"), "canonical_key", F.size("a").cast("long").alias("n_quarantined_weak_aliases"), F.array_join("a", "|").alias("quarantined_weak_aliases"))
-    return out.join(audit.select("canonical_key", X.join_pipe(F.col("schema_generations")).alias("schema_generations"), X.join_pipe(F.col("release_labels")).alias("release_labels")), "canonical_key", "left")
+    per = flat.join(mapping, "occurrence_id").groupBy("canonical_key").agg(F.array_sort(F.collect_set("alias")).alias("_a"))
+    out = audit.join(per, "canonical_key", "left")
+    lost = F.coalesce("_a", F.expr("cast(array() as array<string>)"))
+    return out.withColumns({"n_quarantined_weak_aliases": F.size(lost).cast("long"), "quarantined_weak_aliases": F.array_join(lost, "|")}).drop("_a")
+
+
+def quarantine_summary(audit: DataFrame, kind: str) -> DataFrame:
+    """Components whose occurrences lost weak aliases: how many and which."""
+    return audit.filter("n_quarantined_weak_aliases > 0").select(
+        F.lit(kind).alias("kind"), "canonical_key", "n_quarantined_weak_aliases", "quarantined_weak_aliases",
+        X.join_pipe(F.col("schema_generations")).alias("schema_generations"), X.join_pipe(F.col("release_labels")).alias("release_labels"),
+    )
 
 
 def recuration_context(df: DataFrame) -> DataFrame:
@@ -120,7 +134,7 @@ def temporal_recuration(conflicted: DataFrame, context: DataFrame) -> DataFrame:
     kind = F.when((F.size("pmids") == 2) & (F.size("dois") <= 1), "PMID").when((F.size("dois") == 2) & (F.size("pmids") <= 1), "DOI")
     c = c.withColumns({"external_type": kind, "ids": F.when(kind == "PMID", F.col("pmids")).otherwise(F.col("dois")), "doc": F.when(F.size("docs") == 1, F.element_at("docs", 1))})
     rows = c.join(context, c["doc"] == context["chem"]).withColumn("state", F.when(F.col("external_type") == "PMID", F.col("pmid")).otherwise(F.col("doi")))
-    bib = [F.count_distinct(F.when(F.col(b) != "", F.col(b))).alias(f"n_{b}") for b in BIB]
+    bib = [X.sorted_set(F.collect_set(b)).alias(f"n_{b}") for b in BIB]
     contradictions = rows.groupBy("canonical_key").agg(*bib)
     states = rows.filter("state <> ''").groupBy("canonical_key", "release_order").agg(F.collect_set("state").alias("s"), F.min("state").alias("state"))
     order = W.partitionBy("canonical_key").orderBy("release_order")
@@ -131,13 +145,14 @@ def temporal_recuration(conflicted: DataFrame, context: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("state")).alias("seen"),
     )
     support = states.groupBy("canonical_key", "state").agg(F.count(F.lit(1)).alias("n")).groupBy("canonical_key").agg(F.min("n").alias("least_support"), F.sum("n").alias("support"))
+    # an id is looked up under its own authority: each context row stands once for its DOI and once for its PMID
     used = c.select("canonical_key", "doc", "external_type", F.explode("ids").alias("value"))
-    value_of = F.when(F.col("external_type") == "PMID", F.col("pmid")).otherwise(F.col("doi"))
-    elsewhere = used.join(context.select("chem", "doi", "pmid").distinct(), (F.col("value") == F.col("pmid")) | (F.col("value") == F.col("doi"))).filter((F.col("chem") != "") & (F.col("chem") != F.col("doc")) & (F.col("value") == value_of)).select("canonical_key").distinct().withColumn("elsewhere", F.lit(True))
+    stated = F.array(F.struct(F.lit("DOI").alias("external_type"), F.col("doi").alias("value")), F.struct(F.lit("PMID").alias("external_type"), F.col("pmid").alias("value")))
+    holders = context.filter("chem <> ''").select("chem", F.explode(stated).alias("x")).select("chem", "x.*").filter("value <> ''").distinct()
+    elsewhere = used.join(holders, ["external_type", "value"]).filter(F.col("chem") != F.col("doc")).groupBy("canonical_key").agg(X.join_pipe(F.collect_set("chem")).alias("elsewhere"))
     j = c.join(per, "canonical_key", "left").join(support, "canonical_key", "left").join(contradictions, "canonical_key", "left").join(elsewhere, "canonical_key", "left")
-    clash = F.lit(False)
-    for b in BIB:
-        clash = clash | (F.coalesce(F.col(f"n_{b}"), F.lit(0)) > 1)
+    clashing = F.array_compact(F.array(*[F.when(F.size(f"n_{b}") > 1, F.concat(F.lit(f"{b}="), F.array_join(f"n_{b}", "|"))) for b in BIB]))
+    # The reason codes, in the order in which the conditions are judged.
     reason = (
         F.when(F.size("docs") != 1, "NOT_EXACTLY_ONE_CHEMBL_DOCUMENT")
         .when(F.col("external_type").isNull(), "NOT_EXACTLY_TWO_IDS_OF_ONE_EXTERNAL_AUTHORITY")
@@ -146,8 +161,8 @@ def temporal_recuration(conflicted: DataFrame, context: DataFrame) -> DataFrame:
         .when(F.col("changes") != 1, "NOT_EXACTLY_ONE_ONE_WAY_TRANSITION")
         .when(F.col("seen") != F.array_sort("ids"), "TRANSITION_DOES_NOT_COVER_BOTH_EXTERNAL_IDS")
         .when(F.col("least_support") < 2, "INSUFFICIENT_REPLICATED_TEMPORAL_SUPPORT")
-        .when(clash, "BIBLIOGRAPHIC_CONTRADICTION")
-        .when(F.coalesce("elsewhere", F.lit(False)), "EXTERNAL_ID_USED_BY_OTHER_CHEMBL_DOCUMENT")
+        .when(F.size(clashing) > 0, F.concat(F.lit("BIBLIOGRAPHIC_CONTRADICTION:"), F.array_join(clashing, ";")))
+        .when(F.col("elsewhere").isNotNull(), F.concat(F.lit("EXTERNAL_ID_USED_BY_OTHER_CHEMBL_DOCUMENT:"), F.col("elsewhere")))
     )
     return j.select("canonical_key", reason.isNull().alias("is_recuration"), F.coalesce(reason, F.lit("")).alias("reason"), "external_type", "earlier_value", "later_value", F.col("releases").alias("n_releases"), "least_support")
 
@@ -180,6 +195,7 @@ def source_policy(conflicted: DataFrame, df: DataFrame) -> DataFrame:
     j = shape.join(time, "canonical_key").join(by_pol, "canonical_key", "left").join(by_chem, "canonical_key", "left")
     once = (F.col("pols") == 1) & (F.col("together") == 1) & (F.col("plain_last") < F.col("pol_first")) & (F.col("n_assays") == 1)
     bijection = (F.col("pols") >= 2) & (F.col("pol_degree") == 1) & (F.col("chem_degree") == 1) & (F.col("pols_mapped") == F.col("pols")) & (F.col("pol_chems") == F.col("n_assays"))
+    # The policy types.
     kind = F.when(once & (F.col("plain_n") >= 2) & (F.col("pol_n") >= 2), "TEMPORAL_RENAME").when(once, "AMBIGUOUS_TEMPORAL_RENAME").when(bijection, "PARTITION_QUARANTINE")
     families = j.select("canonical_key", "family_source", "family_base", kind.alias("family_kind")).filter("family_kind IS NOT NULL")
     rows = flat.join(families, "canonical_key")
@@ -192,9 +208,12 @@ def source_policy(conflicted: DataFrame, df: DataFrame) -> DataFrame:
     )
 
 
-def source_policy_audit(occurrence_rows: DataFrame, policy: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Per component: policy types, families, renamed and quarantined source aliases."""
-    seen = occurrence_rows.select("occurrence_id", "raw_alias").distinct().join(policy, "raw_alias").join(mapping, "occurrence_id")
+def source_policy_audit(observations: DataFrame, policy: DataFrame) -> DataFrame:
+    """Per component: policy types, families, renamed and quarantined source aliases.
+
+    ``observations`` are resolved: each row's source alias and its assay's canonical key.
+    """
+    seen = observations.select(source_alias(observations).alias("raw_alias"), F.col("assay_identity_key").alias("canonical_key")).distinct().join(policy, "raw_alias")
     some = lambda c: X.join_pipe(F.collect_set(c))
     return seen.groupBy("canonical_key").agg(
         some("policy_type").alias("assay_source_policy_types"), some("family").alias("assay_source_policy_families"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
@@ -42,9 +41,10 @@ def eligibility_tracks(df: DataFrame, primary_confidence: int = 9, least_confide
 
     conf, rel = F.col("confidence_score").try_cast("double"), F.upper(F.trim(X.text(F.col("target_relationship_type"))))
     out = df.withColumns({"_rel": rel, "_conf": conf, "_type": F.upper(F.trim(X.text(F.col("assay_type")))) == assay_type})
-    there = F.max(F.col("_rel") != "").over(W.partitionBy("release_label"))
+    # a row per release, not a window that would sort whole releases into one task each
+    known_types = out.groupBy("release_label").agg(F.max(F.col("_rel") != "").alias("_there"))
     base = X.truthy(F.col("quality_eligible")) & X.truthy(F.col("structure_eligible")) & X.truthy(F.col("relation_eligible")) & X.truthy(F.col("unit_convertible"))
-    out = out.withColumns({"_there": there, "_base": base})
+    out = out.withColumn("_base", base).join(F.broadcast(known_types.withColumnRenamed("release_label", "_label")), F.col("release_label").eqNullSafe(F.col("_label"))).drop("_label")
     pre9, legacy = F.col("schema_generation") == "pre9_early", F.col("schema_generation") == "pre15_legacy"
     early = pre9 & (regime == EARLY)
     is_d, is_dh, there, conf = F.col("_rel") == "D", F.col("_rel").isin("D", "H"), F.col("_there"), F.col("_conf")

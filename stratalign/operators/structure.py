@@ -1,20 +1,23 @@
 """Structure standardisation with a pluggable backend, different inputs once, and a Parquet cache.
 
 The chemistry (largest organic fragment, normalisation, uncharging, canonical tautomer, keys
-and scaffold) belongs to a backend: any function from one text to a result tuple. The RDKit
-backend is used where RDKit is installed; ``identity_backend`` keeps the text and hashes it.
+and scaffold) belongs to a backend: any function from one text to a result tuple. RDKit is the
+default and must be installed; ``identity_backend``, which keeps the text and hashes it, is
+only used where a caller asks for it, as its keys are no InChIKeys.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalign.storage import SnapshotError
+from stratalign.storage import SnapshotError, materialize
 
 FIELDS = "canonical_isomeric_smiles string, full_inchikey string, murcko_scaffold_smiles string, status string, error string"
 Result = tuple[str, str, str, str, str]
@@ -27,20 +30,36 @@ def identity_backend(text: str, fmt: str) -> Result:
     return (s, hashlib.sha256(s.encode()).hexdigest()[:27].upper(), s, "ok", "") if s else ("", "", "", "failed", "empty structure")
 
 
-def rdkit_backend(text: str, fmt: str) -> Result:
-    """Standard parent, canonical SMILES, InChIKey and Murcko scaffold; failures become rows."""
+@lru_cache(maxsize=1)
+def _chemistry():
+    """RDKit's tools. Canonical tautomers keep stereo centres and double bonds as they are drawn."""
     from rdkit import Chem
-    from rdkit.Chem.MolStandardize import rdMolStandardize as S
+    from rdkit.Chem.MolStandardize import rdMolStandardize
     from rdkit.Chem.Scaffolds import MurckoScaffold
 
+    tautomers = rdMolStandardize.TautomerEnumerator()
+    for keep in ("SetRemoveSp3Stereo", "SetRemoveBondStereo"):
+        if hasattr(tautomers, keep):
+            getattr(tautomers, keep)(False)
+    return Chem, rdMolStandardize, MurckoScaffold, tautomers
+
+
+def rdkit_backend(text: str, fmt: str) -> Result:
+    """Standard parent, canonical SMILES, InChIKey and Murcko scaffold; failures, a missing key among them, become rows."""
+    Chem, S, scaffolds, tautomers = _chemistry()
     try:
         mol = Chem.MolFromSmiles(text) if fmt == "smiles" else Chem.MolFromMolBlock(text)
         if mol is None:
-            return "", "", "", "failed", "not a structure"
-        mol = S.Reionizer().reionize(S.Normalizer().normalize(S.LargestFragmentChooser(preferOrganic=True).choose(mol)))
-        mol = S.TautomerEnumerator().Canonicalize(S.Uncharger().uncharge(mol))
+            raise ValueError("not a structure")
+        parent = S.LargestFragmentChooser(preferOrganic=True).choose(mol)
+        charged = S.Reionizer().reionize(S.Normalizer().normalize(parent))
+        mol = tautomers.Canonicalize(S.Uncharger().uncharge(charged))
         Chem.SanitizeMol(mol)
-        return Chem.MolToSmiles(mol, isomericSmiles=True), Chem.MolToInchiKey(mol), MurckoScaffold.MurckoScaffoldSmiles(mol=mol), "ok", ""
+        key = Chem.MolToInchiKey(mol)
+        if not key:
+            raise ValueError("no InChIKey")
+        ring = scaffolds.GetScaffoldForMol(mol)
+        return Chem.MolToSmiles(mol), key, Chem.MolToSmiles(ring) if ring.GetNumAtoms() else "", "ok", ""
     except Exception as e:  # a bad structure is a row, not the end of the job
         return "", "", "", "failed", f"{type(e).__name__}: {e}"[:200]
 
@@ -48,8 +67,8 @@ def rdkit_backend(text: str, fmt: str) -> Result:
 def default_backend() -> Backend:
     try:
         import rdkit  # noqa: F401
-    except ImportError:
-        return identity_backend
+    except ImportError as e:
+        raise SnapshotError("RDKit is not installed; pass identity_backend to do without chemistry") from e
     return rdkit_backend
 
 
@@ -76,6 +95,26 @@ def standardize_inputs(inputs: DataFrame, backend: Backend, cache: DataFrame | N
     return fresh.unionByName(mine.join(keyed.select("input_sha"), "input_sha", "left_semi").select(*[c.split()[0] for c in schema.split(", ")]))
 
 
+def refreshed_cache(spark: SparkSession, path: str, inputs: DataFrame, backend: Backend, version: str = "1") -> DataFrame:
+    """Results of ``inputs`` (text, fmt); those that the Parquet cache at ``path`` lacked are appended to it (IO18)."""
+    found = None
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    known = inputs.select("text", "fmt").distinct()
+    if found is None:
+        standardize_inputs(known, backend, None, version).write.parquet(path)
+    else:
+        sha = F.sha2(F.concat_ws("\x1f", "fmt", "text"), 256)
+        new = known.join(found.filter(F.col("policy_version") == version).select("input_sha"), sha == F.col("input_sha"), "left_anti")
+        fresh = materialize(standardize_inputs(new, backend, None, version), "structures")
+        if fresh.limit(1).count():
+            fresh.write.mode("append").parquet(path)
+    return standardize_inputs(known, backend, spark.read.parquet(path), version)
+
+
 def standardize(df: DataFrame, smiles: str = "canonical_smiles", molblock: str = "molfile", backend: Backend | None = None, cache: DataFrame | None = None) -> DataFrame:
     """Adds the result fields (std_status, std_error, std_input_format): SMILES first, then molblock, else missing."""
     some = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) if c in df.columns else F.lit(None).cast("string")

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
+from stratalign.operators import archive as AR
 from stratalign.operators import attribution as AT
 from stratalign.operators import audits as AU
 from stratalign.operators import comparator as CO
 from stratalign.operators import components as CC
 from stratalign.operators import firstseen as FS
+from stratalign.operators import policy as PO
 from stratalign.operators import quality as Q
 from stratalign.plans import fixtures
-from stratalign.plans.surrogates import LAYERS_SQL, OBS_SQL, layered_orders, manifest, observations
+from stratalign.plans.surrogates import ARCHIVE_SQL, LAYERS_SQL, OBS_SQL, archive_observations, layered_orders, manifest, observations
 from stratalign.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,28 +162,14 @@ def canon_float(spark, d):
     return x.select("x", X.canon_float(F.col("x") * 1e-9).alias("canon"))
 
 
-@query("""WITH g AS (SELECT l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '|' ORDER BY CAST(l_suppkey AS VARCHAR)) AS targets, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-SELECT l_partkey, n AS n_targets, targets FROM g WHERE n > 1""")
-def multi_target_audit(spark, d):
-    l = table(spark, d, "lineitem").filter("l_linenumber <= 2")
-    return Q.multi_target_audit(l, "l_partkey", "l_suppkey").select("l_partkey", "n_targets", "targets")
-
-
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1) AND l_linenumber = 1 GROUP BY 1")
-def multi_target_exclusion(spark, d):
-    l = table(spark, d, "lineitem").filter("l_linenumber = 1")
-    return Q.exclude_multi_target(l, "l_partkey", "l_suppkey")[0].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH g AS (SELECT l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '|' ORDER BY CAST(l_suppkey AS VARCHAR)) AS targets, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
 SELECT l_partkey, n AS n_targets, targets FROM g WHERE n > 1""")
-def multi_target_audit_all_lines(spark, d):
-    """As multi_target_audit, whose SQL holds it to two lines of an order, over every line."""
+def multi_target_audit(spark, d):
     return Q.multi_target_audit(table(spark, d, "lineitem"), "l_partkey", "l_suppkey").select("l_partkey", "n_targets", "targets")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1) GROUP BY 1")
-def multi_target_exclusion_all_lines(spark, d):
+def multi_target_exclusion(spark, d):
     """Over every line each part has several suppliers; orders have one or several, so both outcomes occur."""
     return Q.exclude_multi_target(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")[0].groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
@@ -206,7 +194,7 @@ def _bridge(spark, d):
 
 def _displacement(spark, d):
     b, m = _bridge(spark, d), manifest(spark)
-    return CO.displacement(b, CO.safe_first(b, m), CO.local_first(b, m), check=False)
+    return CO.displacement(b, CO.safe_first(b, m), CO.local_first(b, m))
 
 
 @query(BRIDGE_SQL + " SELECT release_label, safe_key AS safe_activity_key, local_key AS release_local_activity_key, assay AS safe_assay_identity_key, la AS release_local_assay_identity_key FROM bridge")
@@ -283,11 +271,21 @@ def nested_safeguards(spark, d):
     return AT.flag_attribution(_attributed(spark, d), ["ambiguous_temporal_safeguard", "weak_alias_quarantine_safeguard"])
 
 
-@query(f"""WITH {OBS_SQL}, t AS (SELECT 'primary' AS r, count(DISTINCT activity_key) AS i, count(DISTINCT pair_key) AS p FROM keyed WHERE primary_record_eligible UNION ALL SELECT 'broad', count(DISTINCT activity_key), count(DISTINCT pair_key) FROM keyed UNION ALL SELECT 'low_k', count(DISTINCT activity_key), count(DISTINCT pair_key) FROM keyed WHERE k < 50), b AS (SELECT i AS bi, p AS bp FROM t WHERE r = 'primary')
+@query(f"""WITH {OBS_SQL}, t AS (SELECT 'primary' AS r, count(DISTINCT activity_key) AS i, count(DISTINCT pair_key) AS p FROM keyed WHERE primary_record_eligible UNION ALL SELECT 'broad', count(DISTINCT activity_key), count(DISTINCT pair_key) FROM keyed UNION ALL SELECT 'relaxed', count(DISTINCT activity_key), count(DISTINCT pair_key) FROM keyed WHERE relaxed_record_eligible), b AS (SELECT i AS bi, p AS bp FROM t WHERE r = 'primary')
 SELECT r AS reconstruction, i AS identities, p AS pairs, i - bi AS identities_delta, p - bp AS pairs_delta, 100e0 * ((i - bi)::DOUBLE / bi::DOUBLE) AS identities_delta_percent FROM t, b""")
 def sensitivity_summary(spark, d):
     o = observations(spark, d)
-    return AU.sensitivity_summary({"primary": o.filter("primary_record_eligible"), "broad": o, "low_k": o.filter("k < 50")}, "primary")
+    return AU.sensitivity_summary({"primary": o.filter("primary_record_eligible"), "broad": o, "relaxed": o.filter("relaxed_record_eligible")}, "primary")
+
+
+@query(f"""WITH {ARCHIVE_SQL} SELECT CASE kind WHEN 0 THEN 'STRICT_TEMPORAL_SOURCE_ASSAY_RENAME' WHEN 1 THEN 'PARTITION_NONINJECTIVE_PROTECTION' ELSE 'ORDINARY_DETERMINISTIC_ALIAS_BRIDGING' END AS mechanism,
+kind = 3 AND f IN (SELECT f FROM renamed) AS ambiguous_temporal_safeguard, kind = 1 AS weak_alias_quarantine_safeguard, count(*) AS n, CAST(sum(delay) AS BIGINT) AS delay_releases, CAST(max(delay) AS INTEGER) AS greatest_delay FROM late GROUP BY ALL""")
+def archive_run(spark, d):
+    """From observations to mechanisms: identities, first dates, comparator and attribution in one run."""
+    run = AR.run_archive(archive_observations(spark, d), manifest(spark))
+    return run.attributed.groupBy("mechanism", "ambiguous_temporal_safeguard", "weak_alias_quarantine_safeguard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("max_delay_releases").alias("delay_releases"), F.max("max_delay_releases").alias("greatest_delay")
+    )
 
 
 @query("SELECT conv_id, turn, role, was FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations) WHERE was IS NULL OR was IS DISTINCT FROM role")
@@ -297,68 +295,61 @@ def state_compression(spark, d):
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(url), '^https?://(www\.|m\.)?', ''), '[?#].*$', ''), '/+$', '') AS canonical FROM pages")
 def url_normalise(spark, d):
-    u = F.regexp_replace(F.regexp_replace(F.lower("url"), r"^https?://(www\.|m\.)?", ""), r"[?#].*$", "")
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(u, "/+$", "").alias("canonical"))
+    return table(spark, d, "pages").select("page_id", X.norm_url(F.col("url")).alias("canonical"))
 
 
 def _graph(spark, d):
-    """Documents as occurrences: the text's hash is a strong alias, its first forty characters a weak one."""
-    t = table(spark, d, "documents").filter("text IS NOT NULL")
-    norm = X.norm_text(F.substring("text", 1, 40))
-    return t.select(F.col("doc_id").cast("string").alias("occurrence_id"), F.array(F.concat(F.lit("DOI:"), F.sha2("text", 256)), X.sha_key("DOC_TITLE:", norm)).alias("aliases"))
-
-
-@query(r"""WITH RECURSIVE v AS (SELECT doc_id, 'DOI:' || sha256(text) AS s, 'DOC_TITLE:' || sha256(upper(replace(regexp_replace(trim(regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), 'ß', 'SS'))) AS w FROM documents WHERE text IS NOT NULL),
-e AS (SELECT DISTINCT s AS x, w AS y FROM v UNION SELECT DISTINCT w, s FROM v),
-reach(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
-lab AS (SELECT x, min(y) AS label FROM reach GROUP BY 1), comp AS (SELECT label, count(*) AS n_aliases, CAST(sum((x LIKE 'DOI:%')::INT) AS INTEGER) AS n_doi, string_agg(x, chr(31) ORDER BY x) AS j FROM lab GROUP BY 1)
-SELECT 'DOC_CANON:' || sha256(j) AS canonical_key, CAST(n_aliases AS INTEGER) AS n_aliases, n_doi AS n_doi_aliases, CAST(n_aliases AS INTEGER) - n_doi AS n_weak_aliases FROM comp""")
-def alias_components(spark, d):
-    return CC.components(_graph(spark, d), "document")[1].select("canonical_key", "n_aliases", "n_doi_aliases", "n_weak_aliases")
-
-
-@query(r"""WITH v AS (SELECT doc_id, 'DOI:' || sha256(text) AS s, 'DOC_TITLE:' || sha256(upper(replace(regexp_replace(trim(regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), 'ß', 'SS'))) AS w FROM documents WHERE text IS NOT NULL)
-SELECT w AS alias, 1 AS iteration FROM v GROUP BY 1 HAVING count(DISTINCT s) > 1""")
-def quarantine_weak_bridges(spark, d):
-    occ = _graph(spark, d).withColumn("fallback_alias", F.concat(F.lit("LOCAL_DOC_QUAR:"), F.col("occurrence_id")))
-    return CC.protected_components(occ, "document")[2]
-
-
-def _whole_graph(spark, d):
     """Documents as occurrences: the text's hash is a strong alias, the hash of its whole normalised form a weak one. A null text has only its document's local alias."""
     local = F.concat(F.lit("LOCAL_DOC_NULL:"), F.col("doc_id").cast("string"))
     aliases = F.array(F.concat(F.lit("DOI:"), F.sha2("text", 256)), X.sha_key("DOC_TITLE:", X.norm_text(F.col("text"))))
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("occurrence_id"), F.when(F.col("text").isNull(), F.array(local)).otherwise(aliases).alias("aliases"))
 
 
-_WHOLE_SQL = r"""v AS (SELECT doc_id, 'DOI:' || sha256(text) AS s, 'DOC_TITLE:' || sha256(upper(replace(regexp_replace(trim(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), 'ß', 'SS'))) AS w FROM documents WHERE text IS NOT NULL)"""
+_GRAPH_SQL = r"""v AS (SELECT doc_id, 'DOI:' || sha256(text) AS s, 'DOC_TITLE:' || sha256(upper(replace(regexp_replace(trim(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), 'ß', 'SS'))) AS w FROM documents WHERE text IS NOT NULL)"""
 
 
-@query(f"""WITH RECURSIVE {_WHOLE_SQL},
+@query(f"""WITH RECURSIVE {_GRAPH_SQL},
 e AS (SELECT DISTINCT s AS x, w AS y FROM v UNION SELECT DISTINCT w, s FROM v),
 reach(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
 lab AS (SELECT x, min(y) AS label FROM reach GROUP BY 1 UNION ALL SELECT DISTINCT 'LOCAL_DOC_NULL:' || doc_id, 'LOCAL_DOC_NULL:' || doc_id FROM documents WHERE text IS NULL),
 comp AS (SELECT label, count(*) AS n_aliases, CAST(sum((x LIKE 'DOI:%')::INT) AS INTEGER) AS n_doi, CAST(sum((x LIKE 'DOC_TITLE:%')::INT) AS INTEGER) AS n_weak, string_agg(x, chr(31) ORDER BY x) AS j FROM lab GROUP BY 1)
 SELECT 'DOC_CANON:' || sha256(j) AS canonical_key, CAST(n_aliases AS INTEGER) AS n_aliases, n_doi AS n_doi_aliases, n_weak AS n_weak_aliases FROM comp""")
-def alias_components_whole_text(spark, d):
-    """As alias_components, whose SQL cuts the weak alias to forty characters, with nothing cut and null texts kept."""
-    return CC.components(_whole_graph(spark, d), "document")[1].select("canonical_key", "n_aliases", "n_doi_aliases", "n_weak_aliases")
+def alias_components(spark, d):
+    return CC.components(_graph(spark, d), "document")[1].select("canonical_key", "n_aliases", "n_doi_aliases", "n_weak_aliases")
 
 
-@query(f"WITH {_WHOLE_SQL} SELECT w AS alias, 1 AS iteration FROM v GROUP BY 1 HAVING count(DISTINCT s) > 1")
-def quarantine_weak_bridges_whole_text(spark, d):
-    occ = _whole_graph(spark, d).withColumn("fallback_alias", F.concat(F.lit("LOCAL_DOC_QUAR:"), F.col("occurrence_id")))
+@query("""WITH RECURSIVE v AS (SELECT 'DOI:' || sha256(text) AS s, 'DOC_PAGE:' || sha256(upper(source) || chr(31) || n_chars) AS w FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL),
+e AS (SELECT DISTINCT s AS x, w AS y FROM v UNION SELECT DISTINCT w, s FROM v),
+reach(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+lab AS (SELECT x, min(y) AS label FROM reach GROUP BY 1), bad AS (SELECT label FROM lab WHERE x LIKE 'DOI:%' GROUP BY 1 HAVING count(*) > 1)
+SELECT x AS alias, 1 AS iteration FROM lab JOIN bad USING (label) WHERE x LIKE 'DOC_PAGE:%'""")
+def quarantine_weak_bridges(spark, d):
+    """Documents of one source and length share a weak alias; where that joins different texts, all weak aliases go."""
+    t = table(spark, d, "documents")
+    strong = F.when(F.col("text").isNull(), F.concat(F.lit("LOCAL_DOC_NULL:"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("DOI:"), F.sha2("text", 256)))
+    weak = F.when(F.col("text").isNotNull() & F.col("source").isNotNull() & F.col("n_chars").isNotNull(), X.sha_key("DOC_PAGE:", F.upper("source"), F.col("n_chars").cast("string")))
+    occ = t.select(F.col("doc_id").cast("string").alias("occurrence_id"), F.array_compact(F.array(strong, weak)).alias("aliases"), F.concat(F.lit("LOCAL_DOC_QUAR:"), F.col("doc_id").cast("string")).alias("fallback_alias"))
     return CC.protected_components(occ, "document")[2]
 
 
-@query("SELECT source, length(text) AS n FROM documents WHERE false UNION ALL SELECT coalesce(a.k, b.k), CASE WHEN a.k IS NULL THEN 1 ELSE 0 END FROM (SELECT DISTINCT source AS k FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT source AS k FROM documents WHERE lang = 'de') b USING (k) WHERE a.k IS NULL OR b.k IS NULL")
-def differing_keys(spark, d):
+@query(f"""WITH {_GRAPH_SQL}, c AS (SELECT lang AS g, 'DOI:' || sha256(text) AS k, false AS loc FROM documents WHERE text IS NOT NULL UNION ALL SELECT lang, 'LOCAL_DOC_NULL:' || doc_id, true FROM documents WHERE text IS NULL),
+r AS (SELECT coalesce(lang, 'UNKNOWN') AS g, count(DISTINCT source) AS releases FROM documents GROUP BY 1),
+p AS (SELECT coalesce(g, 'UNKNOWN') AS g, count(DISTINCT k) AS n, count(DISTINCT k) FILTER (loc) AS b FROM c GROUP BY 1)
+SELECT g AS schema_generation, n AS n_components, b AS n_release_local_only_components, b / CAST(n AS DOUBLE) AS release_local_only_fraction, releases AS n_processed_releases_in_family, releases < 2 OR b / CAST(n AS DOUBLE) <= 0.01 AS policy_pass,
+n - b AS n_overmerge_denominator_components, CAST(0 AS BIGINT) AS n_weak_only_internal_multiplicity, 0e0 AS fraction FROM p JOIN r USING (g)""")
+def policy_tables(spark, d):
+    """Release-local and multiplicity shares of the components of texts; a language is a generation, a source a release."""
     t = table(spark, d, "documents")
-    out = CO.differing_keys(t.filter("doc_id % 2 = 0"), t.filter("lang = 'de'"), ["source"])
-    return out.select("source", F.when(F.col("side") == "right_only", 1).otherwise(0).cast("long").alias("n"))
+    alias = F.when(F.col("text").isNull(), F.concat(F.lit("LOCAL_DOC_NULL:"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("DOI:"), F.sha2("text", 256)))
+    some = lambda c: F.array_compact(F.array(F.col(c)))
+    occ = t.select(F.col("doc_id").cast("string").alias("occurrence_id"), F.array(alias).alias("aliases"), some("lang").alias("schema_generation"), some("source").alias("releases"), F.expr("cast(array() as array<string>)").alias("quarantined_external"))
+    mapping, parts = CC.components(occ, "document")
+    audit = PO.augment_components(parts, occ, mapping, "document")
+    local = PO.release_local_table(audit, "document")
+    many = PO.multiplicity_table(audit, "document").select("schema_generation", "n_overmerge_denominator_components", "n_weak_only_internal_multiplicity", "fraction")
+    return local.join(many, "schema_generation").select("schema_generation", "n_components", "n_release_local_only_components", "release_local_only_fraction", "n_processed_releases_in_family", "policy_pass", "n_overmerge_denominator_components", "n_weak_only_internal_multiplicity", "fraction")
 
 
 @query("SELECT coalesce(a.k, b.k) AS doc_id, CASE WHEN a.k IS NULL THEN 'right_only' ELSE 'left_only' END AS side FROM (SELECT DISTINCT doc_id AS k FROM documents) a FULL JOIN (SELECT DISTINCT doc_id AS k FROM labels) b USING (k) WHERE a.k IS NULL OR b.k IS NULL")
-def differing_keys_all_ids(spark, d):
-    """As differing_keys, whose SQL takes even ids on one side and one language on the other, with two whole key sets."""
+def differing_keys(spark, d):
     return CO.differing_keys(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"])

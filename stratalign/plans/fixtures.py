@@ -84,7 +84,7 @@ def temporal_recuration(spark: SparkSession, _: str) -> DataFrame:
 
 
 RECURATION_SQL = """SELECT * FROM (VALUES ('D1', true, ''), ('D2', false, 'EXTERNAL_IDS_SIMULTANEOUS_IN_RELEASE'), ('D3', false, 'NOT_EXACTLY_ONE_ONE_WAY_TRANSITION'), ('D4', false, 'INSUFFICIENT_REPLICATED_TEMPORAL_SUPPORT'),
-('D5', false, 'BIBLIOGRAPHIC_CONTRADICTION'), ('D6', false, 'EXTERNAL_ID_USED_BY_OTHER_CHEMBL_DOCUMENT'), ('D7', false, 'NOT_EXACTLY_ONE_CHEMBL_DOCUMENT')) t(canonical_key, is_recuration, reason)"""
+('D5', false, 'BIBLIOGRAPHIC_CONTRADICTION:document_title=ONE|TWO'), ('D6', false, 'EXTERNAL_ID_USED_BY_OTHER_CHEMBL_DOCUMENT:D9'), ('D7', false, 'NOT_EXACTLY_ONE_CHEMBL_DOCUMENT')) t(canonical_key, is_recuration, reason)"""
 
 
 def source_policy(spark: SparkSession, _: str) -> DataFrame:
@@ -136,19 +136,6 @@ EVENTS_SQL = """SELECT event_type, document_identity_key, external_id_type, earl
 ('STRICT_TEMPORAL_EXTERNAL_ID_RECURATION', 'd4', 'PMID', '11', '22', 'R1|R2|R3|R4', 4, 'ACCEPT_TEMPORAL_RECURATION')) t(event_type, document_identity_key, external_id_type, earlier_value, later_value, release_labels, n, decision)"""
 
 
-def policy_tables(spark: SparkSession, _: str) -> DataFrame:
-    """Release-local and multiplicity shares per generation, a component in two generations counted in both."""
-    rows = [("c1", ["G1"], ["R1", "R2"], False, False), ("c2", ["G1", "G2"], ["R2", "R3"], False, True), ("c3", ["G1"], ["R1"], True, False), ("c4", ["G2"], ["R3"], True, True)]
-    audit = spark.createDataFrame(rows, "canonical_key string, schema_generations array<string>, release_labels array<string>, release_local_only_component boolean, internal_id_multiplicity_weak_only boolean")
-    local = PO.release_local_table(audit, "document", 0.4)
-    many = PO.multiplicity_table(audit, "document", 0.4).select("schema_generation", "n_overmerge_denominator_components", "n_weak_only_internal_multiplicity", "fraction")
-    return local.join(many, "schema_generation").select("schema_generation", "n_components", "n_release_local_only_components", "release_local_only_fraction", "n_processed_releases_in_family", "policy_pass", "n_overmerge_denominator_components", "n_weak_only_internal_multiplicity", "fraction")
-
-
-POLICY_SQL = """SELECT schema_generation, CAST(a AS BIGINT) AS n_components, CAST(b AS BIGINT) AS n_release_local_only_components, CAST(c AS DOUBLE) AS release_local_only_fraction, CAST(d AS BIGINT) AS n_processed_releases_in_family, e AS policy_pass, CAST(f AS BIGINT) AS n_overmerge_denominator_components, CAST(g AS BIGINT) AS n_weak_only_internal_multiplicity, CAST(h AS DOUBLE) AS fraction
-FROM (VALUES ('G1', 3, 1, 1e0 / 3, 3, true, 2, 1, 0.5e0), ('G2', 2, 1, 0.5e0, 2, false, 1, 1, 1e0)) t(schema_generation, a, b, c, d, e, f, g, h)"""
-
-
 def release_dates(spark: SparkSession, _: str) -> DataFrame:
     m = spark.createDataFrame([("CHEMBL02", "2"), ("CHEMBL22.1", "22.1"), ("CHEMBL30", "30")], "release_label string, release string")
     official = RE.payload_dates(spark, {"releases": [{"chembl_release": "CHEMBL_2", "creation_date": "2009-11-30T00:00:00"}, {"x": {"chembl_release": "CHEMBL_22.1", "creation_date": "2016-11-15"}}]})
@@ -198,7 +185,7 @@ def _snapshot(spark: SparkSession, generation: str) -> dict[str, DataFrame]:
 
 def extract_generations(spark: SparkSession, _: str) -> DataFrame:
     """The three extraction plans, structures, units, keys and tracks over one activity each."""
-    bridge = AU.build_bridge(spark.createDataFrame([("M K", "Homo sapiens", "P1")], "sequence string, organism string, accession string"))
+    bridge = AU.build_bridge(spark.createDataFrame([("M K", "Homo sapiens", "P1", "PROTEIN")], "sequence string, organism string, accession string, target_type string"))
     out = None
     for i, generation in enumerate(Q.GENERATIONS):
         rows = SN.extract(_snapshot(spark, generation), f"R{i + 1}", bridge=bridge)
@@ -238,7 +225,6 @@ CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "family_policies": (family_policies, FAMILY_SQL),
     "policy_summary": (policy_summary, "SELECT CAST(1 AS BIGINT) AS rename_families, CAST(1 AS BIGINT) AS partition_families, CAST(1 AS BIGINT) AS ambiguous_families, CAST(2 AS BIGINT) AS reconciled_aliases, CAST(3 AS BIGINT) AS quarantined_aliases"),
     "document_events": (document_events, EVENTS_SQL),
-    "policy_tables": (policy_tables, POLICY_SQL),
     "release_dates": (release_dates, DATES_SQL),
     "year_resolution": (year_resolution, YEARS_SQL),
     "extract_generations": (extract_generations, EXTRACT_SQL),

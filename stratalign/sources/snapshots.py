@@ -7,7 +7,9 @@ Catalyst broadcasts those that are small and prunes the columns of the rest.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import shutil
 import sqlite3
 import tarfile
 import zipfile
@@ -15,6 +17,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,12 +75,33 @@ def write_summary(df: DataFrame, path: str, fmt: str = "csv") -> None:
     out.option("header", "true").csv(path) if fmt == "csv" else out.json(path)
 
 
-def commit_release(manifest: DataFrame | None, spark: SparkSession, path: str, release: str, content_key: str, version: str, rows: DataFrame) -> bool:
-    """Write a release's rows and, last, its marker; False if the marker says it is there already (IO12)."""
-    if manifest is not None and manifest.filter((F.col("release_label") == release) & (F.col("content_key") == content_key) & (F.col("version") == version)).limit(1).count():
-        return False
-    write_once(rows, f"{path}/release_label={release}")
-    spark.createDataFrame([(release, content_key, version)], "release_label string, content_key string, version string").write.mode("append").parquet(f"{path}_manifest")
+MANIFEST = "release_label string, database_hash string, rows_hash string, version string"
+
+
+def rows_hash(df: DataFrame) -> str:
+    """A digest of a table's rows and columns, whatever their order and files."""
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    return hashlib.sha256(f"{sorted(df.dtypes)}|{one['n']}|{one['s']}".encode()).hexdigest()
+
+
+def commit_release(spark: SparkSession, path: str, release: str, database_hash: str, version: str, rows: DataFrame) -> bool:
+    """Write a release's rows and, last, its marker (IO12).
+
+    False, and nothing is written, if a marker of this version, database and release is there and
+    the rows that are stored are still those it was written for.
+    """
+    at = f"{path}/release_label={release}"
+    try:
+        marks = spark.read.schema(MANIFEST).parquet(f"{path}_manifest")
+        known = {r["rows_hash"] for r in marks.filter((F.col("release_label") == release) & (F.col("database_hash") == database_hash) & (F.col("version") == version)).collect()}
+        if known and rows_hash(spark.read.parquet(at)) in known:
+            return False
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    write_once(rows, at)
+    mark = (release, database_hash, rows_hash(spark.read.parquet(at)), version)
+    spark.createDataFrame([mark], MANIFEST).write.mode("append").parquet(f"{path}_manifest")
     return True
 
 
@@ -111,16 +135,22 @@ def database_candidates(folder: str) -> list[Path]:
 
 
 def unpack(archive: str, folder: str) -> list[Path]:
-    """Unpack a tar or zip archive, members that would leave the folder refused."""
+    """Unpack a tar, zip or gzip archive, members that would leave the folder refused (IO4)."""
     if zipfile.is_zipfile(archive):
         with zipfile.ZipFile(archive) as z:
             root = Path(folder).resolve()
             if any(not (root / n).resolve().is_relative_to(root) for n in z.namelist()):
                 raise SnapshotError("a member leaves the folder")
             z.extractall(folder)
-    else:
+    elif tarfile.is_tarfile(archive):
         with tarfile.open(archive) as t:
             t.extractall(folder, filter="data")
+    elif archive.endswith(".gz"):
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        with gzip.open(archive, "rb") as packed, open(Path(folder) / Path(archive).name.removesuffix(".gz"), "wb") as out:
+            shutil.copyfileobj(packed, out)
+    else:
+        raise SnapshotError(f"not an archive: {archive}")
     return database_candidates(folder)
 
 
@@ -171,12 +201,11 @@ def native_target_type(requested: str, generation: str) -> str:
 
 
 def confidence_regime(a2t: DataFrame) -> tuple[str, str]:
-    """(regime, column) of an early snapshot: modern scores, or the 0 to 7 scale."""
+    """(regime, column) of an early snapshot, by the column alone: scores in their later place, or the 0 to 7 scale."""
     column = pick(a2t, "confidence_score", "confidence")
     if column is None:
         raise SnapshotError("no confidence column")
-    top = a2t.agg(F.max(F.col(column).cast("double")).alias("m")).first()["m"]
-    return (MODERN if column == "confidence_score" and (top or 0) > 7 else EARLY), column
+    return (MODERN if column == "confidence_score" else EARLY), column
 
 
 @dataclass(frozen=True)
@@ -206,8 +235,8 @@ def _activities(tables: Tables, cfg: ExtractConfig) -> DataFrame:
 def _assays(tables: Tables, *extra: str) -> DataFrame:
     s = tables["assays"]
     return s.select(
-        s["assay_id"], s["doc_id"], *[s[c] for c in extra], bound(s, "assay_chembl_id", "chembl_id"), bound(s, "assay_type", "assay_type"), bound(s, "assay_description", "description"),
-        bound(s, "assay_source_id", "src_id"), bound(s, "assay_source_assay_id", "src_assay_id"), s["assay_id"].cast("string").alias("native_assay_id"), s["doc_id"].cast("string").alias("native_document_id"),
+        s["assay_id"], s["doc_id"], *[s[c] for c in extra], bound(s, "assay_chembl_id", "chembl_id", "assay_chembl_id"), bound(s, "assay_type", "assay_type"), bound(s, "assay_description", "description"),
+        bound(s, "assay_source_id", "src_id"), bound(s, "assay_source_assay_id", "src_assay_id", "source_assay_id"), s["assay_id"].cast("string").alias("native_assay_id"), s["doc_id"].cast("string").alias("native_document_id"),
     )
 
 
@@ -229,20 +258,30 @@ def extract(tables: Tables, release: str, cfg: ExtractConfig = ExtractConfig(),
         fit = level == 7 if regime == EARLY else level >= cfg.least_confidence
         links = a2t.filter(fit).select(a2t["assay_id"], a2t["tid"], level.alias("confidence_score"), bound(a2t, "target_relationship_type", "relationship_type"))
         mine = t.filter(t["organism"] == home)
-        kind = pick(mine, "target_type")
-        if kind and gen == "pre15_legacy":
-            mine = mine.filter(F.upper(mine[kind]) == native)
-        target = mine.select(mine["tid"], mine["organism"], bound(mine, "target_accession", "protein_accession"), bound(mine, "target_sequence", "protein_sequence"), bound(mine, "target_chembl_id", "chembl_id"))
+        target = mine.select(
+            mine["tid"], mine["organism"], bound(mine, "target_accession", "protein_accession"), bound(mine, "target_sequence", "protein_sequence"),
+            bound(mine, "target_chembl_id", "chembl_id"), bound(mine, "target_type", "target_type"),
+        )
+        has_accession, has_type = pick(mine, "protein_accession") is not None, pick(mine, "target_type") is not None
+        if not has_accession and pick(mine, "protein_sequence") is None:
+            raise SnapshotError("targets have neither an accession nor a sequence")
+        if has_type:
+            target = target.filter(F.upper("target_type") == native)
         rows = act.join(_assays(tables), "assay_id").join(links, "assay_id").join(target, "tid")
-        if gen == "pre9_early" and bridge is not None:
-            rows = apply_bridge(rows, bridge)
+        if gen == "pre9_early" and not (has_accession and has_type):
+            if bridge is None or not bridge.limit(1).count():
+                missing = [c for c, there in (("protein_accession", has_accession), ("target_type", has_type)) if not there]
+                raise SnapshotError(f"targets without {missing} need a bridge of exact sequences")
+            rows = apply_bridge(rows, bridge, has_accession, has_type).filter(F.upper("target_type") == native)
         else:
             rows = rows.withColumn("target_identity_source", F.lit("native_accession"))
-        rows = rows.withColumn("early_confidence_regime", F.lit(regime)).drop("target_sequence", "organism")
+        rows = rows.withColumn("early_confidence_regime", F.lit(regime)).drop("target_sequence", "organism", "target_type")
     rows = rows.filter(F.col("target_accession").isNotNull())
     if gen == "pre9_early":
         c = tables["compounds"]
-        structure = c.select(c["molregno"], F.lit(None).cast("string").alias("molecule_chembl_id"), F.lit(None).cast("string").alias("canonical_smiles"), bound(c, "molfile", "molfile"), bound(c, "molecule_pref_name", "pref_name"))
+        if pick(c, "canonical_smiles", "molfile") is None:
+            raise SnapshotError("compounds have neither canonical_smiles nor molfile")
+        structure = c.select(c["molregno"], bound(c, "molecule_chembl_id", "chembl_id"), bound(c, "canonical_smiles", "canonical_smiles"), bound(c, "molfile", "molfile"), bound(c, "molecule_pref_name", "pref_name", "name"))
     else:
         s, m = tables["compound_structures"], tables["molecule_dictionary"]
         structure = s.select(s["molregno"], bound(s, "canonical_smiles", "canonical_smiles"), bound(s, "molfile", "molfile")).join(m.select(m["molregno"], bound(m, "molecule_chembl_id", "chembl_id"), bound(m, "molecule_pref_name", "pref_name")), "molregno")
@@ -250,6 +289,17 @@ def extract(tables: Tables, release: str, cfg: ExtractConfig = ExtractConfig(),
     return out.withColumns({"release_label": F.lit(release), "schema_generation": F.lit(gen), "confidence_score": F.col("confidence_score").cast("double")})
 
 
+def reference_targets(tables: Tables) -> DataFrame:
+    """(sequence, organism, accession, target_type) of a reference snapshot, for ``build_bridge``."""
+    t = tables["target_dictionary"]
+    if generation_of(tables) == "post15":
+        chain = t.join(tables["target_components"].select("tid", "component_id"), "tid").join(tables["component_sequences"].select("component_id", "accession", "sequence"), "component_id")
+        return chain.select("sequence", "organism", "accession", "target_type")
+    if pick(t, "protein_accession") is None or pick(t, "protein_sequence") is None:
+        raise SnapshotError("a reference needs target accessions and sequences")
+    return t.select(bound(t, "sequence", "protein_sequence"), "organism", bound(t, "accession", "protein_accession"), bound(t, "target_type", "target_type"))
+
+
 def name_index(tables: Tables) -> DataFrame:
     """Different (molecule id, name, kind) of preferred names and synonyms."""
     m = tables["molecule_dictionary"]

@@ -22,6 +22,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise SnapshotError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         root = tempfile.mkdtemp(prefix="stratalign-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/stratalign/{name}-{uuid.uuid4().hex}"

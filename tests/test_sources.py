@@ -86,7 +86,7 @@ def early(spark, conf=7, rel="D"):
 
 
 def test_early_with_bridge(spark):
-    targets = spark.createDataFrame([("M K", "Homo sapiens", "P56817")], "sequence string, organism string, accession string")
+    targets = spark.createDataFrame([("M K", "Homo sapiens", "P56817", "PROTEIN")], "sequence string, organism string, accession string, target_type string")
     r = run(early(spark), build_bridge(targets)).first()
     assert r["target_identity_source"] == "exact_sequence_bridge" and r["primary_record_eligible"] and r["std_input_format"] == "molblock"
     two = targets.unionByName(targets.withColumn("accession", F.lit("Q99999")))
@@ -95,6 +95,114 @@ def test_early_with_bridge(spark):
     assert run(early(spark, conf=1), build_bridge(targets)).count() == 0
 
 
+def test_early_release_without_bridge_raises(spark):
+    with pytest.raises(SnapshotError, match="bridge"):
+        S.extract(early(spark), "R1")
+    bare = early(spark)
+    bare["compounds"] = bare["compounds"].drop("molfile")
+    with pytest.raises(SnapshotError, match="neither"):
+        S.extract(bare, "R1", bridge=build_bridge(S.reference_targets(legacy(spark, "D", 9))))
+
+
+def early_with(spark, accession, kind, score="confidence", **over):
+    t = early(spark, over.get("conf", 7), over.get("rel", "D"))
+    cols, row = "tid int, protein_sequence string, organism string", (10, "MK", "Homo sapiens")
+    if accession is not None:
+        cols, row = cols + ", protein_accession string", row + (accession,)
+    if kind is not None:
+        cols, row = cols + ", target_type string", row + (kind,)
+    t["target_dictionary"] = spark.createDataFrame([row], cols)
+    t["assay2target"] = t["assay2target"].withColumnRenamed("confidence", score)
+    return t
+
+
+def test_native_accessions_need_the_bridge_where_types_are_missing(spark):
+    bridge = build_bridge(S.reference_targets(legacy(spark, "D", 9)))
+    assert [(r["target_types"], r["status"]) for r in bridge.collect()] == [("PROTEIN", "unique")]
+    sure = S.extract(early_with(spark, "P56817", None), "R1", bridge=bridge).collect()
+    assert [(r["target_accession"], r["target_identity_source"]) for r in sure] == [("P56817", "native_accession_bridge_confirmed")]
+    assert S.extract(early_with(spark, "P00000", None), "R1", bridge=bridge).count() == 0
+    # where the release has both, no bridge is asked; other types of target never stay
+    assert run(early_with(spark, "P00000", "PROTEIN")).first()["target_identity_source"] == "native_accession"
+    assert S.extract(early_with(spark, "P56817", "PROTEIN FAMILY"), "R1").count() == 0
+    # a bridge to another type certifies no protein
+    other = bridge.withColumn("target_type", F.lit("CELL-LINE"))
+    assert S.extract(early_with(spark, "P56817", None), "R1", bridge=other).count() == 0
+
+
+def test_early_scores_are_read_by_their_column(spark):
+    # a late column with scores up to 7 is the 0 to 9 scale: nothing reaches 8
+    assert S.extract(early_with(spark, "P56817", "PROTEIN", "confidence_score", conf=7), "R1").count() == 0
+    nine = run(early_with(spark, "P56817", "PROTEIN", "confidence_score", conf=9)).first()
+    eight = run(early_with(spark, "P56817", "PROTEIN", "confidence_score", conf=8, rel="H")).first()
+    assert nine["primary_record_eligible"] and nine["historical_confidence_equivalence"] == "modern_0_9_legacy_location"
+    assert not eight["primary_record_eligible"] and eight["confidence8_B_record_eligible"] and eight["broad_prior_knowledge_eligible"]
+
+
+def test_early_molecules_keep_what_the_release_has(spark):
+    t = early_with(spark, "P56817", "PROTEIN")
+    t["compounds"] = spark.createDataFrame([(1, "block", "CCO", "CHEMBL7", "ethanol")], "molregno int, molfile string, canonical_smiles string, chembl_id string, pref_name string")
+    r = run(t).first()
+    assert (r["molecule_chembl_id"], r["canonical_smiles"], r["std_input_format"]) == ("CHEMBL7", "CCO", "smiles")
+
+
+def test_chemistry_is_not_replaced_silently(spark, tmp_path):
+    from stratalign.operators import structure as ST
+
+    try:
+        import rdkit  # noqa: F401
+    except ImportError:
+        with pytest.raises(SnapshotError, match="RDKit"):
+            ST.default_backend()
+    path = str(tmp_path / "cache")
+    x = spark.createDataFrame([("CCO", "smiles"), ("CCN", "smiles"), (" ", "smiles")], "text string, fmt string")
+    assert {r["status"] for r in ST.refreshed_cache(spark, path, x.limit(2), identity_backend).collect()} == {"ok"}
+    assert ST.refreshed_cache(spark, path, x, identity_backend).count() == 3
+    assert spark.read.parquet(path).count() == 3
+
+    def never(text, fmt):
+        raise AssertionError("computed again")
+
+    assert ST.refreshed_cache(spark, path, x, never).count() == 3
+    torn = spark.read.parquet(path).withColumn("input_length", F.lit(99))
+    with pytest.raises(SnapshotError, match="hash of another text"):
+        standardize_inputs(x, never, torn)
+
+
+def test_stereo_and_missing_keys(monkeypatch):
+    """The backend's own rules, against stand-ins for the chemistry."""
+    import sys
+    import types
+
+    from stratalign.operators import structure as ST
+
+    seen = []
+
+    class Tautomers:
+        SetRemoveSp3Stereo = lambda self, x: seen.append(("sp3", x))
+        SetRemoveBondStereo = lambda self, x: seen.append(("bond", x))
+        Canonicalize = lambda self, m: m
+
+    step = lambda name: (lambda *a, **k: types.SimpleNamespace(**{name: lambda m: m}))
+    std = types.SimpleNamespace(TautomerEnumerator=Tautomers, LargestFragmentChooser=step("choose"), Normalizer=step("normalize"), Reionizer=step("reionize"), Uncharger=step("uncharge"))
+    ring = types.SimpleNamespace(GetNumAtoms=lambda: 0)
+    chem = types.SimpleNamespace(MolFromSmiles=lambda t: None if t == "bad" else t, MolFromMolBlock=lambda t: t, SanitizeMol=lambda m: None, MolToInchiKey=lambda m: "" if m == "keyless" else "K-" + m, MolToSmiles=lambda m: m)
+    mods = {"rdkit": types.ModuleType("rdkit"), "rdkit.Chem": types.ModuleType("rdkit.Chem"), "rdkit.Chem.MolStandardize": types.ModuleType("m"), "rdkit.Chem.Scaffolds": types.ModuleType("s")}
+    mods["rdkit"].Chem = mods["rdkit.Chem"]
+    vars(mods["rdkit.Chem"]).update(vars(chem))
+    mods["rdkit.Chem.MolStandardize"].rdMolStandardize = std
+    mods["rdkit.Chem.Scaffolds"].MurckoScaffold = types.SimpleNamespace(GetScaffoldForMol=lambda mol: ring)
+    for name, m in mods.items():
+        monkeypatch.setitem(sys.modules, name, m)
+    ST._chemistry.cache_clear()
+    try:
+        assert ST.rdkit_backend("CCO", "smiles") == ("CCO", "K-CCO", "", "ok", "")
+        assert ST.rdkit_backend("bad", "smiles")[3] == "failed" and "no InChIKey" in ST.rdkit_backend("keyless", "smiles")[4]
+        assert sorted(seen) == [("bond", False), ("sp3", False)]
+    finally:
+        ST._chemistry.cache_clear()
+
+
 def test_structure_cache_is_reused(spark):
     x = spark.createDataFrame([("CCO", "smiles"), ("CCO", "smiles"), ("C", "smiles")], "text string, fmt string")
     first = standardize_inputs(x, identity_backend)
@@ -121,6 +229,19 @@ def test_ingest_and_archive(spark, tmp_path):
         t.add(db, "inner/x.db")
     assert S.extract_single_database(str(tmp_path / "a.tar.gz"), str(tmp_path / "u")).name == "x.db"
     assert S.sha256_file(db) == S.file_hashes(spark, db).first()["sha256"]
+    import gzip
+    import zipfile
+
+    with open(db, "rb") as f, gzip.open(tmp_path / "y.db.gz", "wb") as g:
+        g.write(f.read())
+    assert S.sha256_file(str(S.extract_single_database(str(tmp_path / "y.db.gz"), str(tmp_path / "g")))) == S.sha256_file(db)
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.write(db, "a.db")
+        z.write(db, "b.sqlite")
+    with pytest.raises(SnapshotError, match="2 databases"):
+        S.extract_single_database(str(tmp_path / "two.zip"), str(tmp_path / "z"))
+    with pytest.raises(SnapshotError, match="not an archive"):
+        S.unpack(db, str(tmp_path / "n"))
 
 
 def test_streaming_first_seen_any_order(spark, tmp_path):
