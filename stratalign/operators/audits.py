@@ -154,10 +154,11 @@ def guarded_int(df: DataFrame, column: str) -> DataFrame:
     """Text to integer; non-numeric or fractional values raise, empty ones are null (K6)."""
     raw = F.col(column).cast("string")
     x = raw.try_cast("double")
-    bad = df.filter((X.text(raw) != "") & (x.isNull() | (x != F.floor(x))))
+    some = F.trim(X.text(raw)) != ""
+    bad = df.filter(some & (x.isNull() | (x != F.floor(x))))
     if bad.limit(1).count():
         raise SnapshotError(f"{column} is not integral", bad)
-    return df.withColumn(column, F.when(X.text(raw) != "", x.cast("long")))
+    return df.withColumn(column, F.when(some, x.cast("long")))
 
 
 def layer_crosstab(layered: DataFrame, percent: bool = False) -> DataFrame:
@@ -191,7 +192,3 @@ def compress_states(df: DataFrame, entity: str, order: str, state: str) -> DataF
     """Rows at which the entity's state differs from the one before: (entity, order, state, was) (A2)."""
     was = F.lag(state).over(W.partitionBy(entity).orderBy(order))
     return df.select(entity, order, state, was.alias("was")).filter(F.col("was").isNull() | ~F.col("was").eqNullSafe(F.col(state)))
-
-
-def numeric_quantiles(column: Column, points: Sequence[float]) -> list[Column]:
-    return [F.percentile(column, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in points]

@@ -246,10 +246,14 @@ def test_ingest_and_archive(spark, tmp_path):
 
 def test_streaming_first_seen_any_order(spark, tmp_path):
     schema = "key string, day date"
-    for i, rows in enumerate([[("a", "2024-01-05"), ("b", "2024-01-02")], [("a", "2024-01-01"), ("c", "2024-01-09")]]):
+    with pytest.raises(FileNotFoundError):
+        latest(spark, str(tmp_path / "state"))
+    for i, rows in enumerate([[("a", "2024-01-05"), ("b", "2024-01-02")], [("a", "2024-01-01"), ("c", "2024-01-09")], [("a", "2024-01-03"), ("b", "2024-01-04")]]):
         df = spark.createDataFrame(rows, "key string, day string").select("key", F.col("day").cast("date").alias("day"))
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        start_first_seen(events, "key", "day", str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+        start_first_seen(events, "key", "day", str(tmp_path / "state"), str(tmp_path / "cp"), compact_every=2).awaitTermination()
     got = {r["key"]: str(r["first_available_date"]) for r in latest(spark, str(tmp_path / "state")).collect()}
     assert got == {"a": "2024-01-01", "b": "2024-01-02", "c": "2024-01-09"}
+    # two batches are merged, the third is a delta of its own
+    assert sorted(p.name for p in (tmp_path / "state").glob("kind=*/n=*")) == ["n=1", "n=2"]
