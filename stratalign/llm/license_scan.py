@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -217,16 +217,29 @@ def _digests_at(starts: Column, length: int) -> Column:
     return F.transform(whole, lambda x: F.sha2(F.substring(x, 2, length), 256))
 
 
+def _cover(anchors: Iterable[str]) -> list[str]:
+    """Few words of which every anchor holds one: a text without them holds no anchor."""
+    left, out = [set(a.split(" ")) for a in sorted(anchors)], []
+    while left:
+        best = max(sorted(set().union(*left)), key=lambda w: (sum(w in a for a in left), len(w)))
+        out.append(best)
+        left = [a for a in left if best not in a]
+    return out
+
+
 def embedded(canon: Column, known: Mapping[str, Mapping[int, Mapping[str, str]]]) -> Column:
     """Sorted licences whose whole canonical text stands in a canonical text, by the digests of what follows each of their openings."""
     names = F.create_map(*[F.lit(x) for by in known.values() for d in by.values() for kv in d.items() for x in kv])
     inside = F.concat(F.lit(" "), canon, F.lit(" "))
+    likely = F.lit(False)
+    for word in _cover(known):
+        likely = likely | F.contains(canon, F.lit(word))
     none = F.expr("cast(array() as array<string>)")
     found = []
     for anchor, lengths in sorted(known.items()):
         digests = F.flatten(F.array(*[_digests_at(_from_openings(inside, anchor), n) for n in sorted(lengths)]))
         found.append(F.when(F.contains(inside, F.lit(f" {anchor} ")), digests).otherwise(none))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(*found), lambda x: names[x]), lambda x: x.isNotNull())))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.when(likely, F.concat(*found)).otherwise(none), lambda x: names[x]), lambda x: x.isNotNull())))
 
 
 def scan_licenses(
