@@ -8,6 +8,10 @@ replacement: document keys u**(1/w) with w its quality weight, taken from the la
 (the smallest -ln(u)/w) on, until the prefix sum of sizes meets the rest. The document at
 the boundary is taken if that brings the sum nearer to the target. Documents are whole.
 
+The quality weight is any positive expression. ``quality_weight`` learns one from labels: the
+posterior probability that a text of its structure is good. Without labels it is
+``noise_weight``, which falls with the share of markup debris.
+
 Scale: prefix sums are two-level. Keys fall into about sqrt(rows) buckets of equal key
 ranges; bucket sums are aggregated on the map side and accumulated per source, and only the
 one bucket per source that the boundary falls into is sorted. No task sees a whole source, and
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from stratalign.llm._util import SPACE, discard, materialize, or_empty, unit_interval
 
 BROADCAST_SOURCES = 20_000
+BROADCAST_LABELS = 1_000_000
 #: Signs of markup debris; each per cent of them in a text lowers its weight.
 NOISE = "*%$#&|!"
 _BLANK = r" \t\n\x0B\f\r"
@@ -55,6 +60,34 @@ def noise_weight(text: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit(20.0) * noisy.cast("double") / F.greatest(n, F.lit(1)).cast("double"))
 
 
+NOISE_STEPS, LENGTH_STEPS = (0.001, 0.01, 0.05), (4.0, 6.0, 9.0)
+
+
+def structure_bin(text: Column) -> Column:
+    """0 to 15: four steps of the share of noise signs, times four of the characters a word."""
+    t = or_empty(text)
+    n = F.greatest(F.length(t), F.lit(1)).cast("double")
+    noisy = (F.length(t) - F.length(F.regexp_replace(t, f"[{NOISE}]++", ""))).cast("double") / n
+    long = n / F.greatest(word_count(text), F.lit(1)).cast("double")
+    step = lambda x, steps: sum(((x > s).cast("int") for s in steps), F.lit(0))
+    return step(noisy, NOISE_STEPS) * 4 + step(long, LENGTH_STEPS)
+
+
+def quality_weight(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Column:
+    """The posterior probability that a text of its structure is good, from labels (id, 0/1) of some documents.
+
+    Sixteen counts reach the driver: good and all labelled documents of each ``structure_bin``; a
+    bin without any has weight one half.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label).alias("good"))
+    known = known.groupBy("label_id").agg(F.max("good").alias("good"))
+    small = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small, F.col("id") == F.col("label_id"))
+    counts = {r["bin"]: (r["good"], r["n"]) for r in rows.groupBy(structure_bin(F.col("text")).alias("bin")).agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")).collect()}
+    weights = [(counts.get(b, (0, 0))[0] + 1.0) / (counts.get(b, (0, 0))[1] + 2.0) for b in range(16)]
+    return F.element_at(F.array(*[F.lit(w) for w in weights]), structure_bin(F.col(text_col)) + 1)
+
+
 def source_targets(sized: DataFrame, cycle: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """(source, source_size, target) by water filling, from (source, size) rows.
 

@@ -65,7 +65,9 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = _table(spark, sf_dir, "documents")
+    weight = mixing.quality_weight(docs, _table(spark, sf_dir, "labels"))
+    return mixing.mix_sources(docs, weight=weight).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +139,18 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 OP4_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         -ln((CAST(('0x' || substr(md5('mix-1|' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496e0)
-         / (1e0 / (1e0 + 20e0 * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '*%$#&|!', '')))::DOUBLE / greatest(length(coalesce(text, '')), 1)::DOUBLE)) AS key
-  FROM documents),
+WITH plain AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+shape AS (
+  SELECT doc_id, source, size, greatest(length(t), 1)::DOUBLE AS n, (length(t) - length(translate(t, '*%$#&|!', '')))::DOUBLE / greatest(length(t), 1)::DOUBLE AS noisy FROM plain),
+binned AS (
+  SELECT *, 4 * ((noisy > 0.001e0)::INT + (noisy > 0.01e0)::INT + (noisy > 0.05e0)::INT) + (n / greatest(size, 1)::DOUBLE > 4e0)::INT + (n / greatest(size, 1)::DOUBLE > 6e0)::INT + (n / greatest(size, 1)::DOUBLE > 9e0)::INT AS bin
+  FROM shape),
+known AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+fitted AS (SELECT bin, (sum(good)::DOUBLE + 1e0) / (count(*)::DOUBLE + 2e0) AS weight FROM binned JOIN known USING (doc_id) GROUP BY bin),
+sized AS (
+  SELECT doc_id, source, size, -ln((CAST(('0x' || substr(md5('mix-1|' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496e0) / coalesce(weight, 0.5e0) AS key
+  FROM binned LEFT JOIN fitted USING (bin)),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 capped AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight FROM per),
 levels AS (
