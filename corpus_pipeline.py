@@ -65,13 +65,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated as often as the mix takes them, columns unchanged.
+    """Rows repeated as often as the mix takes them, columns unchanged; weights are learnt from the quality labels.
 
     Texts without words have size 0 and are taken 0 times; a null source is a source; ties between
     equal keys go to the smaller id, then size, then digest of the text.
     """
     _lean(spark)
-    return mixing.mix_documents(docs)
+    return mixing.mix_documents(docs, weight=mixing.quality_weight(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
