@@ -98,6 +98,21 @@ def test_mix_of_repeated_ids_agrees_and_adds_up(spark, docs_of):
     assert len(seen) == 1
 
 
+def test_quality_weights_are_learnt_and_prefer_good_texts(spark, docs_of):
+    clean, dirty = "plain words stand here and say something " * 3, "### *** &&& |||| $$$ %%% !!! word " * 3
+    rows = [(i, clean if i % 2 else dirty, "a" if i % 10 else "b") for i in range(400)] + [(900, None, "a"), (901, "", None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(7, 5), (None, 1), (5000, 0)], "doc_id long, quality int")
+    df = docs_of(rows)
+    weight = mixing.quality_weight(df, labels)
+    seen = {r["text"]: r["w"] for r in df.select("text", weight.alias("w")).distinct().collect()}
+    assert seen[clean] > 0.95 and seen[dirty] < 0.05 and seen[None] == seen[""] == 0.5
+    got = mixing.mix_sources(df, weight=weight, cycle=(1, 20)).filter("source = 'a' AND size > 0")
+    shares = {r["good"]: r["share"] for r in got.groupBy((F.col("doc_id") % 2 == 1).alias("good")).agg(F.avg((F.col("copies") > 0).cast("double")).alias("share")).collect()}
+    assert shares[True] > shares[False] + 0.2, shares
+    none = mixing.quality_weight(df, labels.filter("false"))
+    assert df.select(none.alias("w")).filter("w <> 0.5").count() == 0
+
+
 def test_word_counts(spark):
     texts = ["", " ", "a", " a ", "a b", "a  b", "\ta\x0b\x0c\r\nb \n c", "a\x01b \x02 c", "\xa0 x", "x " * 70_000, None, "日本 語"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.word_count(F.col("t")).alias("n")).orderBy("i").collect()
