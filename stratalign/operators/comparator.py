@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
-from stratalign.storage import assert_none, assert_unique
+from stratalign.storage import assert_unique, known_unique, required
 
 
 def release_order(manifest: DataFrame) -> DataFrame:
@@ -38,13 +38,14 @@ def build_bridge(observations: DataFrame, safe_assay: str = "assay_identity_key"
 
 def _first_of(bridge: DataFrame, order: DataFrame, key: str, assay: str) -> DataFrame:
     rows = bridge.select("release_label", F.col(key).alias("activity_key"), F.col(assay).alias("assay_identity_key")).join(F.broadcast(order), "release_label", "left")
-    assert_none(rows.filter("release_order IS NULL").select("release_label").distinct(), "releases unknown to the manifest")
-    least = F.min(F.struct("release_order", "release_label", "assay_identity_key", "exact_release_date")).alias("f")
-    return rows.groupBy("activity_key").agg(least).select(
+    known = required(F.col("release_order"), F.concat(F.lit("release unknown to the manifest: "), X.text(F.col("release_label"))))
+    least = F.min(F.struct(known.alias("release_order"), "release_label", "assay_identity_key", "exact_release_date")).alias("f")
+    out = rows.groupBy("activity_key").agg(least).select(
         "activity_key", F.col("f.assay_identity_key").alias("assay_identity_key"), F.col("f.release_label").alias("first_available_release"),
         F.col("f.exact_release_date").alias("first_available_date"), F.col("f.release_order").alias("release_order"),
         (F.col("f.release_order") == 0).alias("first_availability_left_censored"),
     )
+    return known_unique(out, "activity_key")
 
 
 def safe_first(bridge: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def displacement(bridge: DataFrame, safe: DataFrame, local: DataFrame, check: bo
     r = local.select(F.col("activity_key").alias("release_local_activity_key"), F.col("release_order").alias("local_order"), F.col("first_available_date").alias("local_date"))
     merged = topology(bridge).join(s, "safe_activity_key", "left").join(r, "release_local_activity_key", "left")
     if check:
-        assert_none(merged.filter("safe_order IS NULL OR local_order IS NULL"), "bridge rows without a first release")
+        whole = lambda c: required(F.col(c), "a bridge row without a first release")
+        merged = merged.withColumns({"safe_order": whole("safe_order"), "local_order": whole("local_order")})
     shift, days = F.col("local_order") - F.col("safe_order"), F.datediff("local_date", "safe_date")
     out = merged.groupBy("safe_activity_key").agg(
         F.first("safe_first_available_release").alias("safe_first_available_release"), F.first("safe_order").alias("safe_first_release_ordinal"),

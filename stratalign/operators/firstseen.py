@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
-from stratalign.storage import assert_none
+from stratalign.storage import assert_none, required
 
 STABLE = ("release_date", "release_label", "document_identity_key", "assay_identity_key", "document_chembl_id", "assay_chembl_id", "molecule_chembl_id", "activity_key", "row_ordinal")
 TIE = ("document_identity_key", "assay_identity_key", "document_chembl_id", "assay_chembl_id", "activity_key")
@@ -56,12 +56,13 @@ def first_seen(observations: DataFrame, manifest: DataFrame, eligible: str = "pr
     """(first, audit) from keyed observations.
 
     ``observations`` has release_label, activity_key, pair_key and the eligibility column;
-    ``manifest`` release_label and exact_release_date. A release without a date is an error.
+    ``manifest`` release_label and exact_release_date. A release without a date is an error: at once if
+    the manifest lists it so, and when the result is read if only the observations know it.
     """
     dates = manifest.select("release_label", F.col("exact_release_date").cast("date").alias("release_date"))
     assert_none(dates.filter("release_date IS NULL"), "release dates missing in the manifest")
     rows = observations.filter(X.truthy(F.col(eligible))).join(F.broadcast(dates), "release_label", "left")
-    assert_none(rows.filter("release_date IS NULL").select("release_label").distinct(), "release dates missing for observations")
+    rows = rows.withColumn("release_date", required(F.col("release_date"), F.concat(F.lit("release without a date in the manifest: "), X.text(F.col("release_label")))))
     combined = within_release(rows)
     key = W.partitionBy("activity_key")
     first = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def required(value: Column, message: Column | str) -> Column:
+    """The value; where it is null the query that reads it fails with the message, without a pass of its own."""
+    return F.coalesce(value, F.raise_error(F.lit(message) if isinstance(message, str) else message))
+
+
+def known_unique(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, noted to be unique on ``keys`` by construction (one row per group of an aggregate)."""
+    df._unique_on = keys  # noqa: SLF001
+    return df
+
+
 def assert_unique(df: DataFrame, keys: list[str], what: str) -> None:
-    """One side of a join must not repeat its keys."""
+    """One side of a join must not repeat its keys (J23); what is noted to be unique is not counted."""
+    if getattr(df, "_unique_on", None) == tuple(keys):
+        return
     twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if twice.limit(1).count():
         raise SnapshotError(f"{what}: {', '.join(keys)} not unique", twice)

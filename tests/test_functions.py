@@ -192,3 +192,21 @@ def test_names_and_linked_documents(spark):
     }
     assert rows_of(S.name_index(tables), "molecule_chembl_id", "name") == [("M1", "ETHANOL"), ("M2", "SPIRIT")]
     assert rows_of(S.linked_documents(tables), "doc_id", "document_title") == [(20, "t")]
+
+
+def test_contracts_fail_when_the_result_is_read(spark):
+    manifest = spark.createDataFrame([("R1", "2024-01-01"), ("R2", "2024-02-01")], "release_label string, exact_release_date string")
+    bridge = spark.createDataFrame([("R1", "s", "l"), ("R2", "s", "m")], "release_label string, safe_activity_key string, release_local_activity_key string").withColumns({"safe_assay_identity_key": F.lit("a"), "release_local_assay_identity_key": F.lit("b")})
+    safe, local = CO.safe_first(bridge, manifest), CO.local_first(bridge, manifest)
+    assert rows_of(CO.displacement(bridge, safe, local), "safe_activity_key", "max_delay_releases") == [("s", 1)]
+    with pytest.raises(Exception, match="unknown to the manifest: R9"):
+        CO.safe_first(bridge.withColumn("release_label", F.lit("R9")), manifest).collect()
+    with pytest.raises(Exception, match="without a first release"):
+        CO.displacement(bridge, safe, local.filter("activity_key = 'l'")).collect()
+    with pytest.raises(SnapshotError, match="not unique"):
+        CO.displacement(bridge, safe.unionAll(safe), local)
+    obs = spark.createDataFrame([("R1", "k", "p", True), ("R9", "k", "p", True)], "release_label string, activity_key string, pair_key string, primary_record_eligible boolean")
+    with pytest.raises(Exception, match="manifest: R9"):
+        FS.first_seen(obs, manifest)[0].collect()
+    with pytest.raises(SnapshotError, match="missing in the manifest"):
+        FS.first_seen(obs, manifest.withColumn("exact_release_date", F.lit(None).cast("string")))
