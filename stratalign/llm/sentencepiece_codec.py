@@ -46,7 +46,7 @@ from stratalign.llm._util import sliced, thrifty
 BLANK = "▁"
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûü")
 #: Stretches between boundaries that are remembered, twice over: those used lately, and those before them.
-MEMO = 75_000
+MEMO = 150_000
 MEMO_LENGTH = 64
 #: Pairs of pieces whose merging is known.
 PAIRS = 300_000
@@ -330,12 +330,13 @@ class Codec:
         self.old: dict[str, bytes] = {}
         self.commits = self.most_held = 0
         signs, letters = re.escape(vocabulary.cut_signs), "".join(sorted(LETTERS))
-        word = f"{BLANK}*[{letters}]+(?=[{signs}{BLANK}])|" if signs else ""
-        self.stretches = re.compile(f"{word}{BLANK}*[^{BLANK}]+|{BLANK}+") if cuts and vocabulary.cuts_at_blanks else re.compile("(?s).+")
+        # stretches are cut from, and remembered as, text with plain blanks: mostly one byte a character
+        word = f" *[{letters}]+(?=[{signs} ])|" if signs else ""
+        self.stretches = re.compile(f"{word} *[^ ]+| +") if cuts and vocabulary.cuts_at_blanks else re.compile("(?s).+")
 
     def _search(self, stretch: str) -> bytes:
         search, ids, of = StreamingViterbi(self.lattice), [], self.lattice.ids
-        for piece in search.push(stretch):
+        for piece in search.push(stretch.replace(" ", BLANK)):
             ids += of[piece]
         for piece in search.close():
             ids += of[piece]
@@ -357,17 +358,13 @@ class Codec:
                 self.young[stretch] = known
         return known
 
-    def forget(self) -> None:
-        """Free what grows with the texts; a worker's memory is needed by other stages."""
-        self.young, self.old = {}, {}
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        flat = text.replace(" ", BLANK)
+        flat = text.replace(BLANK, " ")
         if self.v.dummy_prefix:
-            flat = BLANK + flat
+            flat = " " + flat
         stretches = self.stretches.findall(flat)
         self.commits += len(stretches) - 1
         return b"".join(map(self.__getitem__, stretches))
@@ -381,7 +378,7 @@ class Codec:
 
 
 def worker_codec(plain: tuple) -> Codec:
-    """The codec of this Python worker, which lives on from task to task with its pairs."""
+    """The codec of this Python worker, which lives on from task to task with its bounded memos."""
     import sys
 
     held = getattr(sys, "_stratalign_codecs", None)
@@ -418,7 +415,6 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids"
                 made += [pa.array(right, pa.bool_()), pa.array(commits, pa.int64())]
                 names += ["decoded_ok", "n_commits"]
             yield pa.RecordBatch.from_arrays(made, names)
-        codec.forget()
 
     fields = [*[docs.schema[c] for c in columns], T.StructField(out, T.ArrayType(T.IntegerType(), False))]
     if check:
