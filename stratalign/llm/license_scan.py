@@ -84,7 +84,7 @@ def _long(name: str) -> str:
 TEXTS = {
     "BSD-2-Clause": "BSD 2-Clause License\n" + _REDISTRIBUTION + _DISCLAIMER,
     "BSD-3-Clause": "BSD 3-Clause License\n" + _REDISTRIBUTION + _NO_ENDORSEMENT + _DISCLAIMER,
-    **{name: _long(name) for name in ("Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")},
+    **{name: _long(name) for name in ("Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")},
     "MIT": """MIT License
 Copyright (c) <year> <copyright holders>
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -117,9 +117,9 @@ def forms_of(name: str, text: str) -> Sequence[str]:
 
 
 #: A line that may claim copyright; claims differ between copies of one licence.
-COPYRIGHT_LINE = r"(?s)^[^a-z0-9]*(portions )?(copyright|©|\(c\))( ?\(c\)| ?©|.*[0-9]{4}|.*<year>|.*\[yyyy\]).*$|^[^a-z0-9]*all rights reserved[^a-z0-9]*$"
+COPYRIGHT_LINE = r"(?s)^[^a-z0-9]*(portions )?(copyright|©|\(c\))( *\(c\)| *©|.*[0-9]{4}|.*<year>|.*\[yyyy\]).*$|^[^a-z0-9]*all +rights +reserved[^a-z0-9]*$"
 
-_RESERVED = r"(?s)^[^a-z0-9]*all rights reserved[^a-z0-9]*(?!.)"
+_RESERVED = r"(?s)^[^a-z0-9]*all +rights +reserved[^a-z0-9]*(?!.)"
 _HEAD = r"[^a-z0-9]*(?:portions )?(?:copyright|©|\(c\))"
 _YEAR = r"(?:[0-9]{4}|<year>|\[yyyy\])"
 # A clause ends before a grant, after the holder's sentence (not after initials, or where the holders go on) or with the line.
@@ -129,7 +129,7 @@ _END = rf"(?:{_GRANT}|{_STOP}|(?!.))"
 _HOLDER_FIRST = rf"(?:[^.]|\.(?![ \t])|(?<=inc|ltd|llc)\.|(?<=co)\.){{1,200}}?{_YEAR}[.,;: \t]*{_END}"
 
 #: The claim at the head of a copyright line: marked (c), or its year comes first, or last in the clause.
-COPYRIGHT_CLAUSE = rf"(?s)^{_HEAD}(?:(?: *\(c\)| *©|[^a-z0-9]*?{_YEAR}).*?{_END}|{_HOLDER_FIRST})(?:[ \t.,;:]*all rights reserved[ \t.,;:]*)?"
+COPYRIGHT_CLAUSE = rf"(?s)^{_HEAD}(?:(?: *\(c\)| *©|[^a-z0-9]*?{_YEAR}).*?{_END}|{_HOLDER_FIRST})(?:[ \t.,;:]*all +rights +reserved[ \t.,;:]*)?"
 
 
 def spelled(line: Column) -> Column:
@@ -142,7 +142,7 @@ def spelled(line: Column) -> Column:
 def canonical_lines(text: Column) -> Column:
     """Canonical lines of a text; empty ones are dropped. Only texts that may claim copyright are cut up for that."""
     low = ascii_lower(or_empty(text))
-    claims = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("all rights reserved")
+    claims = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("reserved")
     kept = F.filter(F.split(low, "\n", -1), lambda x: ~x.rlike(_RESERVED))
     cut = F.transform(kept, lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSE, "")).otherwise(x))
     words = F.regexp_replace(F.when(claims, F.array_join(cut, "\n")).otherwise(low), r"[^\p{L}\p{N}\n]+", " ")
