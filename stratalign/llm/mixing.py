@@ -14,8 +14,8 @@ posterior probability that a text of its structure is good. Without labels it is
 
 Scale: prefix sums are two-level. Keys fall into about sqrt(rows) buckets of equal key
 ranges; bucket sums are aggregated on the map side and accumulated per source, and only the
-one bucket per source that the boundary falls into is sorted. No task sees a whole source, and
-documents are mixed where they are read: no text outside those buckets is shuffled.
+one bucket per source that the boundary falls into is sorted. No task sees a whole source, nor
+all sources where they are many, and documents are mixed where they are read: no text is shuffled.
 
 Defined cases: null or empty texts have size 0 and are taken 0 times. A null source is a
 source of its own, last in order. Rows are judged one by one, also if they share an identifier:
@@ -88,30 +88,44 @@ def quality_weight(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return F.element_at(F.array(*[F.lit(w) for w in weights]), structure_bin(F.col(text_col)) + 1)
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """Adds rank, from 0 in code point order, null last: one sort while sources are few, else by ranges."""
+    order = F.col("source").asc_nulls_last()
+    if per.count() <= BROADCAST_SOURCES:
+        return per.withColumn("rank", F.row_number().over(W.orderBy(order)) - 1)
+    # each partition holds a range of the sources; how many the ranges before it hold is added
+    dealt = materialize(per.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ends = [sum(n for p, n in sizes.items() if p < part) for part in range(max(sizes) + 1)]
+    before = F.element_at(F.array(*[F.lit(x) for x in ends]), F.col("part") + 1)
+    return dealt.withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy(order)) - 1 + before).drop("part")
+
+
 def source_targets(sized: DataFrame, cycle: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """(source, source_size, target) by water filling, from (source, size) rows.
 
-    Sources are capped in the order of cap/weight until, with all earlier ones capped, the
-    level of the rest is within the next one's cap. Capping more would only lower the level, so
-    the level wanted is the greatest that is within its cap. Weights repeat in code point order.
+    Weights repeat in code point order. The level of the water is the words that are left, by
+    weight, to the sources below their caps; sources that it takes above theirs are capped, and the
+    level of the rest is found again, until it takes none. Each turn is one aggregate over the
+    sources and caps at least one more; a few turns are usual.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
+    per = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     weights = F.array(*[F.lit(int(w)) for w in cycle])
-    weighted = per.withColumn("weight", F.element_at(weights, (F.row_number().over(order) - 1) % len(cycle) + 1).cast("long"))
-    capped = weighted.withColumn("cap", F.col("source_size") * max_epochs)
-    fill = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(W.unboundedPreceding, -1)
-    rest = fill.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everything = W.partitionBy(F.lit(1))
-    levels = capped.select(
-        "*",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).alias("left"),
-        F.sum("weight").over(rest).alias("rest_weight"),
-    ).withColumn("level", F.col("left") / F.col("rest_weight"))
-    top = levels.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
-    target = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level") * F.col("weight")).otherwise(F.col("cap").cast("double"))
-    return top.select("source", "source_size", target.cast("double").alias("target"))
+    weighted = _ranked(per).select("source", "source_size", F.element_at(weights, (F.col("rank") % len(cycle) + 1).cast("int")).cast("long").alias("weight"))
+    capped = materialize(weighted.withColumn("cap", F.col("source_size") * max_epochs), "mix-caps")
+    whole = capped.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
+    level, held = 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("weight") > F.col("cap") if held >= 0 else F.lit(False)
+        t = capped.agg(
+            F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("cap"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weight"),
+            F.coalesce(F.sum(full.cast("long")), F.lit(0)).alias("full"),
+        ).first()
+        if t["full"] == held or not t["weight"]:
+            break
+        level, held = float(whole - t["cap"]) / float(t["weight"]), t["full"]
+    fill = F.lit(level) * F.col("weight")
+    return capped.select("source", "source_size", F.when(fill <= F.col("cap"), fill).otherwise(F.col("cap").cast("double")).cast("double").alias("target"))
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight: Column | None) -> list[Column]:

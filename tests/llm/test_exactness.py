@@ -98,6 +98,24 @@ def test_mix_of_repeated_ids_agrees_and_adds_up(spark, docs_of):
     assert len(seen) == 1
 
 
+def test_targets_of_many_sources(spark, docs_of, monkeypatch):
+    from tests.llm.test_llm_operators import brute_targets
+
+    rng = np.random.default_rng(12)
+    sizes = {f"s{i:03d}": int(x) for i, x in enumerate(rng.integers(0, 50, 60) ** 3 // 1000)} | {None: 7, "": 0, "é": 90, "😀": 1, "￿": 12}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(5)
+    want = brute_targets(sizes)
+    assert sum(abs(want[s] - 3 * sizes[s]) < 1e-9 for s in sizes) > 10  # many at their caps, in several turns
+    for limit in (20_000, 0):  # one sort, and ranges
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
+        got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.source_targets(rows).collect()}
+        assert {s: n for s, (n, _) in got.items()} == sizes
+        assert all(abs(got[s][1] - want[s]) < 1e-6 for s in sizes), limit
+        assert mixing.source_targets(rows.filter("false")).count() == 0
+        mixed = mixing.mix_sources(docs_of([(i, "w " * (i % 9), f"s{i % 5}") for i in range(50)]))
+        assert mixed.count() == 50
+
+
 def test_quality_weights_are_learnt_and_prefer_good_texts(spark, docs_of):
     clean, dirty = "plain words stand here and say something " * 3, "### *** &&& |||| $$$ %%% !!! word " * 3
     rows = [(i, clean if i % 2 else dirty, "a" if i % 10 else "b") for i in range(400)] + [(900, None, "a"), (901, "", None)]
