@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
 from stratalign.operators import attribution as AT
+from stratalign.operators import audits as AU
 from stratalign.operators import comparator as CO
 from stratalign.operators import firstseen as FS
 from stratalign.operators import occurrences as OC
+from stratalign.operators import policy as PO
 from stratalign.operators.identity import IdentityLimits, Resolved, resolve_identities
 from stratalign.storage import assert_none, materialize
 
@@ -97,3 +99,38 @@ def run_archive(
         done, firsts, audit, layered, bridge, local, moved, CO.overmerge(bridge),
         AT.attribute_mechanisms(moved.join(assays, "safe_activity_key"), done.assay_audit), families, AT.document_events(done.observations),
     )
+
+
+def summaries(run: ArchiveRun, base: str = "primary") -> dict[str, DataFrame]:
+    """The tables that a report shows, by name; each is small."""
+    docs, assays = run.resolved.document_audit, run.resolved.assay_audit
+    out = {
+        "comparator": CO.comparator_summary(run.bridge, run.displacement),
+        "delays": CO.delay_quantiles(run.displacement),
+        "mechanisms": AT.mechanism_decomposition(run.attributed),
+        "safeguards": AT.flag_attribution(run.attributed, ["ambiguous_temporal_safeguard", "weak_alias_quarantine_safeguard"]),
+        "policies": AT.policy_summary(run.families),
+        "sensitivity": AU.sensitivity_summary(run.first, base),
+        "reconciliation": PO.reconciliation_summary(docs, "document").unionByName(PO.reconciliation_summary(assays, "assay")),
+        "release_local_rates": PO.release_local_rates(docs, assays),
+        "weak_quarantine": PO.quarantine_summary(docs, "document").unionByName(PO.quarantine_summary(assays, "assay")),
+    }
+    if run.layered is not None:
+        out["layers"] = AU.layer_crosstab(run.layered)
+        out["participation"] = AU.participation(run.layered)
+    return out
+
+
+def locked_metrics(run: ArchiveRun) -> DataFrame:
+    """One row of the counts that ``attribution.check_locks`` compares with frozen values."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [
+        n(run.resolved.document_audit, "document_identities"), n(run.resolved.assay_audit, "assay_identities"),
+        *[n(first, f"{name}_activities") for name, first in run.first.items()],
+        run.first["primary"].agg(F.count_distinct("pair_key").alias("primary_pairs"), F.coalesce(F.sum(X.truthy(F.col("first_availability_left_censored")).cast("long")), F.lit(0)).alias("primary_left_censored")),
+        CO.comparator_summary(run.bridge, run.displacement), AT.policy_summary(run.families), n(run.attributed, "delayed_activities"), n(run.events, "document_events"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part))  # one row each
+    return out

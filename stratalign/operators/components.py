@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
-from stratalign.storage import SnapshotError, materialize
+from stratalign.storage import SnapshotError, discard, materialize
 
 
 def alias_labels(occurrences: DataFrame) -> DataFrame:
@@ -25,8 +25,10 @@ def alias_labels(occurrences: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("alias").alias("y"), F.col("label").alias("m")), "y").groupBy(F.col("x").alias("alias")).agg(F.min("m").alias("m"))
         lower = labels.join(near, "alias", "left").select("alias", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("to"))
         jump = labels.select(F.col("alias").alias("to"), F.col("label").alias("further"))
-        labels = materialize(lower.join(jump, "to", "left").select("alias", "was", F.least("to", F.coalesce("further", "to")).alias("label")), "alias-labels")
+        before, labels = labels, materialize(lower.join(jump, "to", "left").select("alias", "was", F.least("to", F.coalesce("further", "to")).alias("label")), "alias-labels")
+        discard(before)
         if not labels.filter("label < was").limit(1).count():
+            discard(both)
             return labels.select("alias", "label")
 
 

@@ -31,6 +31,15 @@ def test_composed_run(spark):
     assert run.attributed.filter("NOT has_later_branch").count() == 0 and run.attributed.count() > 0
     assert run.overmerge.count() >= 0 and run.events.count() == 0 and run.layered.count() == 0  # the releases come after all layers
     assert FS.not_nested(run.first["primary"], run.first["relaxed"]).count() == 0
+    tables = {k: v.collect() for k, v in AR.summaries(run).items()}
+    assert sum(r["n"] for r in tables["mechanisms"]) == tables["delays"][0]["n"] == run.attributed.count()
+    assert tables["policies"][0]["rename_families"] >= 2 and tables["policies"][0]["partition_families"] == 2
+    assert {r["reconstruction"]: r["identities_delta"] for r in tables["sensitivity"]}["primary"] == 0
+    assert {r["kind"] for r in tables["reconciliation"]} == {"document", "assay"} and {r["kind"] for r in tables["weak_quarantine"]} == {"assay"}
+    assert tables["layers"] == [] == tables["participation"] and all(r["policy_pass"] for r in tables["release_local_rates"])
+    m = AR.locked_metrics(run).first().asDict()
+    assert (m["document_identities"], m["assay_identities"], m["primary_activities"]) == (10, 12, first.count()) and m["identity_safe_activities"] == first.count()
+    assert AT.check_locks(AR.locked_metrics(run), {"assay_identities": (12, 0), "delayed_activities": (m["delayed_activities"], 0)}).filter("ok").count() == 2
 
 
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="no test data here")
