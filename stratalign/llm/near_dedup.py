@@ -288,6 +288,38 @@ def _side(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select("value", *[F.col(c).alias(f"{prefix}{c}") for c in FIELDS])
 
 
+def _linked(pairs: DataFrame, short: DataFrame, sets: DataFrame, k: int, c: int, per_cent: int) -> DataFrame | None:
+    """The pairs (a, b) that are links, or None: estimated on the sketches, confirmed on the full sets.
+
+    Only the sketches and sets of nodes that are in a pair are moved.
+    """
+
+    def of_nodes(table: DataFrame, of: DataFrame, n: int) -> DataFrame:
+        ids = of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return table.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "node", "left_semi")
+
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return None
+    sketches = of_nodes(short.select("node", "sketch"), pairs, n_pairs)
+    sketch = lambda x, y: sketches.select(F.col("node").alias(x), F.col("sketch").alias(y))
+    likely = pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(_plausible(F.col("x"), F.col("y"), k, c, per_cent)).select("a", "b")
+    likely = materialize(likely, "near-likely")
+    n_likely = likely.count()
+    if not n_likely:
+        discard(likely)
+        return None
+    whole = of_nodes(sets, likely, n_likely)
+    member = lambda x, y: whole.select(F.col("node").alias(x), F.col("members").alias(y))
+    loaded = likely.join(member("a", "sa"), "a").join(member("b", "sb"), "b")
+    found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent), "near-links", arrow_rows=SET_ROWS)
+    discard(likely)
+    if found.limit(1).count():
+        return found
+    discard(found)
+    return None
+
+
 def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes) -> tuple[DataFrame | None, list[DataFrame]]:
     """(node, label) of the nodes that may be linked, or None; and the tables that may go once that is read."""
     c, c_lists = (k, k) if exact else (least_overlap(k, per_cent / 100), least_overlap(k_lists, per_cent / 100))
@@ -297,7 +329,6 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes)
         discard(involved)
         return None, []
     few = max(1, n_involved // 50_000)  # partitions for tables of about a row per nominated node
-    many = max(8, n_involved // 5_000)  # and for tasks that compare whole sets
     chosen = nodes.join(F.broadcast(involved) if n_involved <= BROADCAST_IDS else involved, "node", "left_semi")
     short = materialize(chosen.select("node", "digest", "least", "sketch"), "near-short")
     wanted = short.select(F.col("least").alias("id")).distinct()
@@ -330,23 +361,19 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes)
         pairs = met.select(F.least("inode", "onode").alias("a"), F.greatest("inode", "onode").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.coalesce(many), "near-pairs")
+        pairs = materialize(pairs.coalesce(few), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        sketch = lambda x, y: short.select(F.col("node").alias(x), F.col("sketch").alias(y))
-        likely = pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(_plausible(F.col("x"), F.col("y"), k, c, per_cent)).select("a", "b")
-        member = lambda x, y: sets.select(F.col("node").alias(x), F.col("members").alias(y))
-        loaded = likely.join(member("a", "sa"), "a").join(member("b", "sb"), "b")
-        found = materialize(_confirmed(loaded.select("a", "b", "sa", "sb"), per_cent).coalesce(many), "near-links", arrow_rows=SET_ROWS)
+        found = _linked(pairs, short, sets, k, c, per_cent)
         # what has been a pivot has met all of its list
         rest = materialize(placed.drop("label", "held").join(chosen.select("value", "node"), ["value", "node"], "left_anti"), "near-lists")
-        if found.limit(1).count():
+        if found is not None:
             ends = lambda df, x: df.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x)
             between = ends(ends(found, "a"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
             merged = connected_components(between, few).select(F.col("id").alias("label"), F.col("label").alias("to"))
             renewed = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")).coalesce(few), "near-labels")
-            discard(labels)
+            discard(labels, found)
             labels = renewed
-        discard(found, placed, chosen, lists)
+        discard(placed, chosen, lists)
         lists, pivots = rest, 4 * pivots
     discard(sets, lists, involved, short)
     return labels, [labels]
