@@ -141,13 +141,17 @@ def spelled(line: Column) -> Column:
 
 def canonical_lines(text: Column) -> Column:
     """Canonical lines of a text; empty ones are dropped. Only texts that may claim copyright are cut up for that."""
-    low = ascii_lower(or_empty(text))
-    claims = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("reserved")
-    kept = F.filter(F.split(low, "\n", -1), lambda x: ~x.rlike(_RESERVED))
-    cut = F.transform(kept, lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSE, "")).otherwise(x))
-    words = F.regexp_replace(F.when(claims, F.array_join(cut, "\n")).otherwise(low), r"[^\p{L}\p{N}\n]+", " ")
-    padded = F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
-    return F.filter(F.transform(F.split(spelled(padded), "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
+
+    def lines(low: Column) -> Column:
+        claims = low.contains("copyright") | low.contains("©") | low.contains("(c)") | low.contains("reserved")
+        kept = F.filter(F.split(low, "\n", -1), lambda x: ~x.rlike(_RESERVED))
+        cut = F.transform(kept, lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSE, "")).otherwise(x))
+        words = F.regexp_replace(F.when(claims, F.array_join(cut, "\n")).otherwise(low), r"[^\p{L}\p{N}\n]+", " ")
+        padded = F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+        return F.filter(F.transform(F.split(spelled(padded), "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
+
+    # the lower-case text is a variable: an expression would be worked out wherever it stands
+    return F.get(F.transform(F.array(ascii_lower(or_empty(text))), lines), F.lit(0))
 
 
 def canonical_text(text: str) -> str:
