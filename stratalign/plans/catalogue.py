@@ -175,9 +175,10 @@ def multi_target_exclusion(spark, d):
 
 
 @query("""SELECT upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS sequence, upper(p_brand) AS organism, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS accessions, count(DISTINCT p_type) AS n_accessions,
-CASE WHEN count(DISTINCT p_type) = 1 THEN 'unique' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS accession FROM part GROUP BY ALL""")
+string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS target_types, CASE WHEN count(DISTINCT p_type) = 1 THEN 'unique' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS accession,
+CASE WHEN count(DISTINCT p_type) = 1 THEN string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) END AS target_type FROM part GROUP BY ALL""")
 def bridge_build(spark, d):
-    return AU.build_bridge(table(spark, d, "part").select(F.col("p_name").alias("sequence"), F.col("p_brand").alias("organism"), F.col("p_type").alias("accession")))
+    return AU.build_bridge(table(spark, d, "part").select(F.col("p_name").alias("sequence"), F.col("p_brand").alias("organism"), F.col("p_type").alias("accession"), F.col("p_brand").alias("target_type")))
 
 
 BRIDGE_SQL = f"""WITH {OBS_SQL},
