@@ -12,11 +12,11 @@ of 1024 retained values are made in the same way, which are the whole sets of al
 texts, and a pair needs as many values in common as the two sizes demand.
 
 Within a list pairs are not all tried. Rounds take a few pivots per list (one at first, up to
-four times as many in each later round) and try the other members against them. Members that are
+twice as many in each later round) and try the other members against them. Members that are
 linked join a class; a pivot has met its whole list and leaves it. Pivots come from the classes
 that have the fewest members in the list. A list ends when its members are one class or its last
 pivots have met, so no link between two classes is missed, and a list with m members outside
-its largest class ends after about log4(m) rounds. A tried pair passes the estimate of its
+its largest class ends after about log2(m) rounds. A tried pair passes the estimate of its
 similarity from the union sketch first and is then confirmed on the full sets.
 
 With ``exact`` the whole sets are the sketches: nothing is estimated, and no risk is taken.
@@ -295,7 +295,7 @@ def _linked(pairs: DataFrame, short: DataFrame, sets: DataFrame, k: int, c: int,
     """
 
     def of_nodes(table: DataFrame, of: DataFrame, n: int) -> DataFrame:
-        ids = of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = of.select(F.col("a").alias("node")).unionByName(of.select(F.col("b").alias("node"))).distinct()
         return table.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "node", "left_semi")
 
     n_pairs = pairs.count()
@@ -374,7 +374,7 @@ def _classes(docs, id_col, text_col, width, per_cent, k, k_lists, exact, nodes)
             discard(labels, found)
             labels = renewed
         discard(placed, chosen, lists)
-        lists, pivots = rest, 4 * pivots
+        lists, pivots = rest, 2 * pivots
     discard(sets, lists, involved, short)
     return labels, [labels]
 
