@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalign.llm import exact_dedup, license_scan, line_dedup, mixing, near_dedup, quality, sentencepiece_codec, topk, toxicity, url_filter
+from stratalign.llm import exact_dedup, fim, license_scan, line_dedup, mixing, near_dedup, prefix_trie, quality, sentencepiece_codec, sharding, topk, toxicity, url_filter
 from stratalign.llm._util import LOWER, UPPER
 
 #: The rules of the URL query.
@@ -91,6 +91,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"notices": F.array_join("notices", ","), "blocks": F.array_join("blocks", ",")})
 
 
+#: Shards of the sharding query, all of one weight.
+SHARDS = 40
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.place(_table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown=1.0)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, rate=50, spm_share=80)
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.grafted(prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -103,6 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op5_url_filter": op5_url_filter,
         "op10_license_scan": op10_license_scan,
+        "op11_sharding": op11_sharding,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -231,5 +253,59 @@ FROM d LEFT JOIN whole USING (digest) LEFT JOIN n USING (doc_id) LEFT JOIN b USI
 """
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, bit by bit from its polynomial."""
+    steps = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: [('0x' || x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    start = "list_concat([4294967295::BIGINT], " + steps + ")"
+    return f"xor(list_reduce({start}, lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
+def _unit_sql(*parts: str) -> str:
+    return f"((CAST(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13)) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
+
+
+def op11_sql() -> str:
+    word = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    unit = _unit_sql("'shard'", word, "CAST(s AS VARCHAR)")
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, CAST(strlen(t) + {sharding.OVERHEAD} AS BIGINT) AS size, {crc32_sql('t')} AS crc FROM t),
+k AS (SELECT DISTINCT doc_id FROM documents),
+x AS (SELECT doc_id, s, -ln({unit}) AS score FROM k, range({SHARDS + 1}) g(s)),
+b AS (SELECT doc_id, arg_min(s, struct_pack(a := score, b := s)) FILTER (s < {SHARDS}) AS shard, arg_min(s, struct_pack(a := score, b := s)) AS grown FROM x GROUP BY doc_id)
+SELECT r.doc_id, size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY {_unit_sql("'slot'", word.replace("doc_id", "r.doc_id"), "CAST(crc AS VARCHAR)")}, r.doc_id NULLS LAST, size, crc) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM r JOIN b ON r.doc_id IS NOT DISTINCT FROM b.doc_id
+"""
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, CAST(len(u) AS BIGINT) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+             least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM d),
+c AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+OP13_SQL = rf"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+w AS (SELECT c.conv_id, 0 AS own, o.r, role, text FROM c JOIN o ON o.conv_id = base AND o.r <= h UNION ALL SELECT c.conv_id, 1, o.r, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.r > h),
+l AS (SELECT conv_id, list(to_json([role, text])::VARCHAR ORDER BY own, r) AS turns, list(CAST(len(regexp_extract_all(text, '[^ 	-]+')) AS BIGINT) ORDER BY own, r) AS sizes FROM w GROUP BY conv_id),
+e AS (SELECT c.conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM c LEFT JOIN l USING (conv_id)),
+m AS (SELECT conv_id, d, len(turns) AS whole, sha256(to_json(turns[1:d])::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(to_json(turns[1:d - 1])::VARCHAR) END AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS words
+      FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM e)),
+n AS (SELECT node, any_value(d) AS depth, any_value(up) AS up, any_value(words) AS words, min(conv_id) AS rep, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = whole), '')) AS ends FROM m GROUP BY node),
+k AS (SELECT up, count(*) AS children FROM n WHERE up IS NOT NULL GROUP BY up),
+f AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k ON k.up = n.node),
+s AS (SELECT m.node, CAST(sum((f.n - 1) * f.words) AS BIGINT) AS saved, CAST(sum((f.children = 0)::INT) AS BIGINT) AS leaves FROM f JOIN m ON m.conv_id = f.rep AND m.d <= f.depth GROUP BY m.node)
+SELECT f.rep AS conv_id, f.depth, p.rep AS parent_conv_id, f.n AS n_convs, f.children AS n_children, leaves AS n_leaves, saved AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN n p ON p.node = f.up
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_url_filter": op5_sql(), "op10_license_scan": op10_sql()}
+    return {"op1_line_dedup": OP1_SQL, "op2_top_k": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_url_filter": op5_sql(), "op10_license_scan": op10_sql(), "op11_sharding": op11_sql(), "op12_fill_in_middle": OP12_SQL, "op13_prefix_trie": OP13_SQL}
