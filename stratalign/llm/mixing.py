@@ -12,8 +12,8 @@ The quality weight is any positive expression. ``quality_weight`` learns one fro
 posterior probability that a text of its structure is good. Without labels it is
 ``noise_weight``, which falls with the share of markup debris.
 
-Scale: prefix sums are two-level. Keys fall into about sqrt(rows) buckets of equal key
-ranges; bucket sums are aggregated on the map side and accumulated per source, and only the
+Scale: prefix sums are two-level. Keys fall into buckets whose ranges are equal on a logarithmic scale,
+about sqrt(rows) for each power of e, which bounds their share of a source for all weights alike; bucket sums are aggregated on the map side and accumulated per source, and only the
 one bucket per source that the boundary falls into is sorted. No task sees a whole source, nor
 all sources where they are many, and documents are mixed where they are read: no text is shuffled.
 
@@ -141,8 +141,12 @@ ORDER = ("key", "id", "size", "mark")
 
 
 def _slot(buckets: int) -> Column:
-    """The bucket of a key; 1 - exp(-key) grows with the key and is spread over (0, 1)."""
-    return F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
+    """The bucket of a key, of equal widths in the key's logarithm.
+
+    Keys of weight w are exponential with rate w. On the logarithmic scale their density is 1/e at most, whatever
+    the weight, and so is that of any mixture of weights: no bucket is expected to hold more than 1 / (e * buckets) of a source.
+    """
+    return F.floor(F.ln("key") * F.lit(float(buckets))).cast("long")
 
 
 def _planned(sized: DataFrame, cycle: Sequence[int], max_epochs: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
