@@ -104,6 +104,11 @@ def thrifty(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return wrapped
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``df.mapInArrow``, which itself can't name a column with a dot; ``run`` goes by the columns' places."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def unused_name(columns: list[str], name: str) -> str:
     """``name``, with underscores in front until no column has it."""
     taken = {c.lower() for c in columns}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalign.llm._util import SPACE, or_empty, sliced, thrifty, unused_name
+from stratalign.llm._util import SPACE, in_arrow, or_empty, sliced, thrifty, unused_name
 
 #: Sentinels before the prefix, the suffix and the middle.
 SENTINELS = ("<P>", "<S>", "<M>")
@@ -108,7 +108,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *values], [*columns, *MADE])
 
     fields = [T.StructField("n", T.LongType()), T.StructField("form", T.StringType()), T.StructField("prefix_chars", T.LongType()), T.StructField("middle_chars", T.LongType()), T.StructField("output", T.StringType())]
-    return rows.mapInArrow(thrifty(run), T.StructType([*[docs.schema[c] for c in columns], *fields]))
+    return in_arrow(rows, thrifty(run), T.StructType([*[docs.schema[c] for c in columns], *fields]))
 
 
 def restore(output: Column, form: Column, sentinels: Sequence[str] = SENTINELS) -> Column:

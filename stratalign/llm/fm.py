@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalign.llm._util import sliced, thrifty
+from stratalign.llm._util import in_arrow, sliced, thrifty
 
 BUCKETS = 1 << 20
 
@@ -172,4 +172,4 @@ def score(docs: DataFrame, model: FMModel, extractor: Extractor, text_col: str,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*columns, out])
 
     schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField(out, T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(thrifty(run), schema)
+    return in_arrow(docs.select(*[F.col(f"`{c}`") for c in columns]), thrifty(run), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalign.llm._util import SPACE, discard, materialize, sliced, thrifty, unused_name
+from stratalign.llm._util import SPACE, discard, in_arrow, materialize, sliced, thrifty, unused_name
 
 FILTER_BYTES = 64 << 20
 BROADCAST_KEYS = 500_000
@@ -298,7 +298,7 @@ class LineIndex:
                     texts[row], dropped[row] = without_lines(texts[row], texts[row].split(b"\n"), mine)
                 yield _rebuilt(batch, at, texts, total, dropped, names)
 
-        return docs.select(*columns).mapInArrow(thrifty(run), schema)
+        return in_arrow(docs.select(*[F.col(f"`{c}`") for c in columns]), thrifty(run), schema)
 
     def _by_key(self, docs: DataFrame, id_col: str, text_col: str, schema: T.StructType) -> DataFrame:
         """Lines that pass the filters meet the exact table by key, and texts their hits by document."""
@@ -338,9 +338,10 @@ class LineIndex:
                         texts[row], dropped[row] = without_lines(texts[row], lines, set(marks))
                 yield _rebuilt(batch, at, texts, total, dropped, names)
 
-        left = docs.select(*out_cols)
-        joined = left.join(hits, left[id_col].eqNullSafe(hits["line_doc"]), "left").select(*[left[c] for c in out_cols], hits["line_hits"])
-        return joined.mapInArrow(thrifty(rebuild), schema)
+        plain = [f"c{i}" for i in range(len(out_cols))]
+        left = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(out_cols, plain, strict=True)])
+        joined = left.join(hits, F.col(plain[out_cols.index(id_col)]).eqNullSafe(F.col("line_doc")), "left").select(*plain, "line_hits")
+        return in_arrow(joined, thrifty(rebuild), schema)
 
 
 def _passed(known: dict[int, CuckooFilter], marks: np.ndarray, shards: int) -> np.ndarray:

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratalign.llm._util import discard, materialize, sliced, thrifty
+from stratalign.llm._util import discard, materialize, sliced, thrifty, unused_name
 from stratalign.llm.components import connected_components
 from stratalign.llm.line_dedup import text_bytes
 
@@ -384,6 +384,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **how) -> Data
 
     The ids that go are broadcast while they are few enough, and joined by key beyond that.
     """
-    gone = materialize(near_duplicates(docs, id_col=id_col, **how).filter("NOT kept").select(F.col(id_col).alias("near_id")).distinct(), "near-gone")
+    gone_id = unused_name(docs.columns, "near_id")
+    gone = materialize(near_duplicates(docs, id_col=id_col, **how).filter("NOT kept").select(F.col(id_col).alias(gone_id)).distinct(), "near-gone")
     away = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(away, docs[id_col] == F.col("near_id"), "left_anti")
+    return docs.join(away, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")

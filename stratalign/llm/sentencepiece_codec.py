@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalign.llm._util import sliced, thrifty
+from stratalign.llm._util import in_arrow, sliced, thrifty
 
 BLANK = "▁"
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûü")
@@ -419,7 +419,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids"
     fields = [*[docs.schema[c] for c in columns], T.StructField(out, T.ArrayType(T.IntegerType(), False))]
     if check:
         fields += [T.StructField("decoded_ok", T.BooleanType()), T.StructField("n_commits", T.LongType())]
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(thrifty(run), T.StructType(fields))
+    return in_arrow(docs.select(*[F.col(f"`{c}`") for c in columns]), thrifty(run), T.StructType(fields))
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -434,7 +434,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "decode
             texts = [None if x is None else codec.decode(np.array(x, "<i4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, out])
 
-    return rows.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(thrifty(run), T.StructType([*[rows.schema[c] for c in columns], T.StructField(out, T.StringType())]))
+    return in_arrow(rows.select(*[F.col(f"`{c}`") for c in columns]), thrifty(run), T.StructType([*[rows.schema[c] for c in columns], T.StructField(out, T.StringType())]))
 
 
 def count_ids(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
