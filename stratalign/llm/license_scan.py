@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -31,12 +31,12 @@ from stratalign.llm._util import ascii_lower, or_empty
 
 CATALOGUE_LIMIT = 10_000
 
-# Equivalent spellings (word, replacement), in the manner of the public SPDX matching guidelines.
+# Equivalent spellings (words, replacement), in the manner of the public SPDX matching guidelines.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"),
     ("authorised", "authorized"), ("favour", "favor"), ("fulfil", "fulfill"), ("initialise", "initialize"),
-    ("merchantability", "merchantability"), ("noncommercial", "non commercial"), ("organisation", "organization"),
+    ("noncommercial", "non commercial"), ("organisation", "organization"),
     ("per cent", "percent"), ("programme", "program"), ("sublicence", "sublicense"), ("utilisation", "utilization"),
     ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder"),
 )
@@ -101,17 +101,19 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+#: Words of a text's first line, if that is a title.
+TITLE_WORDS = 12
 _TERMS_END = "END OF TERMS AND CONDITIONS"
 
 
 def forms_of(name: str, text: str) -> Sequence[str]:
-    """A licence text as it is found: as given; BSD texts without title or numbers too, and terms without the appendix on their use."""
-    forms = [text]
+    """A licence text as it is found: as given and without its title; BSD texts without numbers too, and terms without the appendix on their use."""
+    title, _, rest = text.strip().partition("\n")
+    forms = [text, rest] if rest and len(title.split()) <= TITLE_WORDS else [text]
     if name.startswith("BSD-"):
-        forms += [text.partition("\n")[2]]
         forms += [re.sub(r"(?m)^[0-9]\. ", "* ", x) for x in forms]
-    if _TERMS_END in text:
-        terms = text.partition(_TERMS_END)[0]
+    for whole in [x for x in forms if _TERMS_END in x]:
+        terms = whole.partition(_TERMS_END)[0]
         forms += [terms + _TERMS_END, terms]
     return forms
 
@@ -126,7 +128,8 @@ _YEAR = r"(?:[0-9]{4}|<year>|\[yyyy\])"
 _GRANT = r"(?<![a-z0-9])(?=permission (?:is|to) |(?:this [a-z]+ is )?(?:licensed|released|distributed) under |redistribution and use |spdx-license-identifier)"
 _STOP = r"(?<![^a-z][a-z])(?<![^a-z](?:jr|dr|st|mr|ms))\.(?=[ \t])(?![ \t]*(?:and |or |&|<|\())"
 _END = rf"(?:{_GRANT}|{_STOP}|(?!.))"
-_HOLDER_FIRST = rf"(?:[^.]|\.(?![ \t])|(?<=inc|ltd|llc)\.|(?<=co)\.){{1,200}}?{_YEAR}[.,;: \t]*{_END}"
+# Any length of text without the end of a sentence: one sign at a time, so that the engine runs it as a loop.
+_HOLDER_FIRST = rf"(?:(?!(?<!inc|ltd|llc)(?<!co)\.[ \t]).)+?{_YEAR}[.,;: \t]*{_END}"
 
 #: The claim at the head of a copyright line: marked (c), or its year comes first, or last in the clause.
 COPYRIGHT_CLAUSE = rf"(?s)^{_HEAD}(?:(?: *\(c\)| *©|[^a-z0-9]*?{_YEAR}).*?{_END}|{_HOLDER_FIRST})(?:[ \t.,;:]*all +rights +reserved[ \t.,;:]*)?"
@@ -134,8 +137,7 @@ COPYRIGHT_CLAUSE = rf"(?s)^{_HEAD}(?:(?: *\(c\)| *©|[^a-z0-9]*?{_YEAR}).*?{_END
 
 def spelled(line: Column) -> Column:
     for word, instead in SPELLINGS:
-        if word != instead:
-            line = F.replace(line, F.lit(f" {word} "), F.lit(f" {instead} "))
+        line = F.replace(line, F.lit(f" {word} "), F.lit(f" {instead} "))
     return line
 
 
@@ -163,7 +165,7 @@ def canonical_text(text: str) -> str:
             # letters and numbers as \p{L} and \p{N} define them
             words = " " + " ".join("".join(c if _is_word(c) else " " for c in line).split()) + " "
             for word, instead in SPELLINGS:
-                words = words.replace(f" {word} ", f" {instead} ") if word != instead else words
+                words = words.replace(f" {word} ", f" {instead} ")
             out.append(words.strip(" "))
     return " ".join(x for x in out if x)
 
@@ -208,11 +210,24 @@ def blocks(texts: Mapping[str, str] = TEXTS) -> dict[str, dict[int, dict[str, st
     return out
 
 
-def _from_openings(inside: Column, anchor: str) -> Column:
-    """What follows each place where the anchor stands, itself included, with the blank before it."""
+def _from_openings(inside: Column, anchor: str, longest: int) -> Column:
+    """What follows each place where the anchor stands, itself included, with the blank before it: as much as ``longest`` asks for.
+
+    A part begins with the anchor, so few parts hold that much; and of each no more is copied than may be needed.
+    """
     parts = F.split(inside, "(?= " + re.escape(anchor) + " )", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
-    return F.filter(tails, lambda x: x.startswith(f" {anchor} "))
+    short = F.transform(parts, lambda x: F.substring(x, 1, longest + 2))
+    few = -(-(longest + 2) // (len(anchor) + 1))
+
+    def tails(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, few), ""))
+
+    return F.filter(_once(short, tails), lambda x: x.startswith(f" {anchor} "))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _digests_at(starts: Column, length: int) -> Column:
@@ -221,6 +236,10 @@ def _digests_at(starts: Column, length: int) -> Column:
     return F.transform(whole, lambda x: F.sha2(F.substring(x, 2, length), 256))
 
 
+def _digests_of(lengths: Sequence[int]) -> Callable[[Column], Column]:
+    return lambda starts: F.flatten(F.array(*[_digests_at(starts, n) for n in lengths]))
+
+
 def _cover(anchors: Iterable[str]) -> list[str]:
     """Few words of which every anchor holds one: a text without them holds no anchor."""
     left, out = [set(a.split(" ")) for a in sorted(anchors)], []
@@ -241,8 +260,7 @@ def embedded(canon: Column, known: Mapping[str, Mapping[int, Mapping[str, str]]]
     none = F.expr("cast(array() as array<string>)")
     found = []
     for anchor, lengths in sorted(known.items()):
-        digests = F.flatten(F.array(*[_digests_at(_from_openings(inside, anchor), n) for n in sorted(lengths)]))
-        found.append(F.when(F.contains(inside, F.lit(f" {anchor} ")), digests).otherwise(none))
+        found.append(F.when(F.contains(inside, F.lit(f" {anchor} ")), _once(_from_openings(inside, anchor, max(lengths)), _digests_of(sorted(lengths)))).otherwise(none))
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.when(likely, F.concat(*found)).otherwise(none), lambda x: names[x]), lambda x: x.isNotNull())))
 
 

@@ -221,8 +221,8 @@ dn AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY ALL),
 sn AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0e0) + 0.5) / (coalesce(sum(n), 0e0) + 1e0) FROM c) AS prior FROM dn GROUP BY suffix),
 {level("ps", "sn", "suffix")},
 dp AS (SELECT dn.*, ps.mean AS prior FROM dn JOIN ps USING (suffix)),
-{level("pd", "dp", "domain")},
-hp AS (SELECT c.*, pd.mean AS prior FROM c JOIN pd USING (domain)),
+{level("pd", "dp", "domain, suffix")},
+hp AS (SELECT c.*, pd.mean AS prior FROM c JOIN pd USING (domain, suffix)),
 {level("ph", "hp", "host")},
 r AS (SELECT p.*, {rule} AS rule, {decided} AS decided FROM p)
 SELECT page_id, r.host, path, rule,
@@ -235,8 +235,7 @@ def op10_sql() -> str:
     whole, lines = license_scan.catalogue()
     words = r"' ' || trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'), ' ') || ' '"
     for word, instead in license_scan.SPELLINGS:
-        if word != instead:
-            words = f"replace({words}, {_q(f' {word} ')}, {_q(f' {instead} ')})"
+        words = f"replace({words}, {_q(f' {word} ')}, {_q(f' {instead} ')})"
     texts = sorted({(license_scan.canonical_text(f), name) for name, text in license_scan.TEXTS.items() for f in license_scan.forms_of(name, text)})
     values = lambda d: ", ".join(f"({_q(k)}, {_q(v)})" for k, v in sorted(d.items()))
     return rf"""
@@ -294,7 +293,8 @@ OP13_SQL = rf"""
 WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
 w AS (SELECT c.conv_id, 0 AS own, o.r, role, text FROM c JOIN o ON o.conv_id = base AND o.r <= h UNION ALL SELECT c.conv_id, 1, o.r, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.r > h),
-l AS (SELECT conv_id, list(to_json([role, text])::VARCHAR ORDER BY own, r) AS turns, list(CAST(len(regexp_extract_all(text, '[^ 	-]+')) AS BIGINT) ORDER BY own, r) AS sizes FROM w GROUP BY conv_id),
+l AS (SELECT conv_id, list(to_json([role, text])::VARCHAR ORDER BY own, r) AS turns, list(CAST(len(regexp_extract_all(text, '[^ 	-
+]+')) AS BIGINT) ORDER BY own, r) AS sizes FROM w GROUP BY conv_id),
 e AS (SELECT c.conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM c LEFT JOIN l USING (conv_id)),
 m AS (SELECT conv_id, d, len(turns) AS whole, sha256(to_json(turns[1:d])::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(to_json(turns[1:d - 1])::VARCHAR) END AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS words
       FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM e)),

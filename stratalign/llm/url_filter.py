@@ -132,7 +132,7 @@ def host_reputation(hosts: DataFrame, z: float = 1.645, least: float = 2.0, most
     total = domains.agg(F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
     s = materialize(suffixes.withColumn("prior", F.lit((total["bad"] + 0.5) / (total["n"] + 1.0))), "url-suffixes")
     d = materialize(domains.join(_level(s, least, most).select("suffix", F.col("mean").alias("prior")), "suffix"), "url-domain-priors")
-    h = materialize(counted.join(_level(d, least, most).select("domain", F.col("mean").alias("prior")), "domain"), "url-host-priors")
+    h = materialize(counted.join(_level(d, least, most).select("domain", "suffix", F.col("mean").alias("prior")), ["domain", "suffix"]), "url-host-priors")
     judged = _level(h, least, most)
     weight = F.col("n") + F.col("strength") + 1.0
     out = materialize(judged.select("host", "mean", (F.col("mean") - F.lit(z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / weight)).alias("low")), "url-reputation")
