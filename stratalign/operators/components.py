@@ -1,7 +1,6 @@
 """Alias graphs: components with content-addressed keys, and quarantine of contradicted weak aliases.
 
-Occurrences are rows (occurrence_id, aliases). Components come from smallest-label rounds over
-star edges; every round writes its labels. A component whose aliases contradict each other
+Occurrences are rows (occurrence_id, aliases). Components come from star contraction (``stars``). A component whose aliases contradict each other
 (two ids of one authority) loses all its weak aliases; only such components are solved again,
 which equals solving everything again because an alias belongs to one component.
 """
@@ -12,24 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
+from stratalign.operators.stars import star_components
 from stratalign.storage import SnapshotError, discard, materialize
 
 
 def alias_labels(occurrences: DataFrame) -> DataFrame:
     """(alias, label): the smallest alias of each alias's component."""
-    sets = occurrences.select(X.sorted_set(F.col("aliases")).alias("a")).filter(F.size("a") > 0)
-    edges = sets.select(F.element_at("a", 1).alias("x"), F.explode("a").alias("y")).distinct()
-    both = materialize(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "alias-edges")
-    labels = materialize(both.groupBy(F.col("x").alias("alias")).agg(F.min("y").alias("label")), "alias-labels")
-    while True:
-        near = both.join(labels.select(F.col("alias").alias("y"), F.col("label").alias("m")), "y").groupBy(F.col("x").alias("alias")).agg(F.min("m").alias("m"))
-        lower = labels.join(near, "alias", "left").select("alias", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("to"))
-        jump = labels.select(F.col("alias").alias("to"), F.col("label").alias("further"))
-        before, labels = labels, materialize(lower.join(jump, "to", "left").select("alias", "was", F.least("to", F.coalesce("further", "to")).alias("label")), "alias-labels")
-        discard(before)
-        if not labels.filter("label < was").limit(1).count():
-            discard(both)
-            return labels.select("alias", "label")
+    sets = materialize(occurrences.select(X.sorted_set(F.col("aliases")).alias("x")).filter(F.size("x") > 0).distinct(), "alias-sets")
+    star = sets.select(F.element_at("x", 1).alias("b"), F.explode("x").alias("a"))
+    linked = star_components(star).labels.select(F.col("node").alias("alias"), "label")
+    # an alias that is never seen with another one is its own component
+    alone = sets.filter(F.size("x") == 1).select(F.element_at("x", 1).alias("alias")).distinct().join(linked.select("alias"), "alias", "left_anti")
+    labels = materialize(linked.unionByName(alone.select("alias", F.col("alias").alias("label"))), "alias-labels")
+    discard(sets)
+    return labels
 
 
 def components(occurrences: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
