@@ -1,15 +1,14 @@
 """Text, date, unit and hash functions as Column expressions.
 
-All stay inside generated code but ``canon_float``, whose printf format the JVM lacks.
-White space means Unicode white space where the name says nothing else. A null counts as ''.
+All run inside the JVM. White space means Unicode white space where the name says nothing else. A null counts as ''.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from stratalign.functions.printf import g12
 
 # Factors to molar of the accepted units (case counts).
 MOLAR = {"M": 1.0, "mM": 1e-3, "uM": 1e-6, "µM": 1e-6, "μM": 1e-6, "nM": 1e-9, "pM": 1e-12, "fM": 1e-15}
@@ -176,11 +175,10 @@ def pactivity(molar: Column) -> Column:
     return F.when(molar > 0, -F.log10(molar))
 
 
-@F.pandas_udf(StringType())
-def canon_float(x: pd.Series) -> pd.Series:
-    """``%.12g`` (M3), '' for null; batches share the work for equal values."""
-    known = {v: format(v, ".12g") for v in x.dropna().unique()}
-    return x.map(lambda v: known.get(v, "")).astype(str)
+def canon_float(x: Column) -> Column:
+    """``%.12g`` (M3), '' for null and not-a-number."""
+    v = x.cast("double")
+    return F.when(v.isNull() | F.isnan(v), "").otherwise(g12(v))
 
 
 def safe_ratio(k: Column, n: Column, otherwise: float | None = 0.0) -> Column:

@@ -210,3 +210,19 @@ def test_contracts_fail_when_the_result_is_read(spark):
         FS.first_seen(obs, manifest)[0].collect()
     with pytest.raises(SnapshotError, match="missing in the manifest"):
         FS.first_seen(obs, manifest.withColumn("exact_release_date", F.lit(None).cast("string")))
+
+
+def test_printf_of_doubles_is_exact(spark):
+    """Random bit patterns, powers of ten and two, subnormals, and values half-way between two roundings."""
+    import random
+    import struct
+
+    from stratalign.functions import printf
+
+    rng = random.Random(12)
+    values = [0.0, -0.0, float("nan"), float("inf"), -float("inf"), None, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 123456789012.5, 123456789013.5, 999999999999.5, 9999999999995.0, 100000000000.05]
+    values += [float(f"1e{k}") for k in range(-323, 309)] + [2.0**k for k in range(-1074, 1024, 13)]
+    values += [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(20_000)]
+    values += [rng.randint(10**11, 10**12 - 1) + 0.5 for _ in range(500)] + [(rng.randint(10**12, 10**13 - 1) * 10 + 5) / 10 ** rng.randint(1, 20) for _ in range(2000)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", printf.g12(F.col("x")).alias("g")).collect()
+    assert [r["g"] for r in rows] == [None if x is None else format(x, ".12g") for x in values]
