@@ -25,13 +25,13 @@ MIN_DOCS = 10
 
 #: Rows of an Arrow batch while a stage runs: what executors and Python workers hold beside their data stays small.
 ARROW_ROWS = 1_000
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _lean(spark: SparkSession) -> None:
-    """The caller writes a stage's frame after the stage has returned, so the setting stays with the session."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    """The caller writes a stage's frame after the stage has returned, so a stage leaves the setting; ``run`` takes it back."""
+    if not 0 < int(spark.conf.get(ARROW)) <= ARROW_ROWS:
+        spark.conf.set(ARROW, str(ARROW_ROWS))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,9 +93,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if k:
-            discard(before)
+    docs, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(ARROW)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            if k:
+                discard(before)
+    finally:
+        spark.conf.set(ARROW, was)
     return docs
