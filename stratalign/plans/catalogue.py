@@ -16,7 +16,7 @@ from stratalign.operators import components as CC
 from stratalign.operators import firstseen as FS
 from stratalign.operators import policy as PO
 from stratalign.operators import quality as Q
-from stratalign.plans import fixtures, scaled
+from stratalign.plans import generated, scaled  # noqa: F401  (generated adds its queries to those of scaled)
 from stratalign.plans.surrogates import ARCHIVE_SQL, LAYERS_SQL, OBS_SQL, archive_observations, layered_orders, manifest, observations
 from stratalign.session import table
 
@@ -36,11 +36,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **scaled.QUERIES, **fixtures.queries()}
+    return {**_QUERIES, **scaled.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_ORACLES, **scaled.ORACLES, **fixtures.oracle_sql()}
+    return {**_ORACLES, **scaled.ORACLES}
 
 
 FIRST_SQL = f"""WITH {OBS_SQL},

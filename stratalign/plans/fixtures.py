@@ -1,4 +1,4 @@
-"""Queries over small inline cases, whose SQL states the expected rows."""
+"""Small inline cases, whose SQL states the expected rows; tests run them, and no query is registered of them."""
 
 from __future__ import annotations
 

@@ -2,48 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
-from stratalign.storage import assert_none
+from stratalign.storage import assert_none, materialize
 
+LABELS = ("release_label", "chembl_release", "release", "name")
+DATES = ("exact_release_date", "creation_date", "release_date", "date")
 ARCHIVE_STATUS = ("ready", "missing_local_file", "missing")
 
 
-def walk(node: Any) -> Iterator[dict]:
-    """Every object of a decoded JSON payload, whatever the envelope."""
-    if isinstance(node, dict):
-        yield node
-        for v in node.values():
-            yield from walk(v)
-    elif isinstance(node, list):
-        for v in node:
-            yield from walk(v)
-
-
-def payload_dates(spark: SparkSession, payload: Any, label_fields: tuple[str, ...] = ("release_label", "chembl_release", "release", "name"), date_fields: tuple[str, ...] = ("exact_release_date", "creation_date", "release_date", "date")) -> DataFrame:
-    """(release_label, exact_release_date) found in a payload; two dates for one release raise (IO15)."""
-    rows = []
-    for obj in walk(payload):
-        label = next((obj[f] for f in label_fields if isinstance(obj.get(f), (str, int, float))), None)
-        day = next((obj[f] for f in date_fields if isinstance(obj.get(f), str)), None)
-        if label is not None and day is not None:
-            rows.append((str(label), day))
-    df = spark.createDataFrame(rows, "label string, day string")
-    out = df.select(X.norm_release_label(F.col("label")).alias("release_label"), X.iso_date(F.col("day")).alias("exact_release_date")).filter("release_label <> '' AND exact_release_date IS NOT NULL").distinct()
+def _is_container(v: Column) -> Column:
+    return F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)")
+
+
+def walk(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """(node, depth): every object of JSON payloads, a row each, whatever the envelopes.
+
+    Payloads are parsed once to VARIANT. Depth by depth, what a value holds is exploded, and what is neither
+    object nor list is left behind; a depth is a written table, and their number is that of the deepest payload.
+    Text that is no JSON raises; null payloads have no objects.
+    """
+    level = payloads.select(F.parse_json(F.col(column)).alias("node")).filter("node IS NOT NULL")
+    found, depth = None, 0
+    while True:
+        level = materialize(level.filter(_is_container(F.col("node"))), "json-level")
+        objects = level.filter(F.schema_of_variant("node").startswith("OBJECT")).withColumn("depth", F.lit(depth))
+        found = objects if found is None else found.unionByName(objects)
+        if not level.limit(1).count():
+            return found
+        held = payloads.sparkSession.tvf.variant_explode(F.col("node").outer())
+        level, depth = level.lateralJoin(held).select(F.col("value").alias("node")), depth + 1
+
+
+def dates_in(payloads: DataFrame, column: str = "payload", label_fields: tuple[str, ...] = LABELS, date_fields: tuple[str, ...] = DATES) -> DataFrame:
+    """(release_label, exact_release_date) of the objects of JSON payloads; two dates for one release raise (IO15)."""
+    node = F.col("node")
+
+    def first(fields: tuple[str, ...], kinds: str) -> Column:
+        def one(f: str) -> Column:
+            kind = F.schema_of_variant(F.try_variant_get(node, f"$.{f}", "variant"))
+            return F.when(kind.rlike(kinds), F.try_variant_get(node, f"$.{f}", "string"))
+
+        return F.coalesce(*[one(f) for f in fields])
+
+    rows = walk(payloads, column).select(first(label_fields, r"^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)").alias("label"), first(date_fields, "^STRING").alias("day"))
+    out = rows.select(X.norm_release_label(F.col("label")).alias("release_label"), X.iso_date(F.col("day")).alias("exact_release_date"))
+    out = materialize(out.filter("release_label <> '' AND exact_release_date IS NOT NULL").distinct(), "release-dates")
     assert_none(out.groupBy("release_label").agg(F.count_distinct("exact_release_date").alias("n")).filter("n > 1"), "conflicting release dates")
     return out
 
 
+def payload_dates(spark: SparkSession, payload: Any, label_fields: tuple[str, ...] = LABELS, date_fields: tuple[str, ...] = DATES) -> DataFrame:
+    """``dates_in`` of one decoded payload."""
+    return dates_in(spark.createDataFrame([(json.dumps(payload),)], "payload string"), "payload", label_fields, date_fields)
+
+
 def resolve_dates(manifest: DataFrame, official: DataFrame, overrides: DataFrame) -> DataFrame:
     """Override before official date, with the source of each."""
     o = overrides.select("release_label", F.col("exact_release_date").cast("date").alias("_over"))
     f = official.select("release_label", F.col("exact_release_date").cast("date").alias("_off"))
-    out = manifest.drop("exact_release_date").join(F.broadcast(o), "release_label", "left").join(F.broadcast(f), "release_label", "left")
+    out = manifest.drop("exact_release_date").join(o, "release_label", "left").join(f, "release_label", "left")
     source = F.when(F.col("_over").isNotNull(), "override").when(F.col("_off").isNotNull(), "official").otherwise("unresolved")
     return out.withColumns({"exact_release_date": F.coalesce("_over", "_off"), "date_source": source, "date_conflict": F.coalesce(F.col("_over") != F.col("_off"), F.lit(False))}).drop("_over", "_off")
 

@@ -17,9 +17,8 @@ class SnapshotError(ValueError):
         self.audit = audit
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet below spark.checkpoint.dir and read back: no lineage, survives lost executors."""
-    spark: SparkSession = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -27,7 +26,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             raise SnapshotError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         root = tempfile.mkdtemp(prefix="stratalign-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/stratalign/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/stratalign/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write as Parquet below spark.checkpoint.dir and read back: no lineage, survives lost executors."""
+    spark: SparkSession = df.sparkSession
+    path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path  # noqa: SLF001
