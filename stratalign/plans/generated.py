@@ -17,9 +17,10 @@ from stratalign.operators import identity as ID
 from stratalign.operators import occurrences as OC
 from stratalign.operators import policy as PO
 from stratalign.operators import quality as Q
+from stratalign.operators import staged
 from stratalign.operators import structure as ST
 from stratalign.plans.scaled import query
-from stratalign.plans.surrogates import archive_observations
+from stratalign.plans.surrogates import ARCHIVE_SQL, archive_observations, manifest
 from stratalign.session import table
 from stratalign.sources import releases as RE
 from stratalign.sources import snapshots as SN
@@ -342,3 +343,17 @@ def incremental_identity(spark, d):
     for n, k in enumerate((2, 0, 1)):
         inc.update(rows.filter(part == k), n)
     return inc.identities()
+
+
+@query(f"""WITH {ARCHIVE_SQL}, l AS (SELECT sk, max(delay) AS delay FROM late GROUP BY sk)
+SELECT 'R' || lpad(CAST(so AS VARCHAR), 2, '0') AS first_available_release, count(*) AS n_activities, count(l.sk) AS n_delayed, CAST(coalesce(sum(delay), 0) AS BIGINT) AS delay_releases FROM sf LEFT JOIN l USING (sk) GROUP BY so""")
+def staged_archive(spark, d):
+    """First releases of the archive's activities and their delays, from a run in stages that is begun twice."""
+    obs, man, root = archive_observations(spark, d), manifest(spark), new_path(spark, "staged-archive")
+    staged.run_archive_staged(spark, root, obs, man, "1")
+    run = staged.run_archive_staged(spark, root, obs, man, "1")
+    first = run.tables["first_dates"]["audit"].select(F.col("activity_key").alias("safe_activity_key"), "first_available_release")
+    late = run.tables["attribution"]["attributed"].select("safe_activity_key", "max_delay_releases")
+    return first.join(late, "safe_activity_key", "left").groupBy("first_available_release").agg(
+        F.count(F.lit(1)).alias("n_activities"), F.count("max_delay_releases").alias("n_delayed"), F.coalesce(F.sum(F.col("max_delay_releases").cast("long")), F.lit(0)).alias("delay_releases")
+    )
