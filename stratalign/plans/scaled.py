@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalign.functions import text as X
+from stratalign.operators import compare as CM
 from stratalign.operators import intervals as IN
 from stratalign.operators import quantiles as QU
 from stratalign.operators import stars as ST
@@ -85,3 +86,27 @@ def canon_product(spark, d):
     """``%.12g`` of products of many magnitudes, for every line."""
     x = F.col("l_extendedprice") * F.col("l_discount") / F.lit(7.0) * F.pow(F.lit(10.0), (F.col("l_linenumber") * 3 - 12).cast("double"))
     return table(spark, d, "lineitem").select(x.alias("x")).distinct().select("x", X.canon_float(F.col("x")).alias("canon"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 79 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 97 <> 0)
+SELECT o_orderkey, 'left_only' AS difference, NULL::VARCHAR AS "column", NULL::VARCHAR AS left_value, NULL::VARCHAR AS right_value FROM orders WHERE o_orderkey % 97 = 0
+UNION ALL SELECT -1 - o_orderkey, 'right_only', NULL, NULL, NULL FROM orders WHERE o_orderkey % 101 = 0
+UNION ALL SELECT o_orderkey, 'null_right', 'o_orderpriority', o_orderpriority, NULL FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 79 = 0
+UNION ALL SELECT o_orderkey, 'value', 'o_custkey', CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1 AS VARCHAR) FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0""")
+def table_differences(spark, d):
+    """Orders against a copy with planted differences: rows and values gone, changed, and changed within the tolerance."""
+    o, k = table(spark, d, "orders").drop("o_orderdate"), F.col("o_orderkey")
+    copy = o.filter(k % 97 != 0).withColumns({"o_orderpriority": F.when(k % 79 != 0, F.col("o_orderpriority")), "o_custkey": F.when(k % 89 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")), "o_totalprice": F.when(k % 83 == 0, F.col("o_totalprice") + 1e-9).otherwise(F.col("o_totalprice"))})
+    more = o.filter(k % 101 == 0).withColumn("o_orderkey", -1 - k)
+    return CM.compare_tables(o, copy.unionByName(more), ["o_orderkey"], {"o_totalprice": 1e-6})
+
+
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT coalesce(lang, '?') AS lang, sha256(text) AS t, n_chars FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL),
+e AS (SELECT lang, 'l' || t AS x, 'r' || n_chars AS y FROM d UNION ALL SELECT lang, 'r' || n_chars, 'l' || t FROM d),
+reach(lang, x, y) AS (SELECT DISTINCT lang, x, x FROM e UNION SELECT r.lang, r.x, e.y FROM reach r JOIN e ON r.lang = e.lang AND r.y = e.x),
+lab AS (SELECT lang, x, min(y) AS label FROM reach GROUP BY ALL), c AS (SELECT d.lang, label, min(t) AS component, count(DISTINCT t) AS n_left, count(DISTINCT n_chars) AS n_right, count(*) AS n_pairs FROM d JOIN lab ON lab.lang = d.lang AND lab.x = 'l' || t GROUP BY ALL)
+SELECT lang, component, n_left, n_right, n_pairs, CASE WHEN n_left = 1 AND n_right = 1 THEN 'one_to_one' WHEN n_left = 1 THEN 'one_to_many' WHEN n_right = 1 THEN 'many_to_one' ELSE 'many_to_many' END AS kind FROM c""")
+def one_to_one_texts(spark, d):
+    """Texts and lengths of each language: which stand for each other one to one."""
+    t = table(spark, d, "documents").select(F.coalesce("lang", F.lit("?")).alias("lang"), F.sha2("text", 256).alias("t"), "n_chars")
+    return CM.one_to_one(t, ["lang"], "t", "n_chars")
