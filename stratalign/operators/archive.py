@@ -22,7 +22,7 @@ from stratalign.operators import firstseen as FS
 from stratalign.operators import occurrences as OC
 from stratalign.operators import policy as PO
 from stratalign.operators.identity import IdentityLimits, Resolved, resolve_identities
-from stratalign.storage import assert_none, materialize
+from stratalign.storage import assert_none, bucketed, materialize
 
 #: Track name -> eligibility column; all others must hold what ``primary`` holds.
 TRACKS = {"primary": "primary_record_eligible", "relaxed": "relaxed_confidence_B_record_eligible", "all_direct": "primary_direct_all_assay_eligible"}
@@ -59,14 +59,16 @@ def run_archive(
     tracks: Mapping[str, str] = TRACKS,
     broad: str = "broad_prior_knowledge_eligible",
     backtests: Sequence[FS.Backtest] = (),
+    buckets: int | None = None,
 ) -> ArchiveRun:
     """``observations`` has release_label, row_ordinal, the identity fields, standard values and eligibility columns;
-    ``manifest`` (release_label, exact_release_date) orders the releases (N1)."""
+    ``manifest`` (release_label, exact_release_date) orders the releases (N1). Keyed observations are a table of ``buckets`` by
+    activity key, so that every track's first dates read it without an exchange on that key."""
     order = materialize(CO.release_order(manifest), "release-order")
     rows = observations.drop("release_order").join(F.broadcast(order.select("release_label", "release_order")), "release_label", "left")
     assert_none(rows.filter("release_order IS NULL").select("release_label").distinct(), "releases unknown to the manifest")
     done = resolve_identities(rows, limits)
-    keyed = materialize(keyed_observations(done.observations), "keyed-observations")
+    keyed = bucketed(keyed_observations(done.observations), "keyed-observations", ["activity_key"], buckets)
     assert_none(CO.misaligned_frames(keyed), "several labels at one place of the sequence")
 
     firsts, audit = {}, None

@@ -63,3 +63,18 @@ def test_weak_aliases_are_quarantined_while_a_generation_has_too_many(spark):
     # the audit is ready for attribution: policies and lost aliases are in it
     assert {(r["n_quarantined_weak_aliases"], r["assay_source_policy_types"]) for r in audit.collect()} == {(1, "")}
     assert AT.family_policies(audit).count() == 0
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="no test data here")
+def test_keyed_tables_spare_the_exchange_on_their_key(spark):
+    from stratalign.storage import bucketed, discard
+
+    rows, manifest = surrogates.observations(spark, SF), surrogates.manifest(spark)
+    table = bucketed(rows, "keyed-test", ["activity_key"], 4)
+    spread = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(activity_key" in x or "hashpartitioning(release_label" in x]
+    got, audit = FS.first_seen(table, manifest)
+    plain, _ = FS.first_seen(rows, manifest)
+    assert spread(plain) and not spread(got) and not spread(audit)
+    assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, plain.select(*sorted(got.columns)).collect()))
+    discard(table)
+    assert not spark.catalog.tableExists(table._table)
