@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalign.operators.hot import LEAST_HOT, hot_join
-from stratalign.storage import SnapshotError, discard, materialize
+from stratalign.storage import SnapshotError, discard, materialize, materialize_counted
 
 
 @dataclass(frozen=True)
@@ -50,9 +50,10 @@ def small_star(edges: DataFrame, n: int | None = None) -> DataFrame:
     return known.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
-def _state(edges: DataFrame) -> tuple:
-    """What tells one set of edges from another: their number and two sums of hashes."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and what tells one set of edges from another: their number and two sums of hashes."""
+    table, seen = materialize_counted(edges, "stars", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), x=F.bit_xor(F.xxhash64("b", "a")))
+    return table, (seen["n"], seen["s"], seen["x"])
 
 
 def star_components(edges: DataFrame, parts: int = 0, limit: int = 200) -> Components:
@@ -60,16 +61,15 @@ def star_components(edges: DataFrame, parts: int = 0, limit: int = 200) -> Compo
 
     ``parts`` > 0 bounds the partitions of each round's tables, for graphs known to be small.
     """
-    now = materialize(_oriented(edges, parts), "stars")
-    state = _state(now)
+    now, state = _written(_oriented(edges, parts))
     for turn in range(1, limit + 1):
         if not state[0]:
             break
         large = _oriented(large_star(now, state[0]), parts)
         few = state[0] < LEAST_HOT  # so few edges are not worth a table between the two; neither makes more edges
         large = large if few else materialize(large, "stars")
-        small = materialize(_oriented(small_star(large, state[0] if few else None), parts or int(few)), "stars")
-        was, state = state, _state(small)
+        was = state
+        small, state = _written(_oriented(small_star(large, was[0] if few else None), parts or int(few)))
         discard(now, *([] if few else [large]))
         now = small
         if state == was:

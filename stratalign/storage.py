@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, and aggregates of the rows, observed by the job that writes them."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get
+
+
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
     """Write as a table of ``buckets`` files, each sorted, dealt by a hash of the keys; shuffle partitions by default.
 
