@@ -33,7 +33,7 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str =
         raise ValueError("how must be 'left' or 'inner'")
     n_rows = rows.count() if n_rows is None else n_rows
     if n_rows < LEAST_HOT:
-        return rows.join(table, list(keys), how)
+        return rows.join(table.hint("merge"), list(keys), how)  # so few rows need no job of their own for a broadcast
     hot = hot_keys(rows, keys, n_rows)
     taken = [c for c in table.columns if c not in keys]
     marked = F.broadcast(hot.join(table, list(keys), "left").withColumn("_hot", F.lit(True)))

@@ -65,8 +65,8 @@ def star_components(edges: DataFrame, parts: int = 0, limit: int = 200) -> Compo
     for turn in range(1, limit + 1):
         if not state[0]:
             break
-        large = _oriented(large_star(now, state[0]), parts)
-        few = state[0] < LEAST_HOT  # so few edges are not worth a table between the two; neither makes more edges
+        few = state[0] < LEAST_HOT  # so few edges are one partition and one job a round; neither operation makes more of them
+        large = _oriented(large_star(now.coalesce(1) if few else now, state[0]), parts)
         large = large if few else materialize(large, "stars")
         was = state
         small, state = _written(_oriented(small_star(large, was[0] if few else None), parts or int(few)))
