@@ -11,11 +11,12 @@ vocabularies have no such sum; there a path may be extended by a piece exactly i
 last two pieces' characters alone gives back the two pieces. One path per node survives that
 test, and it is the encoding that merging the whole text would give.
 
-Boundaries are found in two ways. A blank can only begin a piece in usual vocabularies, and no
-piece has, say, a letter and then a comma: no piece spans such a place, so all paths meet there,
-and the ids before it are committed as soon as the text reaches it. Where there is no such
-place for four windows, the paths of the nodes in the window are traced back until they meet.
-What lies between two boundaries is searched once and remembered while it is in use (``MEMO``).
+A node's path survives as long as what follows the node is the beginning of some piece. The text
+is fed to the search in portions, whose places mean nothing to it; after each, the paths of the
+surviving nodes are traced back until they meet, and the ids up to there are committed. So a
+search between two portions is in a state: the text behind the last boundary and the surviving
+paths over it. What a portion does to a state (ids committed, state reached) is worked out by the
+search once and remembered while it is in use (``MEMO``); most texts move among few states.
 
 The vocabulary is a model file's; it is read on the driver from a path that the caller gives
 and sent to the executors, a few hundred kilobytes for usual models (``VOCABULARY_LIMIT``).
@@ -44,10 +45,12 @@ from pyspark.sql import types as T
 from stratalign.llm._util import in_arrow, sliced, thrifty
 
 BLANK = "▁"
-LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïñòóôöøùúûü")
-#: Stretches between boundaries that are remembered, twice over: those used lately, and those before them.
-MEMO = 150_000
+#: Steps from state to state that are remembered; when there are more, all are forgotten.
+MEMO = 300_000
+#: States that hold more characters than this are not remembered, and no portion is longer.
 MEMO_LENGTH = 64
+#: Portions end after a character that isn't part of a word: with it the paths before it have mostly met.
+PORTION = re.compile(rf"(?s)\w{{0,{MEMO_LENGTH - 1}}}.")
 #: Pairs of pieces whose merging is known.
 PAIRS = 300_000
 VOCABULARY_LIMIT = 2_000_000
@@ -116,14 +119,9 @@ class Vocabulary:
         return min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
 
     @cached_property
-    def cuts_at_blanks(self) -> bool:
-        return not any(BLANK in p.lstrip(BLANK) for p in self.pieces)
-
-    @cached_property
-    def cut_signs(self) -> str:
-        """ASCII signs that follow a Latin letter in no piece."""
-        after = {q for p in self.pieces for c, q in zip(p, p[1:]) if c in LETTERS}
-        return "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
+    def neighbours(self) -> frozenset[str]:
+        """Pairs of characters that stand side by side in a piece; merges cross no other place."""
+        return frozenset(a + b for p in self.pieces for a, b in zip(p, p[1:]))
 
     @cached_property
     def texts(self) -> list[bytes]:
@@ -197,20 +195,31 @@ class Lattice:
         return out
 
 
+class State:
+    """A search between two portions, and what the portions met so far did to it."""
+
+    __slots__ = ("text", "last", "sums", "kept", "steps", "tail")
+
+    def __init__(self, text: str, last: tuple[int, ...], sums: tuple[float, ...], kept: bool):
+        self.text, self.last, self.sums, self.kept = text, last, sums, kept
+        self.steps: dict[str, tuple[bytes, State]] = {}  # by portion: ids committed, state reached
+        self.tail: bytes | None = None  # the ids if the text ends here
+
+
 class StreamingViterbi:
     """Push normalised text in portions of any size; pieces come out as soon as they are final.
 
-    ``text`` and the lists hold what lies behind ``base``, the last boundary that was final.
-    Entry i of ``last`` is the number of the piece on whose end node i stands (-1: no path
+    ``text`` and the lists hold what lies behind the last boundary that was final. Entry i of
+    ``last`` is the number of the piece on whose end node i stands (-1: no surviving path
     reaches it); its length is the backpointer.
     """
 
-    def __init__(self, lattice: Lattice | Vocabulary):
+    def __init__(self, lattice: Lattice | Vocabulary, state: State | None = None):
         self.at = lattice if isinstance(lattice, Lattice) else Lattice(lattice)
         self.merges, self.window = self.at.v.merges, max(1, self.at.v.longest)
-        self.text, self.base = "", 0
-        self.last: list[int] = [START]
-        self.sums = [0.0]
+        self.text = state.text if state else ""
+        self.last: list[int] = list(state.last) if state else [START]
+        self.sums = list(state.sums) if state else [0.0]
         self.most_held = self.commits = 0
 
     def feed(self, portion: str) -> Iterator[str]:
@@ -225,8 +234,7 @@ class StreamingViterbi:
             self._extend_merges() if self.merges else self._extend_sums()
             if len(self.last) > self.most_held:
                 self.most_held = len(self.last)
-            if len(self.last) > step + 1:
-                out += self._settle()
+            out += self._settle()
         return out
 
     def _extend_merges(self) -> None:
@@ -284,22 +292,33 @@ class StreamingViterbi:
             reach()
 
     def _settle(self) -> list[int]:
-        """Take out what the paths of all nodes that can still be extended have in common."""
-        last, sizes, end = self.last, self.at.sizes, len(self.last) - 1
-        meet = {p for p in range(end - self.window + 1, end + 1) if last[p] >= 0}
+        """Take out what all surviving paths have in common, and forget the others."""
+        text, last, sizes, end = self.text, self.last, self.at.sizes, len(self.last) - 1
+        begins, low = self.at.automaton.match, end
+        if self.at.v.pieces:  # a piece that goes on holds only pairs of characters that pieces hold
+            low = max(0, end - 1)
+            while low and end - low < self.window - 1 and text[low - 1 : low + 1] in self.at.v.neighbours:
+                low -= 1
+        meet = {p for p in range(low, end) if last[p] >= 0 and begins(text[p:])}
+        meet.add(end)
+        on = set()
         while len(meet) > 1:  # the latest node steps back until all are one
             node = max(meet)
             meet.discard(node)
+            on.add(node)
             meet.add(node - sizes[last[node]])
         boundary = meet.pop()
-        if not boundary:
-            return []
         final = self._path(boundary)
-        self.commits += 1
-        self.text, self.last, self.base = self.text[boundary:], last[boundary:], self.base + boundary
+        left, self.text = last[boundary], text[boundary:]
+        if boundary and (not self.merges or (self.text and self.at.names[left][-1] + self.text[0] not in self.at.v.neighbours)):
+            left = START  # what stands before the boundary has no say in what follows
+        self.last = [left] + [last[p] if p in on else -1 for p in range(boundary + 1, end + 1)]
         if not self.merges:
-            ground = self.sums[boundary]
-            self.sums = [x - ground for x in self.sums[boundary:]]
+            self.sums = [0.0] * len(self.last)
+            for p in range(1, len(self.last)):
+                if self.last[p] >= 0:
+                    self.sums[p] = self.sums[p - sizes[self.last[p]]] + self.at.scores[self.last[p]]
+        self.commits += boundary > 0
         return final
 
     def _path(self, node: int) -> list[int]:
@@ -317,57 +336,76 @@ class StreamingViterbi:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary, with the memo of short stretches.
+    """Encoder and decoder of one vocabulary, with the memo of steps between states.
 
     ``commits`` counts the boundaries at which ids were committed before their text ended, and
-    ``most_held`` is the most nodes that any search held. Without ``cuts`` only tracing back
-    finds boundaries.
+    ``most_held`` is the most nodes that any search held. ``portion`` is the pattern that cuts
+    texts into portions; without ``remember`` every step is searched.
     """
 
-    def __init__(self, vocabulary: Vocabulary, cuts: bool = True):
+    def __init__(self, vocabulary: Vocabulary, portion: re.Pattern = PORTION, remember: bool = True):
         self.v, self.lattice = vocabulary, Lattice(vocabulary)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.portions, self.remember = portion, remember
         self.commits = self.most_held = 0
-        signs, letters = re.escape(vocabulary.cut_signs), "".join(sorted(LETTERS))
-        # stretches are cut from, and remembered as, text with plain blanks: mostly one byte a character
-        word = f" *[{letters}]+(?=[{signs} ])|" if signs else ""
-        self.stretches = re.compile(f"{word} *[^ ]+| +") if cuts and vocabulary.cuts_at_blanks else re.compile("(?s).+")
-
-    def _search(self, stretch: str) -> bytes:
-        search, ids, of = StreamingViterbi(self.lattice), [], self.lattice.ids
-        for piece in search.push(stretch.replace(" ", BLANK)):
-            ids += of[piece]
-        for piece in search.close():
-            ids += of[piece]
-        self.commits += search.commits
+        self._forget()
+
+    def _forget(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.steps.clear()
+        self.states: dict[tuple, State] = {}
+        self.known = 0
+        self.start = self._state("", (START,), (0.0,))
+
+    def _state(self, text: str, last: tuple[int, ...], sums: tuple[float, ...]) -> State:
+        if not self.remember or len(text) > MEMO_LENGTH:
+            return State(text, last, sums, False)
+        key = (text, last) if self.v.merges else (text, last, sums)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(text, last, sums, True)
+        return found
+
+    def _ids(self, numbers: list[int]) -> bytes:
+        of = self.lattice.ids
+        return array("i", [x for n in numbers for x in of[n]]).tobytes()
+
+    def _step(self, state: State, portion: str) -> tuple[bytes, State]:
+        search = StreamingViterbi(self.lattice, state)
+        ids = self._ids(search.push(portion.replace(" ", BLANK)))
         self.most_held = max(self.most_held, search.most_held)
-        if not self.v.byte_ids and len(ids) > 1:  # neighbouring unknowns are one
-            ids = [x for k, x in enumerate(ids) if not k or x != self.v.unknown or ids[k - 1] != self.v.unknown]
-        return array("i", ids).tobytes()
-
-    def __getitem__(self, stretch: str) -> bytes:
-        known = self.young.get(stretch)
-        if known is None:
-            known = self.old.get(stretch)
-            if known is None:
-                known = self._search(stretch)
-            if len(stretch) <= MEMO_LENGTH:
-                if len(self.young) >= MEMO:
-                    self.young, self.old = {}, self.young
-                self.young[stretch] = known
-        return known
+        if self.known >= MEMO:
+            self._forget()
+        step = ids, self._state(search.text, tuple(search.last), tuple(search.sums) if not self.v.merges else ())
+        if state.kept and step[1].kept and len(portion) <= MEMO_LENGTH:
+            state.steps[portion] = step
+            self.known += 1
+        return step
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        flat = text.replace(BLANK, " ")
+        flat = text.replace(BLANK, " ")  # portions are remembered with plain blanks: mostly one byte a character
         if self.v.dummy_prefix:
             flat = " " + flat
-        stretches = self.stretches.findall(flat)
-        self.commits += len(stretches) - 1
-        return b"".join(map(self.__getitem__, stretches))
+        state, out = self.start, []
+        for portion in self.portions.findall(flat):
+            step = state.steps.get(portion)
+            if step is None:
+                step = self._step(state, portion)
+            out.append(step[0])
+            state = step[1]
+        self.commits += sum(map(bool, out))
+        if state.tail is None:
+            state.tail = self._ids(StreamingViterbi(self.lattice, state).close())
+        out.append(state.tail)
+        return b"".join(out) if self.v.byte_ids else self._joined(b"".join(out))
+
+    def _joined(self, ids: bytes) -> bytes:
+        """Neighbouring unknown ids are one."""
+        numbers = np.frombuffer(ids, "<i4")
+        again = (numbers[1:] == self.v.unknown) & (numbers[:-1] == self.v.unknown)
+        return ids if not again.any() else numbers[np.concatenate(([True], ~again))].tobytes()
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<i4").tolist()

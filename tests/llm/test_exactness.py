@@ -205,10 +205,31 @@ def test_query_commits_ids_before_texts_end_and_equals_the_library(spark):
 
 @needs_data
 @needs_model
-def test_traced_boundaries_alone_give_the_same_ids(spark):
+def test_steps_are_those_of_a_search_without_memo_whatever_the_portions(spark):
+    import re
+
     v = sentencepiece_codec.Vocabulary.load(MODEL)
-    cut, traced = sentencepiece_codec.Codec(v), sentencepiece_codec.Codec(v, cuts=False)
+    codec = sentencepiece_codec.Codec(v)
+    others = [sentencepiece_codec.Codec(v, remember=False), *[sentencepiece_codec.Codec(v, re.compile(p)) for p in ("(?s).", "(?s).{1,7}", "(?s).+")]]
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
     for t in texts:
-        assert cut.encode(t) == traced.encode(t)
-    assert traced.commits > 1000 and traced.most_held <= 12 * v.longest
+        want = codec.encode(t)
+        assert all(c.encode(t) == want for c in others)
+        whole = sentencepiece_codec.StreamingViterbi(v)
+        assert codec._ids(whole.push("▁" + t.replace(" ", "▁")) + whole.close()) == want
+    assert others[0].commits == codec.commits > 1000
+    assert max(c.most_held for c in [codec, *others]) <= 12 * v.longest
+
+
+def test_memo_is_bounded_and_forgetting_changes_nothing(monkeypatch):
+    pieces = {p: (i, -float(i)) for i, p in enumerate(["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "a▁", "b▁a"])}
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcx  "), int(rng.integers(1, 90)))) for _ in range(150)]
+    for merges in (True, False):
+        v = sentencepiece_codec.Vocabulary(pieces, merges, 11, unknown=10)
+        plain = [sentencepiece_codec.Codec(v, remember=False).encode(t) for t in texts]
+        assert [sentencepiece_codec.Codec(v).encode(t) for t in texts] == plain
+        monkeypatch.setattr(sentencepiece_codec, "MEMO", 20)
+        small = sentencepiece_codec.Codec(v)
+        assert [small.encode(t) for t in texts] == plain and small.known <= 20
+        monkeypatch.undo()
