@@ -45,8 +45,8 @@ from pyspark.sql import types as T
 from stratalign.llm._util import in_arrow, sliced, thrifty
 
 BLANK = "▁"
-#: Steps from state to state that are remembered; when there are more, all are forgotten.
-MEMO = 300_000
+#: Steps from state to state that are remembered, twice over: those used lately, and those before them.
+MEMO = 250_000
 #: States that hold more characters than this are not remembered, and no portion is longer.
 MEMO_LENGTH = 64
 #: Portions end after a character that isn't part of a word: with it the paths before it have mostly met.
@@ -198,11 +198,12 @@ class Lattice:
 class State:
     """A search between two portions, and what the portions met so far did to it."""
 
-    __slots__ = ("text", "last", "sums", "kept", "steps", "tail")
+    __slots__ = ("text", "last", "sums", "kept", "steps", "before", "tail")
 
     def __init__(self, text: str, last: tuple[int, ...], sums: tuple[float, ...], kept: bool):
         self.text, self.last, self.sums, self.kept = text, last, sums, kept
         self.steps: dict[str, tuple[bytes, State]] = {}  # by portion: ids committed, state reached
+        self.before: dict[str, tuple[bytes, State]] = {}  # those not used lately
         self.tail: bytes | None = None  # the ids if the text ends here
 
 
@@ -299,6 +300,8 @@ class StreamingViterbi:
             low = max(0, end - 1)
             while low and end - low < self.window - 1 and text[low - 1 : low + 1] in self.at.v.neighbours:
                 low -= 1
+        if low == end - 1 and sizes[last[end]] == 1 and last[low] >= 0:  # most often: one path to the last two nodes
+            return self._commit(low, {end}) if begins(text[low]) else self._commit(end, set())
         meet = {p for p in range(low, end) if last[p] >= 0 and begins(text[p:])}
         meet.add(end)
         on = set()
@@ -307,7 +310,11 @@ class StreamingViterbi:
             meet.discard(node)
             on.add(node)
             meet.add(node - sizes[last[node]])
-        boundary = meet.pop()
+        return self._commit(meet.pop(), on)
+
+    def _commit(self, boundary: int, on: set[int]) -> list[int]:
+        """The pieces before the boundary; behind it the nodes ``on`` surviving paths are kept."""
+        text, last, sizes, end = self.text, self.last, self.at.sizes, len(self.last) - 1
         final = self._path(boundary)
         left, self.text = last[boundary], text[boundary:]
         if boundary and (not self.merges or (self.text and self.at.names[left][-1] + self.text[0] not in self.at.v.neighbours)):
@@ -346,16 +353,19 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, portion: re.Pattern = PORTION, remember: bool = True):
         self.v, self.lattice = vocabulary, Lattice(vocabulary)
         self.portions, self.remember = portion, remember
-        self.commits = self.most_held = 0
-        self._forget()
-
-    def _forget(self) -> None:
-        for state in getattr(self, "states", {}).values():
-            state.steps.clear()
+        self.commits = self.most_held = self.known = 0
         self.states: dict[tuple, State] = {}
-        self.known = 0
         self.start = self._state("", (START,), (0.0,))
 
+    def _age(self) -> None:
+        """What was not used since the last time is forgotten."""
+        self.known = 0
+        for key, state in list(self.states.items()):
+            state.before, state.steps = state.steps, {}
+            if not state.before and state is not self.start:
+                state.kept = False
+                del self.states[key]
+
     def _state(self, text: str, last: tuple[int, ...], sums: tuple[float, ...]) -> State:
         if not self.remember or len(text) > MEMO_LENGTH:
             return State(text, last, sums, False)
@@ -370,15 +380,18 @@ class Codec:
         return array("i", [x for n in numbers for x in of[n]]).tobytes()
 
     def _step(self, state: State, portion: str) -> tuple[bytes, State]:
-        search = StreamingViterbi(self.lattice, state)
-        ids = self._ids(search.push(portion.replace(" ", BLANK)))
-        self.most_held = max(self.most_held, search.most_held)
-        if self.known >= MEMO:
-            self._forget()
-        step = ids, self._state(search.text, tuple(search.last), tuple(search.sums) if not self.v.merges else ())
+        step = state.before.get(portion)
+        if step is None:
+            search = StreamingViterbi(self.lattice, state)
+            ids = self._ids(search.push(portion.replace(" ", BLANK)))
+            self.most_held = max(self.most_held, search.most_held)
+            step = ids, self._state(search.text, tuple(search.last), tuple(search.sums) if not self.v.merges else ())
         if state.kept and step[1].kept and len(portion) <= MEMO_LENGTH:
-            state.steps[portion] = step
-            self.known += 1
+            if self.known >= MEMO:
+                self._age()
+            if state.kept:
+                state.steps[portion] = step
+                self.known += 1
         return step
 
     def encode(self, text: str | None) -> bytes:
