@@ -6,17 +6,18 @@ both sides meet by equality and a range condition is checked on what met. No int
 point that is not within two of its lengths, and none is split into many pieces.
 
 Different points are matched once, however many rows have them; rows take their point's matches by a join
-that spreads hot points. Numbers are compared as 64-bit integers: dates as days, timestamps as microseconds.
+that spreads hot points. Counts need no matches: they are differences of running totals along the axis.
+Numbers are compared as 64-bit integers: dates as days, timestamps as microseconds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalign.operators.hot import hot_join
+from stratalign.operators.hot import hot_join, spread_join
 from stratalign.storage import assert_none, materialize
 
 
@@ -56,9 +57,37 @@ def interval_join(rows: DataFrame, point: str, intervals: DataFrame, start: str
     x = as_number(F.col(f"`{point}`"), dtype)
     table = intervals.withColumns({"lo": as_number(F.col(start), other[start]), "hi": as_number(F.col(end), other[end])})
     met = matches(rows.select(x.alias("x")).filter("x IS NOT NULL").distinct(), table.select("lo", "hi", F.struct(*intervals.columns).alias("interval")))
-    per = materialize(met.groupBy("x").agg(F.collect_list("interval").alias("found")), "interval-matches")
-    joined = hot_join(rows.withColumn("x", x), per, ["x"], "inner")
-    return joined.select(*rows.columns, F.explode("found").alias("interval")).select(*rows.columns, "interval.*")
+    joined = spread_join(rows.withColumn("x", x).filter("x IS NOT NULL"), met.select("x", "interval"), ["x"])
+    return joined.select(*rows.columns, "interval.*")
+
+
+def running_totals(steps: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, total): the sum of ``n`` over all keys up to each; keys are different and not null.
+
+    Two levels: the keys are dealt to ranges, each summed by itself, and a range starts with what those before it hold.
+    """
+    dealt = materialize(steps.select(key, n).repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = dealt.groupBy("_range").agg(F.min(key).alias("_first"), F.sum(n).alias("_whole"))  # a row per partition
+    before = per.select("_range", F.coalesce(F.sum("_whole").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(n).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_within", within).join(F.broadcast(before), "_range").select(key, (F.col("_before") + F.col("_within")).alias("total"))
+
+
+def interval_totals(rows: DataFrame, point: str, intervals: DataFrame, out: str = "n", start: str = "start", end: str = "end") -> DataFrame:
+    """Each interval with the number of rows whose point it holds (start excluded, end included), if there are any.
+
+    An interval holds the rows up to its end less those up to its start, so no row meets an interval, and the work
+    grows with rows and intervals, not with their matches.
+    """
+    other = dict(intervals.dtypes)
+    x = as_number(F.col(f"`{point}`"), dict(rows.dtypes)[point])
+    table = intervals.select(F.struct(*intervals.columns).alias("interval"), as_number(F.col(start), other[start]).alias("lo"), as_number(F.col(end), other[end]).alias("hi")).filter("lo < hi")
+    held = rows.select(x.alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    bounds = table.select(F.explode(F.array("lo", "hi")).alias("x")).distinct().withColumn("n", F.lit(0).cast("long"))
+    upto = materialize(running_totals(held.unionByName(bounds).groupBy("x").agg(F.sum("n").alias("n")), "x", "n"), "interval-totals")
+    low = materialize(hot_join(table, upto.select(F.col("x").alias("lo"), F.col("total").alias("below")), ["lo"], "inner"), "interval-starts")
+    both = hot_join(low, upto.select(F.col("x").alias("hi"), "total"), ["hi"], "inner")
+    return both.select("interval.*", (F.col("total") - F.col("below")).alias(out)).filter(F.col(out) > 0)
 
 
 def first_match(rows: DataFrame, point: str, intervals: DataFrame, group: str, order: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -77,6 +77,37 @@ def test_intervals_of_all_lengths(spark, kind, monkeypatch):
     assert Counter((x["i"], x["g"], x["k"]) for x in firsts.collect()) == Counter((i, g, k) for (i, g), k in best.items())
 
 
+@pytest.mark.parametrize("kind", ["long", "date"])
+def test_totals_are_the_counts_of_all_matches(spark, kind, monkeypatch):
+    monkeypatch.setattr(hot, "LEAST_HOT", 20)
+    monkeypatch.setattr(intervals, "matches", None)  # no match is formed
+    rng = random.Random(8)
+    spread = 300 if kind == "date" else 1 << 40
+    table = [(k, lo, lo + rng.choice([0, -3, 1, 2, 64, spread // 3])) for k, lo in enumerate(rng.randrange(-spread, spread) for _ in range(200))] + [(300 + k, 5, 9) for k in range(50)] + [(900, None, 5), (901, 5, None)]
+    rows = [(i, rng.randrange(-spread, spread)) for i in range(300)] + [(500 + i, 7) for i in range(60)] + [(999, None)] + [(700 + k, table[k][2]) for k in range(20)] + [(800 + k, table[k][1]) for k in range(20)]
+    day = (lambda v: None if v is None else date(2000, 1, 1) + timedelta(days=v)) if kind == "date" else (lambda v: v)
+    r = spark.createDataFrame([(i, day(x)) for i, x in rows], f"i long, at {kind}").repartition(5)
+    t = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in table], f"k long, start {kind}, end {kind}")
+    want = Counter(k for _, k in brute(rows, [x for x in table if None not in x]).elements())
+    got = intervals.interval_totals(r, "at", t)
+    assert {x["k"]: x["n"] for x in got.collect()} == want and got.columns == ["k", "start", "end", "n"]
+    assert intervals.interval_totals(r.filter("false"), "at", t).count() == 0 and intervals.interval_totals(r, "at", t.filter("false")).count() == 0
+
+
+def test_joins_of_intervals_broadcast_no_matches(spark, monkeypatch):
+    monkeypatch.setattr(hot, "LEAST_HOT", 20)
+    r = spark.range(200).select("id", F.lit(7).cast("long").alias("at"))
+    t = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 9).alias("start"), F.lit(8).cast("long").alias("end"))
+    shares = []
+    real = hot.materialize
+    monkeypatch.setattr(hot, "materialize", lambda df, name: shares.append((name, real(df, name))) or shares[-1][1])
+    joined = intervals.interval_join(r, "at", t)
+    assert joined.count() == 200 * sum(k % 9 < 7 for k in range(300))
+    dealt = dict(shares)["dealt"].groupBy("_share").count().collect()
+    assert len(dealt) == 10 and max(x["count"] for x in dealt) < 40
+    assert "found" not in joined._jdf.queryExecution().toString()
+
+
 def test_no_intervals_and_no_rows(spark):
     r = spark.createDataFrame([(1, 5)], "i long, at long")
     none = spark.createDataFrame([], "k long, start long, end long")
