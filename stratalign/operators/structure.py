@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalign.storage import SnapshotError, materialize
+from stratalign.storage import SnapshotError, materialize, materialize_counted
 
 FIELDS = "canonical_isomeric_smiles string, full_inchikey string, murcko_scaffold_smiles string, status string, error string"
 Result = tuple[str, str, str, str, str]
@@ -120,15 +120,21 @@ def standardize(df: DataFrame, smiles: str = "canonical_smiles", molblock: str =
     some = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c))) if c in df.columns else F.lit(None).cast("string")
     rows = df.withColumns({"_smi": some(smiles), "_mol": some(molblock)})
     both = rows.select(F.col("_smi").alias("text"), F.lit("smiles").alias("fmt")).unionByName(rows.select(F.col("_mol").alias("text"), F.lit("molblock").alias("fmt")))
-    known = standardize_inputs(both.filter("text IS NOT NULL"), backend or default_backend(), cache)
+    per = {f: F.count_if(F.col("fmt") == f) for f in ("smiles", "molblock")}
+    known, n = materialize_counted(standardize_inputs(both.filter("text IS NOT NULL"), backend or default_backend(), cache), "structures", **per)
     names = [x.split()[0] for x in FIELDS.split(", ")]
-    sha = lambda fmt, c: F.sha2(F.concat_ws("\x1f", F.lit(fmt), F.col(c)), 256)
-    s = known.select(F.col("input_sha").alias("_s"), F.struct(*names).alias("_sr"))
-    m = known.select(F.col("input_sha").alias("_m"), F.struct(*names).alias("_mr"))
-    out = rows.join(s, sha("smiles", "_smi") == F.col("_s"), "left").join(m, sha("molblock", "_mol") == F.col("_m"), "left")
+    out, spread = rows, [F.col(f"`{x}`") for x, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    for fmt, c, r in (("smiles", "_smi", "_sr"), ("molblock", "_mol", "_mr")):
+        result = known.filter(F.col("fmt") == fmt).select(F.col("input_sha").alias("_k"), F.struct(*names).alias(r))
+        if not n[fmt]:
+            out = out.withColumn(r, F.lit(None).cast(result.schema[r].dataType))
+            continue
+        # rows without a text meet nothing, and are spread all the same
+        sha = F.when(F.col(c).isNotNull(), F.sha2(F.concat_ws("\x1f", F.lit(fmt), F.col(c)), 256)).otherwise(F.xxhash64(*spread).cast("string"))
+        out = out.withColumn("_at", sha).join(result.hint("merge"), F.col("_at") == F.col("_k"), "left").drop("_at", "_k")
     chosen = F.coalesce(F.when(F.col("_sr.status") == "ok", F.col("_sr")), F.col("_mr"), F.col("_sr"))
     fmt = F.when(F.col("_sr.status") == "ok", "smiles").when(F.col("_mr").isNotNull(), "molblock").when(F.col("_sr").isNotNull(), "smiles").otherwise("missing")
     out = out.withColumns({"_r": chosen, "std_input_format": fmt})
     return out.withColumns({
         **{c: F.col(f"_r.{c}") for c in names[:3]}, "std_status": F.coalesce("_r.status", F.lit("missing")), "std_error": F.coalesce("_r.error", F.lit(""))
-    }).drop("_smi", "_mol", "_s", "_m", "_sr", "_mr", "_r")
+    }).drop("_smi", "_mol", "_sr", "_mr", "_r")

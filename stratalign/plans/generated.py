@@ -24,7 +24,7 @@ from stratalign.plans.surrogates import ARCHIVE_SQL, archive_observations, manif
 from stratalign.session import table
 from stratalign.sources import releases as RE
 from stratalign.sources import snapshots as SN
-from stratalign.storage import new_path
+from stratalign.storage import materialize, new_path
 from stratalign.streaming.identity import IncrementalIdentity
 
 
@@ -147,7 +147,7 @@ def extract_generations(spark, d):
     bridge = AU.build_bridge(nation.select(sequence_of("n_nationkey").alias("sequence"), F.lit("Homo sapiens").alias("organism"), F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("accession"), F.when(F.col("n_regionkey") < 3, "PROTEIN").otherwise("CELL").alias("target_type")))
     out = None
     for i, generation in enumerate(Q.GENERATIONS):
-        rows = SN.extract(_snapshot(spark, d, generation), f"R{i + 1}", bridge=bridge)
+        rows = materialize(SN.extract(_snapshot(spark, d, generation), f"R{i + 1}", bridge=bridge), "extracted")  # read for structures, types and tracks
         rows = Q.eligibility_tracks(Q.measured(ST.standardize(rows, backend=ST.identity_backend)))
         rows = rows.withColumn("document_identity_key", OC.extraction_document_key(rows))
         part = rows.groupBy("release_label", "schema_generation", "standard_type", "target_accession", "target_identity_source", "std_input_format", "document_identity_key").agg(

@@ -240,8 +240,17 @@ def _assays(tables: Tables, *extra: str) -> DataFrame:
     )
 
 
+def _merged(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle: a file's size tells too little of its rows' to let the planner broadcast a table that grows."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def extract(tables: Tables, release: str, cfg: ExtractConfig = ExtractConfig(), bridge: DataFrame | None = None) -> DataFrame:
-    """Observations of one release before quality and keys."""
+    """Observations of one release before quality and keys.
+
+    Targets, links and documents meet the assays first; activities are then shuffled by assay and by compound alone,
+    however few targets or documents they share.
+    """
     gen = generation_of(tables)
     require_tables(tables, "activities", "assays", "target_dictionary", "docs")
     native, home = native_target_type(cfg.target_type, gen), F.lit(cfg.organism)
@@ -249,8 +258,8 @@ def extract(tables: Tables, release: str, cfg: ExtractConfig = ExtractConfig(),
     if gen == "post15":
         assays = _assays(tables, "tid", "confidence_score").filter(F.col("confidence_score") >= cfg.least_confidence)
         target = t.filter((F.upper(t["target_type"]) == native) & (t["organism"] == home)).select("tid", bound(t, "target_chembl_id", "chembl_id"))
-        chain = target.join(tables["target_components"].select("tid", "component_id"), "tid").join(tables["component_sequences"].select("component_id", F.col("accession").alias("target_accession")), "component_id")
-        rows = act.join(assays, "assay_id").join(chain, "tid").withColumns({"target_relationship_type": F.lit(None).cast("string"), "target_identity_source": F.lit("native_accession"), "early_confidence_regime": F.lit(None).cast("string")})
+        chain = _merged(_merged(target, tables["target_components"].select("tid", "component_id"), "tid"), tables["component_sequences"].select("component_id", F.col("accession").alias("target_accession")), "component_id")
+        assays = _merged(assays, chain, "tid").withColumns({"target_relationship_type": F.lit(None).cast("string"), "target_identity_source": F.lit("native_accession"), "early_confidence_regime": F.lit(None).cast("string")})
     else:
         a2t = tables["assay2target"]
         regime, column = confidence_regime(a2t) if gen == "pre9_early" else (None, "confidence_score")
@@ -267,16 +276,16 @@ def extract(tables: Tables, release: str, cfg: ExtractConfig = ExtractConfig(),
             raise SnapshotError("targets have neither an accession nor a sequence")
         if has_type:
             target = target.filter(F.upper("target_type") == native)
-        rows = act.join(_assays(tables), "assay_id").join(links, "assay_id").join(target, "tid")
         if gen == "pre9_early" and not (has_accession and has_type):
             if bridge is None or not bridge.limit(1).count():
                 missing = [c for c, there in (("protein_accession", has_accession), ("target_type", has_type)) if not there]
                 raise SnapshotError(f"targets without {missing} need a bridge of exact sequences")
-            rows = apply_bridge(rows, bridge, has_accession, has_type).filter(F.upper("target_type") == native)
+            target = apply_bridge(target, bridge.hint("merge"), has_accession, has_type).filter(F.upper("target_type") == native)
         else:
-            rows = rows.withColumn("target_identity_source", F.lit("native_accession"))
-        rows = rows.withColumn("early_confidence_regime", F.lit(regime)).drop("target_sequence", "organism", "target_type")
-    rows = rows.filter(F.col("target_accession").isNotNull())
+            target = target.withColumn("target_identity_source", F.lit("native_accession"))
+        target = target.withColumn("early_confidence_regime", F.lit(regime)).drop("target_sequence", "organism", "target_type")
+        assays = _merged(_merged(_assays(tables), links, "assay_id"), target, "tid")
+    assays = _merged(assays.filter(F.col("target_accession").isNotNull()), _documents(tables), "doc_id", "left")
     if gen == "pre9_early":
         c = tables["compounds"]
         if pick(c, "canonical_smiles", "molfile") is None:
@@ -284,8 +293,8 @@ def extract(tables: Tables, release: str, cfg: ExtractConfig = ExtractConfig(),
         structure = c.select(c["molregno"], bound(c, "molecule_chembl_id", "chembl_id"), bound(c, "canonical_smiles", "canonical_smiles"), bound(c, "molfile", "molfile"), bound(c, "molecule_pref_name", "pref_name", "name"))
     else:
         s, m = tables["compound_structures"], tables["molecule_dictionary"]
-        structure = s.select(s["molregno"], bound(s, "canonical_smiles", "canonical_smiles"), bound(s, "molfile", "molfile")).join(m.select(m["molregno"], bound(m, "molecule_chembl_id", "chembl_id"), bound(m, "molecule_pref_name", "pref_name")), "molregno")
-    out = rows.join(structure, "molregno").join(_documents(tables), "doc_id", "left")
+        structure = _merged(s.select(s["molregno"], bound(s, "canonical_smiles", "canonical_smiles"), bound(s, "molfile", "molfile")), m.select(m["molregno"], bound(m, "molecule_chembl_id", "chembl_id"), bound(m, "molecule_pref_name", "pref_name")), "molregno")
+    out = _merged(_merged(act, assays, "assay_id"), structure, "molregno")
     return out.withColumns({"release_label": F.lit(release), "schema_generation": F.lit(gen), "confidence_score": F.col("confidence_score").cast("double")})
 
 

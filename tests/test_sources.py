@@ -257,3 +257,23 @@ def test_streaming_first_seen_any_order(spark, tmp_path):
     assert got == {"a": "2024-01-01", "b": "2024-01-02", "c": "2024-01-09"}
     # two batches are merged, the third is a delta of its own
     assert sorted(p.name for p in (tmp_path / "state").glob("kind=*/n=*")) == ["n=1", "n=2"]
+
+
+@pytest.mark.parametrize("generation", ["pre9_early", "pre15_legacy", "post15"])
+def test_extraction_broadcasts_no_table(spark, generation):
+    """Small files of many rows: the planner may not take a file's size for its rows'."""
+    from stratalign.plans import generated as G
+
+    tables = G._snapshot(spark, "/root/testdata/sf0.001", generation)
+    targets = spark.createDataFrame([("M KA", "Homo sapiens", "P0", "PROTEIN")], "sequence string, organism string, accession string, target_type string")
+    plan = S.extract(tables, "R", bridge=build_bridge(targets))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_structures_are_computed_once_and_rows_without_one_stay(spark):
+    rows = spark.createDataFrame([(1, "C", None), (2, None, "block"), (3, None, None), (4, " C ", "block"), (5, " ", "block")], "i int, canonical_smiles string, molfile string")
+    out = standardize(rows, backend=identity_backend)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["i"], r["std_input_format"], r["canonical_isomeric_smiles"], r["std_status"]) for r in out.orderBy("i").collect()] == [(1, "smiles", "C", "ok"), (2, "molblock", "block", "ok"), (3, "missing", None, "missing"), (4, "smiles", "C", "ok"), (5, "molblock", "block", "ok")]
+    none = standardize(rows.filter("i = 3"), backend=identity_backend)
+    assert [(r["std_input_format"], r["std_status"]) for r in none.collect()] == [("missing", "missing")]
