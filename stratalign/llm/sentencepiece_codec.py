@@ -149,6 +149,34 @@ def merged(text: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
 
+@dataclass(frozen=True, slots=True)
+class Trace:
+    """How a piece's characters merge: the score of each merge, and the first and last part before each and at the end."""
+
+    whole: bool  # they end in the piece
+    scores: tuple[float, ...]
+    firsts: tuple[str, ...]
+    lasts: tuple[str, ...]
+
+
+def traced(text: str, pieces: dict[str, tuple[int, float]]) -> Trace:
+    """``merged``, step by step."""
+    parts, scores = list(text), []
+    firsts, lasts = [parts[0]], [parts[-1]]
+    while True:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            found = pieces.get(parts[i] + parts[i + 1])
+            if found is not None and (best is None or found[1] > best):
+                best, at = found[1], i
+        if best is None:
+            return Trace(len(parts) == 1, tuple(scores), tuple(firsts), tuple(lasts))
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        scores.append(best)
+        firsts.append(parts[0])
+        lasts.append(parts[-1])
+
+
 START = (1 << 21) - 1
 
 
@@ -163,12 +191,14 @@ class Lattice:
         self.number = {p: i for i, p in enumerate(self.names)}
         self.sizes = [len(p) for p in self.names]
         self.scores = [vocabulary.pieces[p][1] for p in self.names]
-        self.ids = [[vocabulary.pieces[p][0]] for p in self.names]
+        self.ids = [array("i", [vocabulary.pieces[p][0]]).tobytes() for p in self.names]
+        self.known, self.neighbours = vocabulary.pieces, vocabulary.neighbours
         self.automaton = ahocorasick.Automaton()
         for p, i in self.number.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.traces: dict[int, Trace] = {}  # of pieces and of characters that texts hold
 
     def single(self, char: str) -> int:
         """The number of a single character, in the vocabulary or not."""
@@ -178,22 +208,44 @@ class Lattice:
             self.names.append(char)
             self.sizes.append(1)
             self.scores.append(self.v.worst)
-            self.ids.append([self.v.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.v.byte_ids else [self.v.unknown])
+            self.ids.append(array("i", [self.v.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.v.byte_ids else [self.v.unknown]).tobytes())
+        return found
+
+    def trace(self, number: int) -> Trace:
+        found = self.traces.get(number)
+        if found is None:
+            found = self.traces[number] = traced(self.names[number], self.v.pieces)
         return found
 
     def fits(self, left: int, right: int) -> bool:
         """Merging the text of both pieces alone ends in these two pieces."""
-        pieces, b = self.v.pieces, self.names[right]
-        if left == START:
-            out = len(b) == 1 or merged(b, pieces) == [b]
-        else:
-            a = self.names[left]
-            out = a + b not in pieces and merged(a + b, pieces) == [a, b]
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
+        b = self.trace(right)
+        out = b.whole if left == START else self._apart(self.trace(left), b)
         self.pairs[left << 21 | right] = out
         return out
 
+    def _apart(self, a: Trace, b: Trace) -> bool:
+        """Both merge into themselves, and no merge ever crosses from one to the other.
+
+        Up to a merge that crosses, each side merges as it does alone, so their steps need only be put in order: the
+        greater score first, the left one of equals.
+        """
+        if not (a.whole and b.whole):
+            return False
+        pieces, i, j, n, m = self.v.pieces, 0, 0, len(a.scores), len(b.scores)
+        while True:
+            across = pieces.get(a.lasts[i] + b.firsts[j])
+            if across is not None and (i == n or across[1] > a.scores[i]) and (j == m or across[1] >= b.scores[j]):
+                return False
+            if i < n and (j == m or a.scores[i] >= b.scores[j]):
+                i += 1
+            elif j < m:
+                j += 1
+            else:
+                return True
+
 
 class State:
     """A search between two portions, and what the portions met so far did to it."""
@@ -241,11 +293,13 @@ class StreamingViterbi:
     def _extend_merges(self) -> None:
         text, last, known, fits = self.text, self.last, self.at.pairs, self.at.fits
         need = len(last)  # the node to be reached next
+        reach, paired = last.append, known.get
 
         def alone() -> int:  # by a character that is no piece
-            piece, left = self.at.single(text[need - 1]), last[-1]
-            if left < 0 or text[need - 1] in self.at.v.pieces:
+            left = last[-1]
+            if left < 0 or text[need - 1] in self.at.known:
                 return -1
+            piece = self.at.single(text[need - 1])
             found = known.get(left << 21 | piece)
             return piece if (fits(left, piece) if found is None else found) else -1
 
@@ -254,13 +308,13 @@ class StreamingViterbi:
             if end < need:
                 continue
             while need < end:
-                last.append(alone())
+                reach(alone())
                 need += 1
             left = last[end - size]
             if left >= 0:
-                found = known.get(left << 21 | piece)
-                if fits(left, piece) if found is None else found:
-                    last.append(piece)
+                found = paired(left << 21 | piece)
+                if found or (found is None and fits(left, piece)):
+                    reach(piece)
                     need += 1
         while need <= len(text):
             last.append(alone())
@@ -294,14 +348,22 @@ class StreamingViterbi:
 
     def _settle(self) -> list[int]:
         """Take out what all surviving paths have in common, and forget the others."""
-        text, last, sizes, end = self.text, self.last, self.at.sizes, len(self.last) - 1
-        begins, low = self.at.automaton.match, end
-        if self.at.v.pieces:  # a piece that goes on holds only pairs of characters that pieces hold
+        at, text, last, end = self.at, self.text, self.last, len(self.last) - 1
+        sizes, neighbours, begins, low = at.sizes, at.neighbours, at.automaton.match, end
+        if at.known:  # a piece that goes on holds only pairs of characters that pieces hold
             low = max(0, end - 1)
-            while low and end - low < self.window - 1 and text[low - 1 : low + 1] in self.at.v.neighbours:
+            while low and end - low < self.window - 1 and text[low - 1 : low + 1] in neighbours:
                 low -= 1
         if low == end - 1 and sizes[last[end]] == 1 and last[low] >= 0:  # most often: one path to the last two nodes
-            return self._commit(low, {end}) if begins(text[low]) else self._commit(end, set())
+            if not begins(text[low]):
+                return self._commit(end, set())
+            if not self.merges or not low:
+                return self._commit(low, {end})
+            final, left = self._path(low), last[low]  # the same, of two nodes
+            self.text = text[low]
+            self.last = [left if at.names[left][-1] + text[low] in neighbours else START, last[end]]
+            self.commits += 1
+            return final
         meet = {p for p in range(low, end) if last[p] >= 0 and begins(text[p:])}
         meet.add(end)
         on = set()
@@ -376,8 +438,7 @@ class Codec:
         return found
 
     def _ids(self, numbers: list[int]) -> bytes:
-        of = self.lattice.ids
-        return array("i", [x for n in numbers for x in of[n]]).tobytes()
+        return b"".join(map(self.lattice.ids.__getitem__, numbers))
 
     def _step(self, state: State, portion: str) -> tuple[bytes, State]:
         step = state.before.get(portion)

@@ -1,5 +1,6 @@
 """What must not depend on row order, names of columns, size switches or what a worker did before."""
 
+import random
 from collections import Counter
 from pathlib import Path
 
@@ -233,3 +234,21 @@ def test_memo_is_bounded_and_forgetting_changes_nothing(monkeypatch):
         small = sentencepiece_codec.Codec(v)
         assert [small.encode(t) for t in texts] == plain and small.known <= 20
         monkeypatch.undo()
+
+
+def test_pairs_are_told_by_the_order_of_their_merges_as_by_merging_them(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(25):
+        pieces = {c: (i, -9.0) for i, c in enumerate("abc")}
+        for _ in range(14):
+            word = "".join(rng.choice("abc") for _ in range(rng.randrange(2, 6)))
+            pieces[word] = (len(pieces), -float(rng.randrange(1, 5)))  # many ties, and pieces that nothing merges into
+        at = sentencepiece_codec.Lattice(sentencepiece_codec.Vocabulary(pieces, True, len(pieces)))
+        at.single("z")
+        merge = sentencepiece_codec.merged
+        with monkeypatch.context() as m:
+            m.setattr(sentencepiece_codec, "merged", None)  # no pair's text is merged again
+            for i, a in enumerate(at.names):
+                assert at.fits(sentencepiece_codec.START, i) == (merge(a, pieces) == [a])
+                for j, b in enumerate(at.names):
+                    assert at.fits(i, j) == (merge(a + b, pieces) == [a, b]), (a, b, pieces)
