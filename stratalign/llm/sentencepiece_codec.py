@@ -53,6 +53,8 @@ MEMO_LENGTH = 64
 PORTION = re.compile(rf"(?s)\w{{0,{MEMO_LENGTH - 1}}}.")
 #: Pairs of pieces whose merging is known.
 PAIRS = 300_000
+#: Ids whose bytes are put together at a time.
+DECODED = 10_000
 VOCABULARY_LIMIT = 2_000_000
 #: What an unknown character costs a unigram path below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -134,6 +136,12 @@ class Vocabulary:
             out[self.unknown] = " ⁇ ".encode()
         return out
 
+    @cached_property
+    def laid_out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all texts one after another, where each begins, and its length."""
+        sizes = np.array([len(b) for b in self.texts], np.int64)
+        return np.frombuffer(b"".join(self.texts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
 
 def merged(text: str, pieces: dict[str, tuple[int, float]]) -> list[str]:
     """Byte-pair merging of a short text: the best pair first, the leftmost of equals."""
@@ -193,11 +201,12 @@ class Lattice:
         self.scores = [vocabulary.pieces[p][1] for p in self.names]
         self.ids = [array("i", [vocabulary.pieces[p][0]]).tobytes() for p in self.names]
         self.known, self.neighbours = vocabulary.pieces, vocabulary.neighbours
+        self.pairs: dict[int, dict[int, bool]] = {i: {} for i in (*range(len(self.names)), START)}  # by the left piece, then by the right one
+        self.n_pairs = 0
         self.automaton = ahocorasick.Automaton()
         for p, i in self.number.items():
-            self.automaton.add_word(p, (i, len(p)))
+            self.automaton.add_word(p, (i, len(p) - 1, self.pairs[i]))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
         self.traces: dict[int, Trace] = {}  # of pieces and of characters that texts hold
 
     def single(self, char: str) -> int:
@@ -205,6 +214,7 @@ class Lattice:
         found = self.number.get(char)
         if found is None:
             found = self.number[char] = len(self.names)
+            self.pairs[found] = {}
             self.names.append(char)
             self.sizes.append(1)
             self.scores.append(self.v.worst)
@@ -219,11 +229,13 @@ class Lattice:
 
     def fits(self, left: int, right: int) -> bool:
         """Merging the text of both pieces alone ends in these two pieces."""
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
+        if self.n_pairs >= PAIRS:
+            for known in self.pairs.values():
+                known.clear()
+            self.n_pairs = 0
         b = self.trace(right)
-        out = b.whole if left == START else self._apart(self.trace(left), b)
-        self.pairs[left << 21 | right] = out
+        out = self.pairs[left][right] = b.whole if left == START else self._apart(self.trace(left), b)
+        self.n_pairs += 1
         return out
 
     def _apart(self, a: Trace, b: Trace) -> bool:
@@ -270,10 +282,12 @@ class StreamingViterbi:
     def __init__(self, lattice: Lattice | Vocabulary, state: State | None = None):
         self.at = lattice if isinstance(lattice, Lattice) else Lattice(lattice)
         self.merges, self.window = self.at.v.merges, max(1, self.at.v.longest)
-        self.text = state.text if state else ""
-        self.last: list[int] = list(state.last) if state else [START]
-        self.sums = list(state.sums) if state else [0.0]
         self.most_held = self.commits = 0
+        self.resume(state or State("", (START,), (0.0,), False))
+
+    def resume(self, state: State) -> None:
+        """Go on from a state, whatever was searched before."""
+        self.text, self.last, self.sums = state.text, list(state.last), list(state.sums)
 
     def feed(self, portion: str) -> Iterator[str]:
         """The pieces that became final."""
@@ -281,44 +295,57 @@ class StreamingViterbi:
 
     def push(self, portion: str) -> list[int]:
         """The numbers of the pieces that became final."""
-        step, out = 4 * self.window, []
+        step = 4 * self.window
+        if 0 < len(portion) <= step:
+            return self._advance(portion)
+        out = []
         for at in range(0, len(portion), step):
-            self.text += portion[at : at + step]
-            self._extend_merges() if self.merges else self._extend_sums()
-            if len(self.last) > self.most_held:
-                self.most_held = len(self.last)
-            out += self._settle()
+            out += self._advance(portion[at : at + step])
         return out
 
+    def _advance(self, portion: str) -> list[int]:
+        self.text += portion
+        if self.merges:
+            self._extend_merges()
+        else:
+            self._extend_sums()
+        if len(self.last) > self.most_held:
+            self.most_held = len(self.last)
+        return self._settle()
+
     def _extend_merges(self) -> None:
-        text, last, known, fits = self.text, self.last, self.at.pairs, self.at.fits
-        need = len(last)  # the node to be reached next
-        reach, paired = last.append, known.get
-
-        def alone() -> int:  # by a character that is no piece
-            left = last[-1]
-            if left < 0 or text[need - 1] in self.at.known:
-                return -1
-            piece = self.at.single(text[need - 1])
-            found = known.get(left << 21 | piece)
-            return piece if (fits(left, piece) if found is None else found) else -1
-
-        for end, (piece, size) in self.at.automaton.iter(text, max(0, need - self.window)):
-            end += 1
-            if end < need:
+        at, text, last = self.at, self.text, self.last
+        rows, fits = [at.pairs[p] if p >= 0 else None for p in last], at.fits  # what is known of the pieces that may follow each node's
+        reached = len(last) - 1
+        for end, (piece, less, known) in at.automaton.iter(text, max(0, reached + 1 - self.window)):
+            if end < reached:
                 continue
-            while need < end:
-                reach(alone())
-                need += 1
-            left = last[end - size]
-            if left >= 0:
-                found = paired(left << 21 | piece)
-                if found or (found is None and fits(left, piece)):
-                    reach(piece)
-                    need += 1
-        while need <= len(text):
-            last.append(alone())
-            need += 1
+            while reached < end:
+                self._alone(rows)
+                reached += 1
+            row = rows[end - less]
+            if row is not None:
+                fit = row.get(piece)
+                if fit or (fit is None and fits(last[end - less], piece)):
+                    last.append(piece)
+                    rows.append(known)
+                    reached += 1
+        while reached < len(text):
+            self._alone(rows)
+            reached += 1
+
+    def _alone(self, rows: list[dict[int, bool] | None]) -> None:
+        """Reach the next node by a character that is no piece, if a path does."""
+        at, left, char = self.at, self.last[-1], self.text[len(self.last) - 1]
+        if left >= 0 and char not in at.known:
+            piece = at.single(char)
+            fit = rows[-1].get(piece)
+            if fit or (fit is None and at.fits(left, piece)):
+                self.last.append(piece)
+                rows.append(at.pairs[piece])
+                return
+        self.last.append(-1)
+        rows.append(None)
 
     def _extend_sums(self) -> None:
         text, last, sums, scores = self.text, self.last, self.sums, self.at.scores
@@ -334,13 +361,12 @@ class StreamingViterbi:
             sums.append(best)
             need, best, chosen = need + 1, None, -1
 
-        for end, (piece, size) in self.at.automaton.iter(text, max(0, need - self.window)):
-            end += 1
-            if end < need:
+        for end, (piece, less, _) in self.at.automaton.iter(text, max(0, need - self.window)):
+            if end + 1 < need:
                 continue
-            while need < end:
+            while need <= end:
                 reach()
-            total = sums[end - size] + scores[piece]
+            total = sums[end - less] + scores[piece]
             if best is None or total > best:
                 best, chosen = total, piece
         while need <= len(text):
@@ -350,20 +376,16 @@ class StreamingViterbi:
         """Take out what all surviving paths have in common, and forget the others."""
         at, text, last, end = self.at, self.text, self.last, len(self.last) - 1
         sizes, neighbours, begins, low = at.sizes, at.neighbours, at.automaton.match, end
+        if self.merges and end > 1 and last[end - 1] >= 0 and sizes[last[end]] == 1 and text[end - 2 : end] not in neighbours and begins(char := text[end - 1]):
+            final, left = self._path(end - 1), last[end - 1]  # most often: one path to the last two nodes, and no other can be extended
+            self.text = char
+            self.last = [left if at.names[left][-1] + char in neighbours else START, last[end]]
+            self.commits += 1
+            return final
         if at.known:  # a piece that goes on holds only pairs of characters that pieces hold
             low = max(0, end - 1)
             while low and end - low < self.window - 1 and text[low - 1 : low + 1] in neighbours:
                 low -= 1
-        if low == end - 1 and sizes[last[end]] == 1 and last[low] >= 0:  # most often: one path to the last two nodes
-            if not begins(text[low]):
-                return self._commit(end, set())
-            if not self.merges or not low:
-                return self._commit(low, {end})
-            final, left = self._path(low), last[low]  # the same, of two nodes
-            self.text = text[low]
-            self.last = [left if at.names[left][-1] + text[low] in neighbours else START, last[end]]
-            self.commits += 1
-            return final
         meet = {p for p in range(low, end) if last[p] >= 0 and begins(text[p:])}
         meet.add(end)
         on = set()
@@ -393,9 +415,11 @@ class StreamingViterbi:
     def _path(self, node: int) -> list[int]:
         out, last, sizes = [], self.last, self.at.sizes
         while node > 0:
-            out.append(last[node])
-            node -= sizes[last[node]]
-        return out[::-1]
+            piece = last[node]
+            out.append(piece)
+            node -= sizes[piece]
+        out.reverse()
+        return out
 
     def close(self) -> list[int]:
         return self._path(len(self.last) - 1)
@@ -414,11 +438,16 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, portion: re.Pattern = PORTION, remember: bool = True):
         self.v, self.lattice = vocabulary, Lattice(vocabulary)
+        self.search = StreamingViterbi(self.lattice)
         self.portions, self.remember = portion, remember
-        self.commits = self.most_held = self.known = 0
+        self.commits = self.known = 0
         self.states: dict[tuple, State] = {}
         self.start = self._state("", (START,), (0.0,))
 
+    @property
+    def most_held(self) -> int:
+        return self.search.most_held
+
     def _age(self) -> None:
         """What was not used since the last time is forgotten."""
         self.known = 0
@@ -443,9 +472,9 @@ class Codec:
     def _step(self, state: State, portion: str) -> tuple[bytes, State]:
         step = state.before.get(portion)
         if step is None:
-            search = StreamingViterbi(self.lattice, state)
+            search = self.search
+            search.resume(state)
             ids = self._ids(search.push(portion.replace(" ", BLANK)))
-            self.most_held = max(self.most_held, search.most_held)
             step = ids, self._state(search.text, tuple(search.last), tuple(search.sums) if not self.v.merges else ())
         if state.kept and step[1].kept and len(portion) <= MEMO_LENGTH:
             if self.known >= MEMO:
@@ -471,7 +500,8 @@ class Codec:
             state = step[1]
         self.commits += sum(map(bool, out))
         if state.tail is None:
-            state.tail = self._ids(StreamingViterbi(self.lattice, state).close())
+            self.search.resume(state)
+            state.tail = self._ids(self.search.close())
         out.append(state.tail)
         return b"".join(out) if self.v.byte_ids else self._joined(b"".join(out))
 
@@ -482,12 +512,20 @@ class Codec:
         return ids if not again.any() else numbers[np.concatenate(([True], ~again))].tobytes()
 
     def decode(self, ids: bytes) -> str:
-        numbers = np.frombuffer(ids, "<i4").tolist()
-        raw = b"".join(map(self.v.texts.__getitem__, numbers))
+        numbers = np.frombuffer(ids, "<i4")
+        raw = b"".join(self._bytes(numbers[at : at + DECODED]) for at in range(0, len(numbers), DECODED))
         if self.v.dummy_prefix and raw.startswith(b" "):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
+    def _bytes(self, numbers: np.ndarray) -> bytes:
+        laid, begins, sizes = self.v.laid_out
+        sizes = sizes[numbers]
+        ends = np.cumsum(sizes)
+        places = np.repeat(begins[numbers] - ends + sizes, sizes)
+        places += np.arange(len(places))
+        return laid[places].tobytes()
+
 
 def worker_codec(plain: tuple) -> Codec:
     """The codec of this Python worker, which lives on from task to task with its bounded memos."""

@@ -252,3 +252,41 @@ def test_pairs_are_told_by_the_order_of_their_merges_as_by_merging_them(monkeypa
                 assert at.fits(sentencepiece_codec.START, i) == (merge(a, pieces) == [a])
                 for j, b in enumerate(at.names):
                     assert at.fits(i, j) == (merge(a + b, pieces) == [a, b]), (a, b, pieces)
+
+
+def test_one_search_serves_all_steps_and_a_full_table_of_pairs_changes_nothing(monkeypatch):
+    pieces = {p: (i, -float(i)) for i, p in enumerate(["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "a▁", "b▁a", "ca"])}
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abcxé  "), int(rng.integers(1, 90)))) for _ in range(120)]
+    for merges in (True, False):
+        v = sentencepiece_codec.Vocabulary(pieces, merges, 12, unknown=11)
+        want = []
+        for t in texts:  # one push of the whole text, a lattice of its own
+            search, codec = sentencepiece_codec.StreamingViterbi(v), sentencepiece_codec.Codec(v)
+            flat = search.push("▁" + t.replace(" ", "▁")) + search.close()
+            want.append(codec._joined(b"".join(search.at.ids[i] for i in flat)))
+        begun = []
+        with monkeypatch.context() as m:
+            begin = sentencepiece_codec.StreamingViterbi.__init__
+            m.setattr(sentencepiece_codec.StreamingViterbi, "__init__", lambda self, *a, **k: (begun.append(1), begin(self, *a, **k))[1])
+            m.setattr(sentencepiece_codec, "PAIRS", 5)
+            for remember in (True, False):
+                codec = sentencepiece_codec.Codec(v, remember=remember)
+                assert [codec.encode(t) for t in texts] == want
+                assert len(begun) == 1, "one for the codec, however many steps are searched"
+                assert sum(map(len, codec.lattice.pairs.values())) <= 5
+                begun.clear()
+
+
+def test_bytes_of_ids_are_put_together_in_slices_as_one_by_one(monkeypatch):
+    pieces = {p: (i + 1, -float(i)) for i, p in enumerate(["▁", "a", "é日", "▁abc", "😀"])}
+    v = sentencepiece_codec.Vocabulary(pieces, True, 263, byte_ids=tuple(range(6, 262)), silent=frozenset([262]))
+    ids = np.random.default_rng(10).integers(0, 263, 400).astype("<i4")
+    codec = sentencepiece_codec.Codec(v)
+    for slice_of in (1, 3, 400, 1000):
+        monkeypatch.setattr(sentencepiece_codec, "DECODED", slice_of)
+        for n in (0, 1, 2, 3, 400):
+            raw = b"".join(v.texts[i] for i in ids[:n])
+            assert codec.decode(ids[:n].tobytes()) == raw.removeprefix(b" ").decode("utf-8", "replace")
+        with pytest.raises(IndexError):
+            codec.decode(np.array([1, 263], "<i4").tobytes())
